@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,6 +55,30 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sparkgrain_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="sparkgrain-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    if os.path.isdir(root):
+        with zipfile.ZipFile(f"{folder}/sparkgrain.zip", "w") as z:
+            for at, _, names in os.walk(root):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        z.write(f"{at}/{n}", os.path.relpath(f"{at}/{n}", os.path.dirname(root)))
+        sc.addPyFile(f"{folder}/sparkgrain.zip")
+    sc._sparkgrain_shipped = True
+
+
+def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that df reads or holds; no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
