@@ -81,7 +81,7 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that df reads or holds; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

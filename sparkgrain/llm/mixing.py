@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,7 @@ from sparkgrain.llm.packing import word_count
 TEMPERATURES = {"source": 0.5, "lang": 0.7}
 #: Largest exponent of a tilt; a rate beyond e^30 has no use.
 CLIP = 30.0
+T = "__sg_t"
 
 
 @dataclass
@@ -25,6 +27,8 @@ class Balance:
     iterations: int
     residual: float
     converged: bool
+    #: Adds __sg_rate and __sg_copies to documents with all their columns.
+    weigh: Callable[[DataFrame], DataFrame]
 
 
 def _targets(shares: dict, own: dict | float) -> dict:
@@ -55,8 +59,13 @@ def balance(docs: DataFrame, targets: dict[str, dict | float] | None = None, key
     """
     targets = TEMPERATURES if targets is None else targets
     dims = list(targets)
-    g = [f"g{i}" for i in range(len(dims))]
-    rows = docs.select(c(key).alias("doc_id"), *[c(d).cast("string").alias(x) for d, x in zip(dims, g)], (word_count(c(text)) if n_tokens is None else n_tokens).cast("bigint").alias("t"))
+    g = [f"__sg_g{i}" for i in range(len(dims))]
+
+    def grouped(frame: DataFrame) -> DataFrame:
+        n = (word_count(c(text)) if n_tokens is None else n_tokens).cast("bigint")
+        return frame.withColumns({**{x: c(d).cast("string") for d, x in zip(dims, g)}, T: n})
+
+    rows = grouped(docs).select(*g, F.col(T).alias("t"))
     cells = written(rows.where("t > 0").groupBy(*g, "t").agg(F.count("*").cast("double").alias("k")), "mix-cells")
     raw = F.log2(F.col("t") + 1.0)
     mass = F.col("k") * F.col("t")
@@ -120,13 +129,22 @@ def balance(docs: DataFrame, targets: dict[str, dict | float] | None = None, key
             residual = float(np.abs(grad).max())
             if scale < 1e-4:
                 break
-    placed = tilted(rows, tilts(lam), g, "left")
-    rate = F.when(F.col("t") > 0, F.coalesce(F.exp(F.least(F.col("a") + F.lit(float(lam[-1])) * u, F.lit(CLIP))), F.lit(0.0))).otherwise(F.lit(0.0))
-    coin = (F.xxhash64("doc_id", "t", *g).bitwiseAND(F.lit((1 << 53) - 1))).cast("double") / F.lit(float(1 << 53))
-    rates = placed.withColumn("rate", rate).select(
-        "doc_id", *[F.col(x).alias(d) for d, x in zip(dims, g)], F.col("t").alias("n_tokens"), "rate", F.floor(F.col("rate") + coin).cast("int").alias("copies")
-    )
-    return Balance(rates, steps, residual, residual <= max(tolerance, 1e-6))
+
+    def weigh(frame: DataFrame) -> DataFrame:
+        own = (F.log2(F.col(T) + 1.0) - F.lit(mean)) / F.lit(sd or 1.0)
+        rate = F.when(F.col(T) > 0, F.coalesce(F.exp(F.least(F.col("__sg_a") + F.lit(float(lam[-1])) * own, F.lit(CLIP))), F.lit(0.0))).otherwise(F.lit(0.0))
+        coin = F.xxhash64(c(key), T, *g).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / F.lit(float(1 << 53))
+        placed = tilted(grouped(frame), tilts(lam).withColumnRenamed("a", "__sg_a"), g, "left").withColumn("__sg_rate", rate)
+        return placed.withColumn("__sg_copies", F.floor(F.col("__sg_rate") + coin).cast("int"))
+
+    rates = weigh(docs).select(c(key).alias("doc_id"), *[F.col(x).alias(d) for d, x in zip(dims, g)], F.col(T).alias("n_tokens"), F.col("__sg_rate").alias("rate"), F.col("__sg_copies").alias("copies"))
+    return Balance(rates, steps, residual, residual <= max(tolerance, 1e-6), weigh)
+
+
+def resample(docs: DataFrame, **kw) -> DataFrame:
+    """Documents repeated as often as balance() says, with all their columns; those with no copy are gone."""
+    kept = balance(docs, **kw).weigh(docs).where("__sg_copies > 0")
+    return kept.withColumn("__sg_copy", F.explode(F.sequence(F.lit(1), F.col("__sg_copies")))).select(*[c(x) for x in docs.columns])
 
 
 def tilted(rows: DataFrame, tilt: DataFrame, g: list[str], how: str) -> DataFrame:

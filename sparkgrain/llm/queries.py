@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgrain.llm import chat, mixing, packing, sharding
+from sparkgrain.llm import chat, mixing, neardup, packing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +25,20 @@ def op5_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_pairs(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.balance(table(spark, sf_dir, "documents")).rates
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_prefix_targets, op3_byte_shards, op5_length_buckets, op9_entropy_balancing)
+    f.__name__: f for f in (op2_prefix_targets, op3_byte_shards, op5_length_buckets, op7_ngram_jaccard_join, op8_quality_classifier, op9_entropy_balancing)
 }
 
 ORACLES: dict[str, str] = {"op2_prefix_targets": chat.SQL, "op3_byte_shards": sharding.SQL}
