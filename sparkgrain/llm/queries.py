@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgrain.llm import chat, mixing, neardup, packing, quality, sharding
+from sparkgrain.llm import brown, chat, mixing, neardup, packing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_brown_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.perplexity(table(spark, sf_dir, "documents"))
+
+
 def op5_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op9_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_prefix_targets, op3_byte_shards, op5_length_buckets, op7_ngram_jaccard_join, op8_quality_classifier, op9_entropy_balancing)
+    f.__name__: f for f in (op2_prefix_targets, op3_byte_shards, op4_brown_class_ngrams, op5_length_buckets, op7_ngram_jaccard_join, op8_quality_classifier, op9_entropy_balancing)
 }
 
 ORACLES: dict[str, str] = {"op2_prefix_targets": chat.SQL, "op3_byte_shards": sharding.SQL}
