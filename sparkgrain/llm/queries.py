@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkgrain.llm import brown, chat, mixing, neardup, packing, quality, sharding
+from sparkgrain.llm import brown, chat, mixing, neardup, packing, quality, sharding, vafile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.nearest(table(spark, sf_dir, "embeddings")).withColumn("distance", F.round("distance", 6))
+
+
 def op2_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.prefix_targets(table(spark, sf_dir, "conversations"))
 
@@ -42,7 +47,7 @@ def op9_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_prefix_targets, op3_byte_shards, op4_brown_class_ngrams, op5_length_buckets, op7_ngram_jaccard_join, op8_quality_classifier, op9_entropy_balancing)
+    f.__name__: f for f in (op1_va_file_topk, op2_prefix_targets, op3_byte_shards, op4_brown_class_ngrams, op5_length_buckets, op7_ngram_jaccard_join, op8_quality_classifier, op9_entropy_balancing)
 }
 
-ORACLES: dict[str, str] = {"op2_prefix_targets": chat.SQL, "op3_byte_shards": sharding.SQL}
+ORACLES: dict[str, str] = {"op1_va_file_topk": vafile.SQL, "op2_prefix_targets": chat.SQL, "op3_byte_shards": sharding.SQL}
