@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgrain.llm import brown, chat, mixing, neardup, packing, quality, sharding, vafile
+from sparkgrain.llm import brown, chat, jpeg, jpeg_source, mixing, neardup, packing, quality, sharding, vafile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +46,13 @@ def op9_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.balance(table(spark, sf_dir, "documents")).rates
 
 
+def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds images: every embedding is written as a progressive JPEG first, and all of these are decoded."""
+    return jpeg.tensors(jpeg_source.pictures(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_va_file_topk, op2_prefix_targets, op3_byte_shards, op4_brown_class_ngrams, op5_length_buckets, op7_ngram_jaccard_join, op8_quality_classifier, op9_entropy_balancing)
+    f.__name__: f for f in (op1_va_file_topk, op2_prefix_targets, op3_byte_shards, op4_brown_class_ngrams, op5_length_buckets, op7_ngram_jaccard_join, op8_quality_classifier, op9_entropy_balancing, op10_progressive_jpeg)
 }
 
 ORACLES: dict[str, str] = {"op1_va_file_topk": vafile.SQL, "op2_prefix_targets": chat.SQL, "op3_byte_shards": sharding.SQL}
