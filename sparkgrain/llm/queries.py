@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgrain.llm import brown, chat, jpeg, jpeg_source, mixing, neardup, packing, quality, sharding, vafile
+from sparkgrain.llm import brown, chat, jpeg, jpeg_source, mixing, neardup, packing, quality, sharding, template, vafile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_template_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.slots(table(spark, sf_dir, "pages"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_va_file_topk, op2_prefix_targets, op3_byte_shards, op4_brown_class_ngrams, op5_length_buckets, op7_ngram_jaccard_join, op8_quality_classifier, op9_entropy_balancing, op10_progressive_jpeg)
+    f.__name__: f for f in (op1_va_file_topk, op2_prefix_targets, op3_byte_shards, op4_brown_class_ngrams, op5_length_buckets, op6_template_slots, op7_ngram_jaccard_join, op8_quality_classifier, op9_entropy_balancing, op10_progressive_jpeg)
 }
 
 ORACLES: dict[str, str] = {"op1_va_file_topk": vafile.SQL, "op2_prefix_targets": chat.SQL, "op3_byte_shards": sharding.SQL}
