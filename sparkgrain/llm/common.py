@@ -17,10 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# freed buffers go back to the system at once: Python workers live long beside a Java heap
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Rows of (key, value) arrays that may be broadcast; larger ones take a shuffled join instead.
 BROADCAST_ROWS = 4_000_000
 #: Bytes of text that a Python worker tokenises at once.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 8 << 20
 
 
 def c(name: str) -> Column:

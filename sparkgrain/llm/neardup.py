@@ -15,25 +15,45 @@ from sparkgrain.llm.common import BROADCAST_ROWS, arrow_map, c, forget, mix, pla
 N_GRAM, THRESHOLD = 3, 0.6
 #: A prefix asks for at most so many shared tokens.
 MOST_MATCHES = 24
-#: Work of verifying a candidate, in postings read.
-VERIFY_COST = 20.0
-#: An n-gram is frequent when a slice of texts holds it this often and all slices together this often; at most so
+#: Work of verifying a candidate, in postings read: so much, and this share of the set's size, as the set travels.
+VERIFY_COST, VERIFY_SHARE = 20.0, 0.7
+#: An n-gram is frequent when a slice of texts holds it this often and such slices together this often; at most so
 #: many are kept, the most frequent. They order tokens and estimate costs; results don't depend on them.
-SLICE_DF, HOT_DF, HOT_MOST = 3, 32, 1 << 20
+SLICE_DF, HOT_DF, HOT_MOST = 2, 4, 1 << 20
 #: Bytes of input behind a token bucket; documents of a block that are verified together; n-gram sets in a task.
 BUCKET_BYTES, BLOCK_DOCS, SETS_IN_TASK = 16 << 20, 256, 2000
-#: Frequent prefix tokens that a document carries to settle where a pair is proposed.
-ANCHORS = 3
+#: Prefix tokens, frequent ones first, that a document carries to settle where a pair is proposed.
+ANCHORS = 6
 
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
+_K = np.arange(MOST_MATCHES)
+_LOG_FACTORIAL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, MOST_MATCHES)))])
+
+
 @dataclass
 class Hot:
-    """Frequent n-grams, sorted by hash, with their counts."""
+    """What the survey of all texts tells the cost estimates.
+
+    Frequent n-grams, sorted by hash, with their counts; how likely any other n-gram of one set and one of another
+    are the same; and sets by size: upper sizes and how many sets there are up to each.
+    """
 
     hashes: np.ndarray
     counts: np.ndarray
+    chance: float
+    sizes: np.ndarray
+    upto: np.ndarray
+
+    def by_chance(self, size: int, tokens: int, t: float) -> np.ndarray:
+        """How many sets of a fitting size share at least 1, 2, ... prefix tokens by chance alone (Poisson)."""
+        if not len(self.sizes):
+            return np.zeros(MOST_MATCHES)
+        lo, hi = np.interp([size * t, size / t], self.sizes, self.upto)
+        rate = self.chance * tokens * tokens
+        pmf = np.exp(-rate + _K * np.log(max(rate, 1e-300)) - _LOG_FACTORIAL)
+        return max(hi - lo, 0.0) * np.maximum(1 - np.cumsum(pmf), 0.0)
 
 
 def gram_sets(arr: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -68,39 +88,45 @@ def required(size: np.ndarray | int, t: float) -> np.ndarray:
     return np.ceil(np.asarray(size) * t - 1e-9).astype(np.int64)
 
 
-def adaptive_prefix(grams: np.ndarray, count: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, int]:
+def adaptive_prefix(grams: np.ndarray, count: np.ndarray, t: float, hot_: Hot) -> tuple[np.ndarray, np.ndarray, int]:
     """Prefix tokens of a set, its anchors, and the matches l that its prefix asks for.
 
     Tokens are in one global order, by (known count, hash). The l-prefix is the first |x| - T + l tokens with
     T = ceil(t |x|). If neither set's overlap falls short of its T, then prefixes of matches l and m share at least
-    min(l, m) tokens. l has the least estimated cost: postings read for the prefix, plus VERIFY_COST for each
-    candidate, whose number is estimated by the l-th largest count in the prefix.
+    min(l, m) tokens. l has the least estimated cost: postings read for the prefix, plus verification of each
+    candidate. Candidates with l matches are estimated by the l-th largest count in the prefix, as texts that share
+    a passage share all of it, and by those that sets of a fitting size share by chance.
     """
     n = len(grams)
     order = np.lexsort((grams, count)) if count.any() else np.arange(n)
     need = int(required(n, t))
     base = n - need + 1
     most = min(MOST_MATCHES, need)
-    df = np.maximum(count[order], 1)[: base + most - 1].astype(float)
+    df = count[order[: base + most - 1]].astype(float)
     pick = 1
-    if df.max() > 1 and most > 1:
-        read = np.cumsum(df)
-        costs = []
-        for m in range(1, most + 1):
-            part = df[: base + m - 1]
-            costs.append(read[base + m - 2] + VERIFY_COST * (np.partition(part, len(part) - m)[len(part) - m] if m <= len(part) else 1.0))
+    if most > 1:
+        read = np.cumsum(np.where(df > 0, df, 1.0))
+        found = hot_.by_chance(n, base - np.count_nonzero(df[:base]), t)[:most]
+        if df.any():
+            found = found + [np.sort(df[: base + m - 1])[-m] if m <= base + m - 1 else 0.0 for m in range(1, most + 1)]
+        costs = read[base - 1 : base + most - 1] + (VERIFY_COST + VERIFY_SHARE * n) * found
         pick = int(np.argmin(costs)) + 1
     head = order[: base + pick - 1]
     hot = head[count[head] > 0][:ANCHORS]
-    return grams[head], grams[hot] if len(hot) else grams[head[:ANCHORS]], pick
+    if len(hot) < ANCHORS:
+        hot = np.concatenate([hot, head[count[head] == 0][: ANCHORS - len(hot)]])
+    return grams[head], grams[hot], pick
 
 
 def _scan(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(c(key).isNotNull() & c(text).isNotNull()).select(c(key).cast("bigint").alias("doc_id"), c(text).alias("text"))
 
 
+_DOC, _GRAM, _SLICE = 0, 1, 2
+
+
 def _survey(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("size", pa.int32()), ("hot", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("size", pa.int32()), ("kind", pa.int8())])
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,10 +145,10 @@ def _survey(n: int):
                 m, f = b - a, int(some.sum())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.concat_arrays([pa.array(ids[a:b], pa.int64()), pa.nulls(f, pa.int64())]),
-                        pa.array(np.concatenate([np.array(sigs, np.int64), grams[some].view(np.int64)])),
-                        pa.array(np.concatenate([sizes, k[some]]).astype(np.int32)),
-                        pa.array(np.arange(m + f) >= m),
+                        pa.concat_arrays([pa.array(ids[a:b], pa.int64()), pa.nulls(f + 1, pa.int64())]),
+                        pa.array(np.concatenate([np.array(sigs, np.int64), grams[some].view(np.int64), [0]]).astype(np.int64)),
+                        pa.array(np.concatenate([sizes, k[some], [0]]).astype(np.int32)),
+                        pa.array(np.concatenate([np.full(m, _DOC), np.full(f, _GRAM), [_SLICE]]).astype(np.int8)),
                     ],
                     schema=schema,
                 )
@@ -131,10 +157,18 @@ def _survey(n: int):
 
 
 def _hot(survey: DataFrame) -> Hot:
-    rows = survey.where("hot").groupBy("sig").agg(F.sum("size").alias("k")).where(F.col("k") >= HOT_DF).orderBy(F.desc("k"), "sig").limit(HOT_MOST).toArrow()
+    sums = survey.where(F.col("kind") == _GRAM).groupBy("sig").agg(F.sum("size").alias("k"), F.sum(F.col("size").cast("double") * (F.col("size") - 1)).alias("pairs"))
+    rare = sums.where(F.col("k") < HOT_DF).agg(F.sum("pairs")).first()[0] or 0.0
+    each = survey.agg(F.sum(F.when(F.col("kind") == _DOC, F.col("size")).cast("double")).alias("n"), F.count_if(F.col("kind") == _SLICE).alias("slices")).first()
+    rows = sums.where(F.col("k") >= HOT_DF).orderBy(F.desc("k"), "sig").limit(HOT_MOST).select("sig", "k").toArrow()
     h, k = rows["sig"].to_numpy().view(np.uint64) if rows.num_rows else np.zeros(0, np.uint64), rows["k"].to_numpy()
     order = np.argsort(h)
-    return Hot(h[order], k[order].astype(np.int64))
+    each_n = float(each["n"] or 0)
+    step = F.ceil(F.log2("size") * 8)
+    sizes = survey.where((F.col("kind") == _DOC) & (F.col("size") > 0)).groupBy(step.alias("s")).agg(F.count("*").alias("k")).orderBy("s").toPandas()
+    # pairs inside a slice stand for as many times more across slices as there are slices
+    chance = rare * each["slices"] / each_n**2 if each_n else 0.0
+    return Hot(h[order], k[order].astype(np.int64), chance, 2 ** (sizes["s"].to_numpy(float) / 8), sizes["k"].cumsum().to_numpy(float))
 
 
 def _known(grams: np.ndarray, hot: Hot) -> np.ndarray:
@@ -157,7 +191,7 @@ def _postings(n: int, t: float, hot, buckets: int):
                     if not len(g) or s in seen:
                         continue
                     seen.add(s)
-                    head, anchors, pick = adaptive_prefix(g, _known(g, hot.value), t)
+                    head, anchors, pick = adaptive_prefix(g, _known(g, hot.value), t, hot.value)
                     nodes.append((s, len(g), pick, [*(int(x) for x in anchors), *[0] * ANCHORS][:ANCHORS]))
                     toks.append(head)
                     lens.append(len(head))
@@ -183,7 +217,7 @@ _NODE = np.dtype([("sig", np.int64), ("size", np.int32), ("need", np.uint8), ("a
 _TOKEN = np.dtype([("gram", np.uint64), ("node", np.uint32)])
 
 
-def _pairs_of_runs(starts: np.ndarray, ends: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pairs_of_runs(starts: np.ndarray, ends: np.ndarray, most: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Positions (i < j) of all pairs inside each run, in pieces, and the runs they are of."""
     size = ends - starts
     # a row of work is one position with all later ones of its run
@@ -204,8 +238,8 @@ def _pairs_of_runs(starts: np.ndarray, ends: np.ndarray, most: int = 2_000_000)
 def _propose(t: float):
     """Pairs of a bucket that share a prefix token: their shared tokens here, and how many are asked for.
 
-    A pair that needs a single match is proposed only where its least common anchor is, if it has one, so that
-    near copies with a hundred common prefix tokens don't come from every bucket.
+    A pair with as many common anchors as it needs matches is settled, and proposed only where the least of them
+    is: near copies with a hundred common prefix tokens don't come from every bucket. Others are counted.
     """
 
     def job(group: pa.Table) -> pa.Table:
@@ -239,19 +273,21 @@ def _propose(t: float):
             fits = np.minimum(size[a], size[b]) >= required(np.maximum(size[a], size[b]), t)
             i, a, b = i[fits], a[fits], b[fits]
             m = np.minimum(need[a], need[b])
-            first = np.full(len(a), none, np.uint64)
+            first, common = np.full(len(a), none, np.uint64), np.zeros(len(a), np.uint8)
             for x in range(ANCHORS):
-                va = anchors[a, x]
+                va, met = anchors[a, x], np.zeros(len(a), bool)
                 for y in range(ANCHORS):
-                    first = np.where((va == anchors[b, y]) & (va > 0) & (va < first), va, first)
-            single = m <= 1
-            here = single & ((first == none) | (first == key[i]))
+                    met |= va == anchors[b, y]
+                met &= va > 0
+                common += met
+                first = np.where(met & (va < first), va, first)
+            settled = common >= m
             code = a * len(node) + b
-            once_.append(np.unique(code[here]))
-            many_.append(code[~single])
+            once_.append(np.unique(code[settled & (first == key[i])]))
+            many_.append(code[~settled])
         one = np.unique(np.concatenate(once_)) if once_ else np.zeros(0, np.int64)
         rest, k = np.unique(np.concatenate(many_), return_counts=True) if many_ else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        code, k = np.concatenate([one, rest]), np.concatenate([np.ones(len(one), np.int64), k])
+        code, k = np.concatenate([one, rest]), np.concatenate([np.full(len(one), MOST_MATCHES), k])
         a, b = code // max(len(node), 1), code % max(len(node), 1)
         return pa.table(
             {
@@ -346,8 +382,8 @@ def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     spark = docs.sparkSession
     ship(spark)
     scan = _scan(docs, key, text)
-    survey = written(arrow_map(scan, _survey(n), "doc_id bigint, sig bigint, size int, hot boolean"), "dup-survey")
-    members = survey.where(~F.col("hot") & (F.col("size") > 0)).select("doc_id", "sig", "size").distinct()
+    survey = written(arrow_map(scan, _survey(n), "doc_id bigint, sig bigint, size int, kind tinyint"), "dup-survey")
+    members = survey.where((F.col("kind") == _DOC) & (F.col("size") > 0)).select("doc_id", "sig", "size").distinct()
     hot = spark.sparkContext.broadcast(_hot(survey))  # HOT_MOST bounds it
     held = plan_bytes(docs)
     buckets = max(1, -(-held // BUCKET_BYTES)) if held < 1 << 60 else int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -89,23 +89,22 @@ def fit(texts: list[pa.Array], quality: np.ndarray, toxic: np.ndarray) -> Model:
     """Pick words by their association with a label, then fit both heads by Newton's method with a ridge."""
     good, clean = (quality > 0).astype(float), (toxic <= 0).astype(float)
     m = len(good)
-    hashes, owner, at = [], [], 0
+    uniq, counts, at = np.zeros(0, np.uint64), np.zeros((0, 3)), 0
     for arr in texts:
         for a, b in slices(arr):
             codes, offsets, words = tokens(arr.slice(a, b - a))
-            rows = np.repeat(np.arange(b - a), np.diff(offsets))
-            pairs = np.unique(rows * max(len(words), 1) + codes)
-            hashes.append(word_hash(words)[pairs % max(len(words), 1)])
-            owner.append(at + pairs // max(len(words), 1))
+            n = max(len(words), 1)
+            pairs = np.unique(np.repeat(np.arange(b - a), np.diff(offsets)) * n + codes)
+            own, word = at + pairs // n, pairs % n
+            here = np.column_stack([np.bincount(word, weights=y, minlength=len(words)) for y in (None, good[own], clean[own])])
+            uniq, inv = np.unique(np.concatenate([uniq, word_hash(words)]), return_inverse=True)
+            both = np.concatenate([counts, here])
+            counts = np.column_stack([np.bincount(inv, weights=both[:, i], minlength=len(uniq)) for i in range(3)])
             at += b - a
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    o = np.concatenate(owner).astype(np.int64) if owner else np.zeros(0, np.int64)
-    uniq, inv = np.unique(h, return_inverse=True)
-    df = np.bincount(inv, minlength=len(uniq)).astype(float)
-    z = np.zeros(len(uniq))
-    for y in (good, clean):
+    df, z = counts[:, 0], np.zeros(len(uniq))
+    for i, y in enumerate((good, clean)):
         p = float(np.clip(y.mean() if m else 0.5, 1e-3, 1 - 1e-3))
-        z = np.maximum(z, np.abs(np.bincount(inv, weights=y[o], minlength=len(uniq)) - df * p) / np.sqrt(np.maximum(df * p * (1 - p), 1e-9)))
+        z = np.maximum(z, np.abs(counts[:, 1 + i] - df * p) / np.sqrt(np.maximum(df * p * (1 - p), 1e-9)))
     ok = np.flatnonzero((df >= MIN_TEXTS) & (z >= MIN_Z))
     known = np.sort(uniq[ok[np.argsort(-z[ok], kind="stable")[:MAX_WORDS]]])
     stats, x = [], []
@@ -118,7 +117,8 @@ def fit(texts: list[pa.Array], quality: np.ndarray, toxic: np.ndarray) -> Model:
             x.append(d)
     s = np.concatenate(stats) if stats else np.zeros((0, 8))
     mean, sd = (s.mean(0), s.std(0) + 1e-6) if m else (np.zeros(8), np.ones(8))
-    full = np.concatenate([np.ones((m, 1)), (s - mean) / sd, np.concatenate(x) if x else np.zeros((0, len(known)))], axis=1)
+    full = np.concatenate([np.ones((m, 1), np.float32), ((s - mean) / sd).astype(np.float32), np.concatenate(x) if x else np.zeros((0, len(known)), np.float32)], axis=1)
+    x.clear()
     weights = np.zeros((full.shape[1], 2))
     ridge = np.full(full.shape[1], 1.0)
     ridge[0] = 1e-3
@@ -126,7 +126,11 @@ def fit(texts: list[pa.Array], quality: np.ndarray, toxic: np.ndarray) -> Model:
         w = np.zeros(full.shape[1])
         for _ in range(12 if m else 0):
             p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
-            step = np.linalg.solve((full * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ full + np.diag(ridge), full.T @ (y - p) - ridge * w)
+            bend = np.diag(ridge)
+            for i in range(0, m, 1024):
+                part = full[i : i + 1024].astype(float)
+                bend += (part * np.maximum(p[i : i + 1024] * (1 - p[i : i + 1024]), 1e-4)[:, None]).T @ part
+            step = np.linalg.solve(bend, full.T @ (y - p) - ridge * w)
             w += step
             if np.abs(step).max() < 1e-4:
                 break
