@@ -11,6 +11,7 @@ from decimal import Decimal, InvalidOperation
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sparkgrain.errors import GuardrailError, ParseError
 from sparkgrain.functions.transforms import cast, enum_targets, nullifying
@@ -170,10 +171,13 @@ def code_points(items: list, at: str = "") -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
-def nfc(s: pd.Series) -> pd.Series:
+def nfc(col: Column) -> Column:
     """Unicode NFC; Spark has no such function."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+    def normal(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+    return F.pandas_udf(normal, StringType())(col)
 
 
 def bound(value: object, t: Logical, at: str = "") -> Column:
