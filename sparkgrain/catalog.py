@@ -45,8 +45,8 @@ _CTE = {
     "l_all": "SELECT l_orderkey AS order_id, CAST(l_linenumber AS BIGINT) AS line_no, l_partkey AS part_id, l_suppkey AS supplier_id, CAST(l_quantity AS DECIMAL(12,2)) AS quantity, CAST(l_extendedprice AS DECIMAL(18,2)) AS list_price, CAST(l_discount AS DECIMAL(4,2)) AS discount, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4)) AS net_price, l_returnflag AS return_flag, l_linestatus AS status, CAST(l_shipdate AS DATE) AS ship_date FROM lineitem",
     "s_line": "SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY order_id, line_no ORDER BY ship_date DESC NULLS LAST, part_id DESC NULLS LAST, supplier_id DESC NULLS LAST, quantity DESC NULLS LAST, list_price DESC NULLS LAST, discount DESC NULLS LAST, return_flag DESC NULLS LAST, status DESC NULLS LAST) AS place FROM l_all) WHERE place = 1",
     "e_all": "SELECT event_id, user_id, CASE event_type WHEN 'purchase' THEN 'buy' WHEN 'view' THEN 'see' ELSE event_type END AS kind, event_type AS raw_kind, CAST(value AS DECIMAL(18,2)) AS value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, nullif(json_extract_string(props, '$.k'), '7') AS k_text, TRY_CAST(CASE WHEN json_extract_string(props, '$.k') || 'x' LIKE '%0x' THEN left(json_extract_string(props, '$.k'), length(json_extract_string(props, '$.k')) - 1) ELSE json_extract_string(props, '$.k') || 'x' END AS BIGINT) AS half, CAST(ts AS DATE) AS event_date, ts AS seen_at FROM events",
-    "e_rules": "SELECT *, kind NOT IN ('buy', 'see', 'click') AS r_in_enum, NOT regexp_full_match(raw_kind, '[a-r]+') AS r_pattern, raw_kind NOT IN ('click', 'view', 'purchase', 'signup') AS r_in_set, length(raw_kind) < 5 OR length(raw_kind) > 6 AS r_length, value < 0.50 OR value > 250.00 AS r_range, k > 95 AS r_kmax, k_text IS NULL AS r_not_null, length(translate(k_text, '012345678', '')) > 0 AS r_charset, half IS NULL AS r_coercible, seen_at IS NOT NULL AND count(*) OVER (PARTITION BY seen_at) > 1 AS r_unique, NOT (kind <> 'buy' OR value >= 1.00) AS r_expression, user_id IS NOT NULL AND user_id NOT IN (SELECT c_custkey FROM customer) AS r_referential FROM e_all",
-    "e_flags": "SELECT *, list_filter([CASE WHEN r_expression THEN 'cheap_purchase' END, CASE WHEN r_referential THEN 'event_by_customer_referential' END, CASE WHEN r_coercible THEN 'half_coercible' END, CASE WHEN r_kmax THEN 'k_range_max' END, CASE WHEN r_charset THEN 'k_text_charset' END, CASE WHEN r_not_null THEN 'k_text_not_null' END, CASE WHEN r_in_enum THEN 'kind_in_enum' END, CASE WHEN r_length THEN 'raw_kind_length' END, CASE WHEN r_pattern THEN 'raw_kind_pattern' END, CASE WHEN r_unique THEN 'seen_at_unique' END], lambda x: x IS NOT NULL) AS flags, coalesce(r_in_set, false) OR coalesce(r_range, false) AS diverted FROM e_rules",
+    "e_rules": "SELECT *, kind NOT IN ('buy', 'see', 'click') AS r_in_enum, NOT regexp_full_match(raw_kind, '[a-r]+') AS r_pattern, raw_kind NOT IN ('click', 'view', 'purchase', 'signup') AS r_in_set, length(raw_kind) < 5 OR length(raw_kind) > 6 AS r_length, value < 0.50 OR value > 250.00 AS r_range, k > 95 AS r_kmax, k_text IS NULL AS r_not_null, length(translate(k_text, '012345678', '')) > 0 AS r_charset, half IS NULL AS r_coercible, value IS NOT NULL AND count(*) OVER (PARTITION BY value) > 1 AS r_unique, NOT (kind <> 'buy' OR value >= 1.00) AS r_expression, user_id IS NOT NULL AND user_id NOT IN (SELECT s_suppkey FROM supplier) AS r_referential FROM e_all",
+    "e_flags": "SELECT *, list_filter([CASE WHEN r_expression THEN 'cheap_purchase' END, CASE WHEN r_referential THEN 'event_by_supplier_referential' END, CASE WHEN r_coercible THEN 'half_coercible' END, CASE WHEN r_kmax THEN 'k_range_max' END, CASE WHEN r_charset THEN 'k_text_charset' END, CASE WHEN r_not_null THEN 'k_text_not_null' END, CASE WHEN r_in_enum THEN 'kind_in_enum' END, CASE WHEN r_length THEN 'raw_kind_length' END, CASE WHEN r_pattern THEN 'raw_kind_pattern' END, CASE WHEN r_unique THEN 'value_unique' END], lambda x: x IS NOT NULL) AS flags, coalesce(r_in_set, false) OR coalesce(r_range, false) AS diverted FROM e_rules",
     "s_event": "SELECT * FROM e_flags WHERE NOT diverted",
     "m_orders": "SELECT o.*, c.name AS customer_name, c.segment AS customer_segment, c.balance AS customer_balance, n.n_name AS nation_name, lower(trim(r.r_name)) AS region_name, CAST(date_trunc('week', order_date) AS DATE) AS ordered_week, CAST(date_trunc('month', order_date) AS DATE) AS ordered_month, CAST(date_trunc('quarter', order_date) AS DATE) AS ordered_quarter, CAST(date_trunc('year', order_date) AS DATE) AS ordered_year, CAST(date_trunc('month', due_date) AS DATE) AS due_month FROM s_order o LEFT JOIN s_customer c USING (customer_id) LEFT JOIN nation n ON c.nation_id = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey",
 }
@@ -164,7 +164,7 @@ def _rule(name: str, rule: str, column: str) -> None:
     query(f"SELECT event_id FROM e_rules WHERE {column}", f"rule_{name}")(lambda fr: fr.pipeline("event").evaluated.where(F.array_contains("_failed", rule)).select("event_id"))
 
 
-for _n, _r, _c in (("in_enum", "kind_in_enum", "r_in_enum"), ("pattern", "raw_kind_pattern", "r_pattern"), ("in_set", "raw_kind_in_set", "r_in_set"), ("length", "raw_kind_length", "r_length"), ("range", "value_range", "r_range"), ("range_max", "k_range_max", "r_kmax"), ("not_null", "k_text_not_null", "r_not_null"), ("charset", "k_text_charset", "r_charset"), ("coercible", "half_coercible", "r_coercible"), ("unique", "seen_at_unique", "r_unique"), ("expression", "cheap_purchase", "r_expression"), ("referential", "event_by_customer_referential", "r_referential")):
+for _n, _r, _c in (("in_enum", "kind_in_enum", "r_in_enum"), ("pattern", "raw_kind_pattern", "r_pattern"), ("in_set", "raw_kind_in_set", "r_in_set"), ("length", "raw_kind_length", "r_length"), ("range", "value_range", "r_range"), ("range_max", "k_range_max", "r_kmax"), ("not_null", "k_text_not_null", "r_not_null"), ("charset", "k_text_charset", "r_charset"), ("coercible", "half_coercible", "r_coercible"), ("unique", "value_unique", "r_unique"), ("expression", "cheap_purchase", "r_expression"), ("referential", "event_by_supplier_referential", "r_referential")):
     _rule(_n, _r, _c)
 
 
@@ -301,7 +301,7 @@ def topk_metric(fr):
 
 # rejects, history, quality mart -----------------------------------------------------------------------------------------
 
-@query("SELECT 'event' AS entity, 'events->event' AS mapping, rule, disposition, rows_evaluated, rows_failed, rows_quarantined, CAST(0 AS BIGINT) AS rows_deduped FROM (SELECT '(entity)' AS rule, '(none)' AS disposition, count(*) AS rows_evaluated, CAST(0 AS BIGINT) AS rows_failed, count(*) FILTER (diverted) AS rows_quarantined FROM e_flags UNION ALL " + " UNION ALL ".join(f"SELECT '{r}', '{how}', CAST(0 AS BIGINT), count(*) FILTER ({c}), CAST(0 AS BIGINT) FROM e_flags" for r, how, c in (("seen_at_coercible", "quarantine", "false"), ("seen_at_unique", "flag", "r_unique"), ("cheap_purchase", "flag", "r_expression"), ("event_by_customer_referential", "flag", "r_referential"), ("event_date_coercible", "quarantine", "false"), ("event_id_coercible", "quarantine", "false"), ("half_coercible", "flag", "r_coercible"), ("k_coercible", "quarantine", "false"), ("k_range_max", "flag", "r_kmax"), ("k_text_charset", "flag", "r_charset"), ("k_text_not_null", "flag", "r_not_null"), ("kind_coercible", "quarantine", "false"), ("kind_in_enum", "flag", "r_in_enum"), ("raw_kind_coercible", "quarantine", "false"), ("raw_kind_in_set", "quarantine", "r_in_set"), ("raw_kind_length", "flag", "r_length"), ("raw_kind_pattern", "flag", "r_pattern"), ("user_id_coercible", "quarantine", "false"), ("value_coercible", "quarantine", "false"), ("value_range", "quarantine", "r_range"))) + ")")
+@query("SELECT 'event' AS entity, 'events->event' AS mapping, rule, disposition, rows_evaluated, rows_failed, rows_quarantined, CAST(0 AS BIGINT) AS rows_deduped FROM (SELECT '(entity)' AS rule, '(none)' AS disposition, count(*) AS rows_evaluated, CAST(0 AS BIGINT) AS rows_failed, count(*) FILTER (diverted) AS rows_quarantined FROM e_flags UNION ALL " + " UNION ALL ".join(f"SELECT '{r}', '{how}', CAST(0 AS BIGINT), count(*) FILTER ({c}), CAST(0 AS BIGINT) FROM e_flags" for r, how, c in (("seen_at_coercible", "quarantine", "false"), ("value_unique", "flag", "r_unique"), ("cheap_purchase", "flag", "r_expression"), ("event_by_supplier_referential", "flag", "r_referential"), ("event_date_coercible", "quarantine", "false"), ("event_id_coercible", "quarantine", "false"), ("half_coercible", "flag", "r_coercible"), ("k_coercible", "quarantine", "false"), ("k_range_max", "flag", "r_kmax"), ("k_text_charset", "flag", "r_charset"), ("k_text_not_null", "flag", "r_not_null"), ("kind_coercible", "quarantine", "false"), ("kind_in_enum", "flag", "r_in_enum"), ("raw_kind_coercible", "quarantine", "false"), ("raw_kind_in_set", "quarantine", "r_in_set"), ("raw_kind_length", "flag", "r_length"), ("raw_kind_pattern", "flag", "r_pattern"), ("user_id_coercible", "quarantine", "false"), ("value_coercible", "quarantine", "false"), ("value_range", "quarantine", "r_range"))) + ")")
 def quality_mart_counts(fr):
     got = quality_mart([(fr.pipeline("event"), "events", fr.bronze["events"])], [], "run-1", date(2024, 2, 1))
     return got.drop("run_id", "run_date")
@@ -317,7 +317,7 @@ def replay_merge(fr):
 
     rejects = J.reject_rows(fr.pipeline("event"), "events")
     cols = ["event_id", "user_id", "event_type", "value", "props", "ts"]
-    s = evaluate(p, fr.registry, "event", {"events": J.payload_rows(rejects, cols)}, {"customer": fr.silver("customer")})
+    s = evaluate(p, fr.registry, "event", {"events": J.payload_rows(rejects, cols)}, {"supplier": fr.silver("supplier")})
     after, _ = J.replay(s, fr.silver("event"), rejects, datetime(2024, 2, 1))
     return after.select("event_id", "kind", "value")
 

@@ -507,9 +507,10 @@ def check(p: Project, registry: Registry | None = None) -> Project:
     SpecError.batch(_chains(p) + _types(p))
     found = _asserts(p) + _quality(p) + _metrics(p) + [x for mart in p.marts.values() for x in mart_refusals(p, mart)]
     if registry is not None:
-        for s in p.steps:
+        macros = [f.macro for m in p.mappings for f in m.all.values() if f.kind == "macro"]
+        for use in sorted({*macros, *(s["use"] for s in p.steps)}):
             try:
-                registry.get(s["use"])
+                registry.get(use)
             except SpecError as err:
                 found.append(err)
     SpecError.batch(found)

@@ -83,7 +83,7 @@ entities:
     quarantine: {retention: 90d}
     quality:
       - {rule: expression, name: cheap_purchase, expr: "kind <> 'buy' or value >= 1.00", on_fail: flag}
-      - {rule: referential, via: event_by_customer, on_missing: flag}
+      - {rule: referential, via: event_by_supplier, on_missing: flag}
     fields:
       event_id: {type: int}
       user_id: {type: int}
@@ -111,7 +111,7 @@ relationships:
   - {name: line_of_order, from: line, to: order, via: {order_id: order_id}, cardinality: many_to_one}
   - {name: line_of_part, from: line, to: part, via: {part_id: part_id}, cardinality: many_to_one}
   - {name: line_of_supplier, from: line, to: supplier, via: {supplier_id: supplier_id}, cardinality: many_to_one}
-  - {name: event_by_customer, from: event, to: customer, via: {user_id: customer_id}, cardinality: many_to_one}
+  - {name: event_by_supplier, from: event, to: supplier, via: {user_id: supplier_id}, cardinality: many_to_one}
 reconcile:
   - {name: order_totals, left: sum(order.amount) by order_id, right: sum(line.list_price) by order_id, tolerance: "1000.00", on_fail: flag}
 coverage:
@@ -199,12 +199,12 @@ fields:
   user_id: {from: $.user_id}
   kind: {from: $.event_type, transform: [{enum_map: [purchase, buy, view, see, click, click]}], quality: [{rule: in_enum, on_fail: flag}]}
   raw_kind: {from: $.event_type, quality: [{rule: pattern, regex: "^[a-r]+$", on_fail: flag}, {rule: in_set, values: [click, view, purchase, signup], on_fail: quarantine}, {rule: length, min: 5, max: 6, on_fail: flag}]}
-  value: {from: $.value, quality: [{rule: range, min: "0.50", max: "250.00", on_fail: quarantine}]}
+  value: {from: $.value, quality: [{rule: unique, on_fail: flag}, {rule: range, min: "0.50", max: "250.00", on_fail: quarantine}]}
   k: {from: $.props.k, transform: [to_int], quality: [{rule: range, max: 95, on_fail: flag}]}
   k_text: {from: $.props.k, transform: [{nullif: "7"}], quality: [{rule: not_null, on_fail: flag}, {rule: charset, allow: ["U+0030-U+0038"], on_fail: flag}]}
   half: {from: $.props.k, transform: [{concat: "x"}, {strip_suffix: "0x"}, to_int], quality: [{rule: coercible, on_fail: flag}]}
   event_date: {from: $.ts}
-  seen_at: {from: $.ts, quality: [{rule: unique, on_fail: flag}]}
+  seen_at: {from: $.ts}
 unmapped: [$._load_id, $._ingested_at, $._source_row_id]
 """,
     "map_party_customer": """

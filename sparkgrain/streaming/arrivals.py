@@ -20,15 +20,16 @@ def deduplicated(stream: DataFrame, key: list[str], time: str, late: str = "1 ho
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
 
 
-def windowed(stream: DataFrame, time: str, width: str, by: list[str], value: str, late: str = "1 hour") -> DataFrame:
-    """Counts and sums by tumbling window and columns; a window comes out when the watermark has passed it."""
-    grouped = stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *by)
+def windowed(stream: DataFrame, time: str, width: str, by: list[str], value: str, late: str | None = "1 hour") -> DataFrame:
+    """Counts and sums by tumbling window and columns; a window comes out when the watermark has passed it. late: None
+    for a stream that has its watermark already."""
+    grouped = (stream.withWatermark(time, late) if late else stream).groupBy(F.window(time, width).alias("w"), *by)
     return grouped.agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("window_start"), *by, "n", "total")
 
 
-def sessions(stream: DataFrame, time: str, gap: str, by: list[str], late: str = "1 hour") -> DataFrame:
+def sessions(stream: DataFrame, time: str, gap: str, by: list[str], late: str | None = "1 hour") -> DataFrame:
     """Sessions by columns, which a pause of `gap` ends: start, end and rows of each."""
-    grouped = stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), *by)
+    grouped = (stream.withWatermark(time, late) if late else stream).groupBy(F.session_window(time, gap).alias("w"), *by)
     return grouped.agg(F.count("*").alias("n")).select(*by, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
