@@ -16,21 +16,38 @@ def bucket(column, unit: str):
     return F.date_trunc(unit, column).cast("date") if unit != "day" else column.cast("date")
 
 
-def flatten(project: Project, mart: MartSpec, silver: dict[str, DataFrame]) -> DataFrame:
+def joins_for(project: Project, mart: MartSpec, need: set[str] | None) -> list[dict]:
+    """The `via` steps that give one of the needed columns, or that such a step goes on from. A join to a whole key
+    neither drops nor repeats rows, so the others can be left out."""
+    first: dict[str, int] = {}
+    vias = [s for s in mart.flatten if "via" in s]
+    for i, s in enumerate(vias):
+        first.setdefault(project.relationships[s["via"]].dst, i)
+    keep: set[int] = set()
+    for i in reversed(range(len(vias))):
+        rel = project.relationships[vias[i]["via"]]
+        own = {vias[i]["prefix"] + f for f in project.entities[rel.dst].fields}
+        if need is None or i in keep or own & need:
+            keep.add(i)
+            if rel.src != mart.base:
+                keep.add(first[rel.src])
+    return [s for i, s in enumerate(vias) if i in keep]
+
+
+def flatten(project: Project, mart: MartSpec, silver: dict[str, DataFrame], need: set[str] | None = None) -> DataFrame:
     """The base joined once for each `via` step (left, many to one, so no row multiplies), each joined column under its
-    prefix; each date role as day, week, month, quarter and year."""
+    prefix; each date role as day, week, month, quarter and year. need: columns that are read, if not all."""
     base = project.entities[mart.base]
     rows = silver[mart.base]
     known = {mart.base: {f: f for f in base.fields}}
     out = {f: F.col(f) for f in sorted(base.fields)}
-    for step in mart.flatten:
-        if "via" in step:
-            rel = project.relationships[step["via"]]
-            dim = silver[rel.dst].select(*[F.col(f).alias(step["prefix"] + f) for f in sorted(project.entities[rel.dst].fields)])
-            here = known[rel.src]
-            rows = rows.join(dim, [F.col(here[a]) == F.col(step["prefix"] + b) for a, b in rel.via.items()], "left")
-            known.setdefault(rel.dst, {f: step["prefix"] + f for f in project.entities[rel.dst].fields})
-            out |= {step["prefix"] + f: F.col(step["prefix"] + f) for f in sorted(project.entities[rel.dst].fields)}
+    for step in joins_for(project, mart, need):
+        rel = project.relationships[step["via"]]
+        dim = silver[rel.dst].select(*[F.col(f).alias(step["prefix"] + f) for f in sorted(project.entities[rel.dst].fields)])
+        here = known[rel.src]
+        rows = rows.join(dim, [F.col(here[a]) == F.col(step["prefix"] + b) for a, b in rel.via.items()], "left")
+        known.setdefault(rel.dst, {f: step["prefix"] + f for f in project.entities[rel.dst].fields})
+        out |= {step["prefix"] + f: F.col(step["prefix"] + f) for f in sorted(project.entities[rel.dst].fields)}
     for step in mart.flatten:
         if "date" in step:
             out |= {f"{step['role']}_{b}": bucket(F.col(step["date"]), b) for b in BUCKETS}

@@ -72,10 +72,10 @@ class Frames:
             bound = {v.split(".")[-1]: self.silver(v.split(".")[-1]) for v in (s.get("inputs") or {}).values()}
             self._given |= run_step(self.registry, s, bound)
 
-    def mart(self, name: str) -> DataFrame:
+    def mart(self, name: str, need: set[str] | None = None) -> DataFrame:
         m = self.project.marts[name]
-        need = {m.base, *(self.project.relationships[s["via"]].dst for s in m.flatten if "via" in s)}
-        return M.flatten(self.project, m, {e: self.silver(e) for e in need})
+        read = {m.base, *(self.project.relationships[s["via"]].dst for s in M.joins_for(self.project, m, need))}
+        return M.flatten(self.project, m, {e: self.silver(e) for e in read}, need)
 
     def reconcile(self, name: str) -> DataFrame:
         spec = next(s for s in self.project.reconcile if s["name"] == name)
@@ -91,7 +91,7 @@ class Frames:
 
     def answer(self, request: MetricRequest, policy: RowPolicy | None = None) -> DataFrame:
         p = self.plan(request, policy)
-        return execute(p, self.mart(p.mart.name))
+        return execute(p, self.mart(p.mart.name, p.reads))
 
 
 class Engine:
