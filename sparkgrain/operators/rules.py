@@ -19,7 +19,6 @@ from sparkgrain.functions.types import STRING, Logical
 from sparkgrain.plans.spec import EntitySpec, MappingSpec, Project
 
 UNKNOWN_MEMBER = "__unknown__"
-SEVERITY = {"flag": 0, "repair": 0, "unknown_member": 0, "quarantine": 1, "fail": 2}
 
 
 @dataclass(frozen=True)
@@ -61,7 +60,8 @@ def rules_of(project: Project, entity: EntitySpec) -> list[Rule]:
                 p["slice"] = slices
             if q["rule"] == "in_enum":
                 p["values"] = enum_targets(list(f.chain)) or []
-            made.append(Rule(stem, q["rule"], col, q["on_fail"], p))
+            how = q["repair"]["fallback"] if q["on_fail"] == "repair" else q["on_fail"]  # for what the repair leaves broken
+            made.append(Rule(stem, q["rule"], col, how, p))
         if not any(q["rule"] == "coercible" for q in f.quality) and (col in order_by or not nullifying(list(f.chain))):
             made.append(Rule(f"{col}_coercible", "coercible", col, "fail" if col in order_by else "quarantine"))
     written = []

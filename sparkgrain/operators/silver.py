@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkgrain.functions.transforms import apply_chain, cast
+from sparkgrain.functions.transforms import apply_chain, cast, enum_targets
 from sparkgrain.functions.types import STRING, Logical
 from sparkgrain.operators import rules as R
 from sparkgrain.operators.steps import Registry, spliced
@@ -98,8 +98,10 @@ def branch(project: Project, registry: Registry, entity: EntitySpec, m: MappingS
             if q.get("on_fail") == "repair":
                 body = spliced(registry, q["repair"]["via"], {"value": f"`_pre_{name}`"}, q["repair"].get("parameters", {}))
                 staged = staged.withColumn(f"_pre_{name}", value)
-                value = cast(F.expr(body), spec.type, lenient)
-                cols.append((~F.col(f"_pre_{name}").eqNullSafe(value)).alias(f"_repaired_{name}"))
+                params = {**q, "values": q.get("values") or enum_targets(list(f.chain)) or []}
+                broken = F.coalesce(R.verdict(R.Rule("", q["rule"], f"_pre_{name}", "flag", params), {f"_pre_{name}": spec.type}), F.lit(False))
+                value = F.when(broken, cast(F.expr(body), spec.type, lenient)).otherwise(F.col(f"_pre_{name}"))
+                cols.append(broken.alias(f"_repaired_{name}"))
         cols.append(value.alias(name))
         if f.direct:
             cols.append(cast(extraction(bronze, f.direct), spec.type, lenient).alias(f"{name}__direct"))
@@ -147,13 +149,13 @@ def evaluate(project: Project, registry: Registry, name: str, bronze: dict[str,
         rows = deduplicate(rows, entity)
     surviving = rows
     rows = R.stage_references(R.stage_windows(rows, rules), rules, parents or {})
-    recorded = [r for r in rules if r.on_fail in ("flag", "fail", "repair") or r.on_fail == "unknown_member"]
+    recorded = [r for r in rules if r.on_fail in ("flag", "fail", "unknown_member")]
     rows = rows.withColumn("_quality_flags", R.flags(recorded, types)).withColumn("_failed", R.flags(rules, types)).withColumn("_diverted", R.routed(rules, types))
     for r in rules:
         if r.kind == "referential" and r.on_fail == "unknown_member":
             fk = next(iter(r.params["relationship"].via))
             rows = rows.withColumn(fk, F.when(F.col(f"_verdict_{r.name}"), F.lit(R.UNKNOWN_MEMBER)).otherwise(F.col(fk)))
-    repaired = [r for r in rules if r.on_fail == "repair"]
+    repaired = [r for r in rules if "repair" in r.params]
     if repaired:
         rows = rows.withColumn("_quality_repairs", F.array_compact(F.array(*[F.when(F.col(f"_repaired_{r.column}"), F.lit(r.name)) for r in repaired])))
     rows = rows.withColumn("_quality_ok", F.size("_quality_flags") == 0)

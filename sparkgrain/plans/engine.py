@@ -8,6 +8,7 @@ from datetime import date, datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sparkgrain.errors import CircularDerivation, Unsupported
 from sparkgrain.operators import audits as A
@@ -139,6 +140,10 @@ class Engine:
         frames._steps
         for name in {v.split(".")[-1] for w in p.steps for v in (w.get("outputs") or {}).values()}:
             frames._given[name] = self.store.full("silver", name, frames.silver(name))
+        for w in p.steps:
+            for q in w.get("quality") or ():
+                rows = frames.silver((w.get("applies_to") or {}).get(q["name"]) or next(iter(w["outputs"])))
+                found += A.enforce([A.Audit(f"{w['use']}_{q['name']}", rows.where(~F.expr(q["expr"])))])
         checks = []
         for spec in p.reconcile:
             rows = self.store.full("silver", f"{spec['name']}__reconcile", frames.reconcile(spec["name"]))
@@ -162,6 +167,10 @@ class Engine:
             out.append(A.Audit(f"{e.name}_conservation", A.conservation(s)))
         if len(mappings) > 1:
             out.append(A.Audit(f"{e.name}_collisions", A.collisions(s.kept, e.key)))
+        if (e.scd == "type2" or materialization(e) != "full") and self.store.exists("silver", e.name):
+            # rows of earlier runs that this one doesn't replace count too
+            stored = self.store.read("silver", e.name).join(s.evaluated.select(*e.key), list(e.key), "left_anti")
+            out += [A.Audit(f"{e.name}_{r.name}_stored", stored.where(F.array_contains("_quality_flags", r.name))) for r in s.rules if r.on_fail == "fail"]
         return out + A.fail_rules(s) + A.asserts(s)
 
     def replay(self, entity: str, at: datetime) -> None:

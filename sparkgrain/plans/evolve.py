@@ -115,7 +115,7 @@ def _quality(old: Project, new: Project, a: EntitySpec, b: EntitySpec, replay: s
                 replay.add(b.name)
         elif was[n] != now[n]:
             yield Change(b.name, n, "restating", f"rule changed ({was[n].on_fail} to {now[n].on_fail})" if was[n].on_fail != now[n].on_fail else "rule changed")
-            if was[n].on_fail == "quarantine" and (now[n].on_fail in ("flag", "repair", "unknown_member") or now[n].on_fail == "quarantine" and _looser(was[n], now[n])):
+            if was[n].on_fail == "quarantine" and (now[n].on_fail in ("flag", "unknown_member") or now[n].on_fail == "quarantine" and _looser(was[n], now[n])):
                 replay.add(b.name)
     if a.dedupe != b.dedupe:
         yield Change(b.name, "dedupe", "restating", "deduplication changed")

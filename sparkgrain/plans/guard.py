@@ -349,6 +349,10 @@ def _quality(p: Project) -> list[SpecError]:
     return out
 
 
+def _repairs(p: Project) -> list[SpecError]:
+    return [E.GuardrailError("a repair names its macro, and what becomes of rows that it leaves broken", f"mapping[{m.source}->{m.target}].{f.name}") for m in p.mappings for f in m.all.values() for q in f.quality if q.get("on_fail") == "repair" and ("via" not in (q.get("repair") or {}) or q["repair"].get("fallback") not in ("flag", "quarantine", "fail"))]
+
+
 def _field_rule(e: EntitySpec, f, q: dict, order: tuple, at: str) -> list[SpecError]:
     out: list[SpecError] = []
     t, kind = e.fields[f.name].type, q["rule"]
@@ -375,8 +379,11 @@ def _field_rule(e: EntitySpec, f, q: dict, order: tuple, at: str) -> list[SpecEr
         out.append(E.GuardrailError(f"in_set {q.get('values')!r} on a {t}", at))
     if kind == "coercible" and nullifying(list(f.chain)) and f.name not in order:
         out.append(E.GuardrailError("coercible over a chain that gives nulls on purpose", at))
-    if q.get("on_fail") == "repair" and not q.get("repair"):
-        out.append(E.GuardrailError("a repair names its macro", at))
+    if q.get("on_fail") == "repair":
+        if kind in ("coercible", "unique") or f.kind != "path":
+            out.append(E.GuardrailError(f"{kind} of a {f.kind} can't be repaired", at))
+        if sum(x.get("on_fail") == "repair" for x in f.quality) > 1:
+            out.append(E.GuardrailError("a field has one repair", at))
     return out
 
 
@@ -505,9 +512,11 @@ def check(p: Project, registry: Registry | None = None) -> Project:
     SpecError.batch(_references(p))
     SpecError.batch(metric_cycles(p) + _merges(p))
     SpecError.batch(_chains(p) + _types(p))
+    SpecError.batch(_repairs(p))  # what a rule is called and does depends on them
     found = _asserts(p) + _quality(p) + _metrics(p) + [x for mart in p.marts.values() for x in mart_refusals(p, mart)]
     if registry is not None:
         macros = [f.macro for m in p.mappings for f in m.all.values() if f.kind == "macro"]
+        macros += [q["repair"]["via"] for m in p.mappings for f in m.all.values() for q in f.quality if (q.get("repair") or {}).get("via")]
         for use in sorted({*macros, *(s["use"] for s in p.steps)}):
             try:
                 registry.get(use)
