@@ -259,10 +259,9 @@ def metric_semi_additive_by_kind(fr):
     return rows.where("level is not null")
 
 
-@query("SELECT region_name, min(amount) AS smallest_order, max(amount) AS largest_order, CAST(median(amount) AS DECIMAL(38,2)) AS median_order, count(*) FILTER (status = 'open') AS open_orders FROM m_orders GROUP BY 1")
+@query("SELECT region_name, min(amount) AS smallest_order, max(amount) AS largest_order, CAST(median(CAST(amount AS DECIMAL(38,9))) AS DECIMAL(38,9)) AS median_order, count(*) FILTER (status = 'open') AS open_orders FROM m_orders GROUP BY 1")
 def metric_other_aggregates(fr):
-    got = _ask(fr, ["smallest_order", "largest_order", "median_order", "open_orders"], ["region_name"])
-    return got.select("region_name", "smallest_order", "largest_order", F.col("median_order").cast("decimal(38,2)").alias("median_order"), "open_orders")
+    return _ask(fr, ["smallest_order", "largest_order", "median_order", "open_orders"], ["region_name"])
 
 
 @query("SELECT count(DISTINCT customer_id) AS buyers, ordered_year FROM m_orders GROUP BY 2")
