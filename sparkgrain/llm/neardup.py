@@ -22,8 +22,11 @@ VERIFY_COST, VERIFY_SHARE = 20.0, 0.7
 SLICE_DF, HOT_DF, HOT_MOST = 2, 4, 1 << 20
 #: Bytes of input behind a token bucket; documents of a block that are verified together; n-gram sets in a task.
 BUCKET_BYTES, BLOCK_DOCS, SETS_IN_TASK = 16 << 20, 256, 2000
-#: Prefix tokens, frequent ones first, that a document carries to settle where a pair is proposed.
-ANCHORS = 6
+#: Prefix tokens, frequent ones first, that a document carries to settle where a pair is proposed; those that aren't
+#: frequent fill up to so many, as few documents share them and each costs bytes in every bucket.
+ANCHORS, RARE_ANCHORS = 6, 2
+#: Tokens travel without so many low bits: 48 are left. In buckets that can only add candidates, which are verified.
+CUT = np.uint64(16)
 
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -113,8 +116,8 @@ def adaptive_prefix(grams: np.ndarray, count: np.ndarray, t: float, hot_: Hot) -
         pick = int(np.argmin(costs)) + 1
     head = order[: base + pick - 1]
     hot = head[count[head] > 0][:ANCHORS]
-    if len(hot) < ANCHORS:
-        hot = np.concatenate([hot, head[count[head] == 0][: ANCHORS - len(hot)]])
+    if len(hot) < RARE_ANCHORS:
+        hot = np.concatenate([hot, head[count[head] == 0][: RARE_ANCHORS - len(hot)]])
     return grams[head], grams[hot], pick
 
 
@@ -179,7 +182,7 @@ def _known(grams: np.ndarray, hot: Hot) -> np.ndarray:
 
 
 def _postings(n: int, t: float, hot, buckets: int):
-    """Rows (bucket, blob of nodes, blob of tokens): a slice's prefix tokens for one bucket, 12 bytes a posting."""
+    """Rows (bucket, blob): a slice's prefix tokens for one bucket, and the nodes that they are of."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,29 +195,51 @@ def _postings(n: int, t: float, hot, buckets: int):
                         continue
                     seen.add(s)
                     head, anchors, pick = adaptive_prefix(g, _known(g, hot.value), t, hot.value)
-                    nodes.append((s, len(g), pick, [*(int(x) for x in anchors), *[0] * ANCHORS][:ANCHORS]))
+                    nodes.append((s, len(g), pick, [*(int(x >> CUT) for x in anchors), *[0] * ANCHORS][:ANCHORS]))
                     toks.append(head)
                     lens.append(len(head))
                 if not nodes:
                     continue
                 tok, own = np.concatenate(toks), np.repeat(np.arange(len(nodes)), lens)
                 node = np.array([(s, z, p, tuple(q)) for s, z, p, q in nodes], _NODE)
+                order = np.argsort(tok, kind="stable")  # buckets are ranges of tokens, so this orders them too
+                tok, own = tok[order], own[order]
                 bucket = ((tok >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.flatnonzero(np.diff(bucket[order])) + 1
-                at, nb, tb = [], [], []
-                for part in np.split(order, cut):
-                    local, idx = np.unique(own[part], return_inverse=True)
-                    at.append(int(bucket[part[0]]))
-                    nb.append(node[local].tobytes())
-                    tb.append(np.rec.fromarrays([tok[part], idx.astype(np.uint32)], dtype=_TOKEN).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(nb, pa.binary()), pa.array(tb, pa.binary())], ["bucket", "nodes", "tokens"])
+                edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(tok)]])
+                at, blobs = bucket[edge[:-1]].astype(np.int64), []
+                for x, y in zip(edge[:-1], edge[1:]):
+                    local, idx = np.unique(own[x:y], return_inverse=True)
+                    blobs.append(_packed(_steps(tok[x:y] >> CUT), idx.astype(np.uint32), *(node[local][f] for f in _NODE.names)))
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return job
 
 
+_U64, _U32 = np.dtype(np.uint64), np.dtype(np.uint32)
 _NODE = np.dtype([("sig", np.int64), ("size", np.int32), ("need", np.uint8), ("anchors", np.uint64, (ANCHORS,))])
-_TOKEN = np.dtype([("gram", np.uint64), ("node", np.uint32)])
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """A sorted array as its first value and the steps to the next ones."""
+    return np.diff(x, prepend=np.uint64(0)).astype(np.uint64)
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Arrays in one blob, byte planes one after another, so that small steps and repeated bytes pack well."""
+    raw = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes() for x in columns)
+    sizes = np.array([len(raw), *(len(x) for x in columns)], np.int32).tobytes()
+    return sizes + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, *kinds: np.dtype) -> list[np.ndarray]:
+    sizes = np.frombuffer(blob, np.int32, len(kinds) + 1)
+    raw, at, out = np.frombuffer(pa.decompress(blob[sizes.nbytes :], int(sizes[0]), codec="zstd", asbytes=True), np.uint8), 0, []
+    for n, kind in zip(sizes[1:], kinds):
+        whole = kind.itemsize * int(n)
+        flat = raw[at : at + whole].reshape(kind.base.itemsize, -1).T.copy().view(kind.base).ravel()
+        out.append(flat.reshape(int(n), *kind.shape))
+        at += whole
+    return out
 
 
 def _pairs_of_runs(starts: np.ndarray, ends: np.ndarray, most: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -243,21 +268,23 @@ def _propose(t: float):
     """
 
     def job(group: pa.Table) -> pa.Table:
-        nodes, toks, base = [], [], 0
-        for nb, tb in zip(group["nodes"].to_pylist(), group["tokens"].to_pylist()):
-            node, tok = np.frombuffer(nb, _NODE), np.frombuffer(tb, _TOKEN).copy()
-            tok["node"] += base
+        nodes, toks, owners, base = [], [], [], 0
+        for blob in group["blob"].to_pylist():
+            steps, idx, *cols = _unpacked(blob, _U64, _U32, *(_NODE[f] for f in _NODE.names))
+            node = np.empty(len(cols[0]), _NODE)
+            for f, x in zip(_NODE.names, cols):
+                node[f] = x
+            toks.append(np.cumsum(steps, dtype=np.uint64))
+            owners.append(idx.astype(np.int64) + base)
             base += len(node)
             nodes.append(node)
-            toks.append(tok)
-        node, tok = np.concatenate(nodes), np.concatenate(toks)
+        node, key, own = np.concatenate(nodes), np.concatenate(toks), np.concatenate(owners)
         order = np.lexsort((node["size"], node["sig"]))
         s = node[order]
         new = np.concatenate([[True], (s["sig"][1:] != s["sig"][:-1]) | (s["size"][1:] != s["size"][:-1])])
         to = np.empty(len(node), np.int64)
         to[order] = np.cumsum(new) - 1
-        node, own = s[new], to[tok["node"]]
-        key = tok["gram"]
+        node, own = s[new], to[own]
         order = np.lexsort((own, key))
         key, own = key[order], own[order]
         once = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
@@ -331,7 +358,7 @@ def _set_rows(found) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
     for grams, want in found:
         s = fingerprint(grams)
-        blob = grams.tobytes()
+        blob = _packed(_steps(grams >> CUT)) if any(sig == s for sig, _ in want) else b""
         out += [(int(g), s, len(grams), blob) for sig, g in want if sig == s]
         if len(out) >= 4000:
             yield _set_batch(out)
@@ -347,7 +374,7 @@ def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _verify(t: float):
     def job(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        held = {(s, z): np.frombuffer(x, np.uint64) for s, z, x in zip(sets["sig"].to_pylist(), sets["size"].to_pylist(), sets["grams"].to_pylist())}
+        held = {(s, z): np.cumsum(_unpacked(x, _U64)[0], dtype=np.uint64) for s, z, x in zip(sets["sig"].to_pylist(), sets["size"].to_pylist(), sets["grams"].to_pylist())}
         cols = {x: pairs[x].to_numpy() for x in ("a", "sa", "b", "sb")}
         keep = np.zeros(len(cols["a"]), bool)
         jac = np.zeros(len(cols["a"]))
@@ -387,7 +414,7 @@ def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     hot = spark.sparkContext.broadcast(_hot(survey))  # HOT_MOST bounds it
     held = plan_bytes(docs)
     buckets = max(1, -(-held // BUCKET_BYTES)) if held < 1 << 60 else int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posted = arrow_map(scan, _postings(n, t, hot, buckets), "bucket bigint, nodes binary, tokens binary")
+    posted = arrow_map(scan, _postings(n, t, hot, buckets), "bucket bigint, blob binary")
     found = posted.groupBy("bucket").applyInArrow(_propose(t), "a bigint, sa int, b bigint, sb int, k int, need int")
     cand = found.groupBy("a", "sa", "b", "sb").agg(F.sum("k").alias("k"), F.first("need").alias("need")).where(F.col("k") >= F.col("need")).drop("k", "need")
     cand = written(cand, "dup-candidates")
@@ -426,8 +453,9 @@ def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     sets follow from these. That keeps thousands of copies from giving millions of rows.
 
     Two passes over the texts: one for set fingerprints and n-grams that are frequent, one for prefix tokens by
-    token bucket (12 bytes each and their nodes, the only large shuffle); a third reads the texts that candidates name.
-    Sets are told apart by size and a 64-bit fingerprint of 64-bit n-gram hashes.
+    token bucket, packed, and their nodes; a third reads the texts that candidates name and sends their sets to be
+    verified. Sets are told apart by size and a 64-bit fingerprint of 64-bit n-gram hashes; verification compares the
+    upper 48 bits of the hashes.
 
     Defined cases: ids are integers; rows with a null id or text, or with no word, take part in no pair. A text
     shorter than n words is one gram, so it pairs with its equals. Repeated rows count once; an id on rows with
