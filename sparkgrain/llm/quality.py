@@ -16,9 +16,14 @@ from sparkgrain.llm.common import arrow_map, c, ship, slices, strings, tokens, w
 
 #: Labelled rows that the classifier is fitted on, those whose ids hash lowest.
 TRAIN_ROWS = 12_000
-#: Words in the model: at most so many by |z|, each in so many training texts and at least so telling.
-MAX_WORDS, MIN_TEXTS, MIN_Z = 512, 6, 4.0
+#: Words and beginnings of words in the model: at most so many by |z|, each in so many training texts and at least so
+#: telling. Beginnings tell of inflected words that training never saw.
+MAX_WORDS, MIN_TEXTS, MIN_Z, STEMS = 512, 6, 4.0, (4, 5, 6)
+#: Weight of the penalty on squared weights.
+RIDGE = 1.0
 KEEP_AT = 0.5
+#: Bytes of text that are judged at once.
+PART_BYTES = 2 << 20
 #: A site's prior may move a text's log odds by so much at most, as sites mix good and bad texts.
 MAX_SHIFT = 2.0
 
@@ -42,7 +47,7 @@ class Model:
         """Log odds that a text is good and clean; an empty or null one has nothing for it."""
         out = np.full(len(texts), -8.0)
         arr = strings(texts)
-        for a, b in slices(arr):
+        for a, b in slices(arr, PART_BYTES):
             part = arr.slice(a, b - a)
             stats, rows, cols, n = _features(part, self.words)
             z = ((stats - self.mean) / self.sd) @ self.weights[1 : 1 + stats.shape[1]] + self.weights[0]
@@ -70,16 +75,29 @@ def _shape(arr: pa.Array, n_tokens: np.ndarray, repeats: np.ndarray) -> np.ndarr
     return np.column_stack([counts[:, [_UPPER, _DIGIT, _SPACE, _SIGN]] / some[:, None], np.log1p(size), np.minimum(size / words, 60), counts[:, _SIGN] / words, repeats / words])
 
 
+def _spellings(words: pa.Array) -> list[np.ndarray]:
+    """Hashes of words, and of their beginnings of each length in STEMS; a shorter word is no stem."""
+    out = [word_hash(words)]
+    for k in STEMS:
+        stems = pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, k), *(pa.scalar(x, words.type) for x in ("*", ""))).dictionary_encode()
+        h = word_hash(stems.dictionary)[stems.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
+        out.append(np.where(pc.utf8_length(words).to_numpy(zero_copy_only=False) >= k, h, np.uint64(0)))
+    return out
+
+
 def _features(arr: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Statistics, (row, known word) pairs without repeats, and token counts."""
+    """Statistics, (row, known word or stem) pairs without repeats, and token counts."""
     codes, offsets, words = tokens(arr)
     n = np.diff(offsets)
-    h = word_hash(words)
-    at = np.searchsorted(known, h) if len(known) else np.zeros(len(h), int)
-    hit = (known[np.minimum(at, len(known) - 1)] == h) if len(known) else np.zeros(len(h), bool)
-    sel = np.flatnonzero(hit[codes]) if len(codes) else np.zeros(0, int)
-    rows = np.searchsorted(offsets, sel, side="right") - 1
-    pairs = np.unique(rows * max(len(known), 1) + at[codes[sel]]) if len(sel) else np.zeros(0, int)
+    found = [np.zeros(0, int)]
+    if len(known) and len(codes):
+        spelt = _spellings(words)
+        ats = [np.minimum(np.searchsorted(known, h), len(known) - 1) for h in spelt]
+        hits = [known[at] == h for at, h in zip(ats, spelt)]
+        some = np.flatnonzero(np.logical_or.reduce(hits)[codes])
+        rows, word = np.searchsorted(offsets, some, side="right") - 1, codes[some]
+        found += [(rows * len(known) + at[word])[hit[word]] for at, hit in zip(ats, hits)]
+    pairs = np.unique(np.concatenate(found))
     same = np.concatenate([[0], np.cumsum(codes[1:] == codes[:-1]), [0]])[: len(codes)] if len(codes) else np.zeros(1, int)
     last, first = np.maximum(offsets[1:] - 1, 0), np.minimum(offsets[:-1], max(len(codes) - 1, 0))
     return _shape(arr, n, np.where(n > 0, same[last] - same[first], 0)), pairs // max(len(known), 1), pairs % max(len(known), 1), n
@@ -91,13 +109,19 @@ def fit(texts: list[pa.Array], quality: np.ndarray, toxic: np.ndarray) -> Model:
     m = len(good)
     uniq, counts, at = np.zeros(0, np.uint64), np.zeros((0, 3)), 0
     for arr in texts:
-        for a, b in slices(arr):
+        for a, b in slices(arr, PART_BYTES):
             codes, offsets, words = tokens(arr.slice(a, b - a))
-            n = max(len(words), 1)
-            pairs = np.unique(np.repeat(np.arange(b - a), np.diff(offsets)) * n + codes)
-            own, word = at + pairs // n, pairs % n
-            here = np.column_stack([np.bincount(word, weights=y, minlength=len(words)) for y in (None, good[own], clean[own])])
-            uniq, inv = np.unique(np.concatenate([uniq, word_hash(words)]), return_inverse=True)
+            texts_of = np.repeat(np.arange(b - a), np.diff(offsets))
+            met, sums = [], []
+            for spelt in _spellings(words):
+                names, to = np.unique(spelt, return_inverse=True)
+                n = max(len(names), 1)
+                pairs = np.unique(texts_of * n + to[codes]) if len(codes) else np.zeros(0, int)
+                own, word = at + pairs // n, pairs % n
+                met.append(names)
+                sums.append(np.column_stack([np.bincount(word, weights=y, minlength=len(names)) for y in (None, good[own], clean[own])]))
+            here = np.concatenate(sums)
+            uniq, inv = np.unique(np.concatenate([uniq, *met]), return_inverse=True)
             both = np.concatenate([counts, here])
             counts = np.column_stack([np.bincount(inv, weights=both[:, i], minlength=len(uniq)) for i in range(3)])
             at += b - a
@@ -105,11 +129,12 @@ def fit(texts: list[pa.Array], quality: np.ndarray, toxic: np.ndarray) -> Model:
     for i, y in enumerate((good, clean)):
         p = float(np.clip(y.mean() if m else 0.5, 1e-3, 1 - 1e-3))
         z = np.maximum(z, np.abs(counts[:, 1 + i] - df * p) / np.sqrt(np.maximum(df * p * (1 - p), 1e-9)))
-    ok = np.flatnonzero((df >= MIN_TEXTS) & (z >= MIN_Z))
-    known = np.sort(uniq[ok[np.argsort(-z[ok], kind="stable")[:MAX_WORDS]]])
+    ok = np.flatnonzero((df >= MIN_TEXTS) & (z >= MIN_Z) & (uniq > 0))
+    chosen = np.sort(ok[np.argsort(-z[ok], kind="stable")[:MAX_WORDS]])  # uniq is sorted, so the hashes are too
+    known = uniq[chosen]
     stats, x = [], []
     for arr in texts:
-        for a, b in slices(arr):
+        for a, b in slices(arr, PART_BYTES):
             s, rows, cols, _ = _features(arr.slice(a, b - a), known)
             d = np.zeros((b - a, len(known)), np.float32)
             d[rows, cols] = 1
@@ -120,9 +145,12 @@ def fit(texts: list[pa.Array], quality: np.ndarray, toxic: np.ndarray) -> Model:
     full = np.concatenate([np.ones((m, 1), np.float32), ((s - mean) / sd).astype(np.float32), np.concatenate(x) if x else np.zeros((0, len(known)), np.float32)], axis=1)
     x.clear()
     weights = np.zeros((full.shape[1], 2))
-    ridge = np.full(full.shape[1], 1.0)
-    ridge[0] = 1e-3
     for head, y in enumerate((good, clean)):
+        # words are held back by how little they tell alone: a word that one class never has may weigh much at once
+        yes, no = counts[chosen, 1 + head], df[chosen] - counts[chosen, 1 + head]
+        tells = np.log((yes + 1) / (y.sum() + 2)) - np.log((no + 1) / (m - y.sum() + 2))
+        ridge = np.full(full.shape[1], RIDGE)
+        ridge[0], ridge[1 + s.shape[1] :] = 1e-3, RIDGE / np.maximum(np.abs(tells), 0.3) ** 2
         w = np.zeros(full.shape[1])
         for _ in range(12 if m else 0):
             p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
