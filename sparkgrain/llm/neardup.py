@@ -21,7 +21,7 @@ VERIFY_COST, VERIFY_SHARE = 20.0, 0.7
 #: many are kept, the most frequent. They order tokens and estimate costs; results don't depend on them.
 SLICE_DF, HOT_DF, HOT_MOST = 2, 4, 1 << 20
 #: Bytes of input behind a token bucket; documents of a block that are verified together; n-gram sets in a task.
-BUCKET_BYTES, BLOCK_DOCS, SETS_IN_TASK = 16 << 20, 256, 2000
+BUCKET_BYTES, BLOCK_DOCS, SETS_IN_TASK = 8 << 20, 256, 2000
 #: Prefix tokens, frequent ones first, that a document carries to settle where a pair is proposed; those that aren't
 #: frequent fill up to so many, as few documents share them and each costs bytes in every bucket.
 ANCHORS, RARE_ANCHORS = 6, 2
@@ -279,12 +279,14 @@ def _propose(t: float):
             base += len(node)
             nodes.append(node)
         node, key, own = np.concatenate(nodes), np.concatenate(toks), np.concatenate(owners)
+        del nodes, toks, owners, cols
         order = np.lexsort((node["size"], node["sig"]))
         s = node[order]
         new = np.concatenate([[True], (s["sig"][1:] != s["sig"][:-1]) | (s["size"][1:] != s["size"][:-1])])
         to = np.empty(len(node), np.int64)
         to[order] = np.cumsum(new) - 1
         node, own = s[new], to[own]
+        del s, to
         order = np.lexsort((own, key))
         key, own = key[order], own[order]
         once = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
