@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrain.llm.common import arrow_map, c, forget, slices, strings, tokens, word_hash, written
+from sparkgrain.llm.common import BROADCAST_ROWS, arrow_map, c, forget, slices, strings, tokens, word_hash, written
 
-CLASSES, ROUNDS = 64, 4
-#: A word is clustered if it is at least this share of all tokens (and said twice): at most 1 / MIN_SHARE words can
-#: be, however large the corpus, which bounds what is broadcast. All rarer words together are one more class.
-MIN_SHARE = 2e-7
+CLASSES = 64
+#: Half-rounds of the exchange; it ends before them if a full round gains no more than this share of the likelihood.
+TOLERANCE, ROUNDS = 0.0, 4
+#: A word is clustered if it is said so often, at every size of the corpus; all others together are one more class.
+MIN_COUNT = 2
+#: A caller may besides ask for a least share of all tokens; the default asks for none.
+MIN_SHARE = 0.0
 #: Smoothing mass of a class's transitions, spread as the classes are; count added to each word's emission.
 TRANSITION_MASS, EMISSION_ADD = 10.0, 0.5
-#: Words whose contexts one task holds.
-WORDS_IN_TASK = 4096
+#: Words, and tokens of them, whose neighbours one task holds (a single word may have more).
+WORDS_IN_TASK, TOKENS_IN_TASK = 4096, 4 << 20
+#: Pairs that are merged at once.
+MERGED_PAIRS = 4 << 20
+#: Where a half-round's moves together lower the likelihood, every 2nd, 4th, ... word's are tried, so many times.
+TRIES = 8
 
 
 @dataclass
@@ -51,23 +59,32 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(word_hash(words)[some].view(np.int64)), pa.array(k[some].astype(np.int64))], ["h", "k"])
 
 
-def vocabulary(docs: DataFrame, text: str, min_share: float) -> Vocabulary:
-    """Counts of all words of all documents; those frequent enough go to the driver."""
+def _words(docs: DataFrame, text: str, min_share: float) -> tuple[DataFrame, dict, int]:
+    """Counts of all words of all documents as a written table; totals; the least count of a clustered word."""
     every = written(arrow_map(docs.where(c(text).isNotNull()).select(c(text)), _count, "h bigint, k bigint").groupBy("h").agg(F.sum("k").alias("k")), "lm-words")
-    total = every.agg(F.sum("k").alias("n"), F.count("*").alias("types")).first()
-    least = max(2, int(np.ceil((total["n"] or 0) * min_share)))
-    got = every.where(F.col("k") >= least).toArrow()  # at most 1 / min_share rows
+    total = every.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.count("*").alias("types")).first().asDict()
+    least = max(MIN_COUNT, int(np.ceil(total["n"] * min_share)))
+    return every, total | {"clustered": every.where(F.col("k") >= least).count()}, least
+
+
+def _collected(every: DataFrame, total: dict, least: int) -> Vocabulary:
+    got = every.where(F.col("k") >= least).toArrow()
     forget(every)
     h, k = (got["h"].to_numpy().view(np.uint64), got["k"].to_numpy()) if got.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     rank = np.empty(len(h), np.int64)
     rank[np.lexsort((h, -k))] = np.arange(1, len(h) + 1)
     counts = np.zeros(len(h) + 1, np.int64)
     counts[rank] = k
-    counts[0] = (total["n"] or 0) - k.sum()
+    counts[0] = total["n"] - k.sum()
     order = np.argsort(h)
     return Vocabulary(h[order], rank[order].astype(np.int32), counts, max(1, total["types"] - len(h)))
 
 
+def vocabulary(docs: DataFrame, text: str, min_share: float = MIN_SHARE) -> Vocabulary:
+    """Counts of all words of all documents; those frequent enough go to the driver."""
+    return _collected(*_words(docs, text, min_share))
+
+
 def _encode(vocab):
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
@@ -108,45 +125,64 @@ def _before(cls: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
     return prev
 
 
-def _transitions(of, k: int):
+def _pairs(told):
+    """Neighbours of words with their counts, by word bucket: those before (the start sign is the last id) and after."""
+
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sums = of.value, np.zeros(k * k, np.int64)
+        bucket_of = told.value
+        span = len(bucket_of) + 1
         for batch in batches:
             flat, first, _ = _ids(batch)
-            if len(flat):
-                cls = table[flat]
-                sums += np.bincount(_before(cls, first, k - 1).astype(np.int64) * k + cls, minlength=k * k)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["cell", "k"])
+            if not len(flat):
+                continue
+            key, n = np.unique(_before(flat.astype(np.int64), first, span - 1) * span + flat, return_counts=True)
+            before, word = key // span, key % span
+            some = (before > 0) & (before < span - 1)
+            for side, at, key, n_ in ((0, word, word * span + before, n), (1, before[some], key[some], n[some])):
+                order = np.lexsort((key, bucket_of[at]))
+                key, n_, bucket = key[order], n_[order], bucket_of[at][order]
+                cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+                rows = [(int(bucket[a]), _packed(key[a:b], n_[a:b])) for a, b in zip(cut[:-1], cut[1:]) if b > a]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([side] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "side", "blob"])
 
     return job
 
 
-def _contexts(of, k: int, turn: int, buckets: int):
-    """Counts of (word, class before it) and (word, class after it) of the words whose turn it is, by word bucket."""
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[start], np.add.reduceat(n, start) if len(start) else n
 
+
+def _merged(group: pa.Table) -> pa.Table:
+    """One row of a bucket's pairs, each counted once, some MERGED_PAIRS at a time."""
+    sides = group["side"].to_pylist()
+    blobs = []
+    for side in (0, 1):
+        held, more = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        for i, s in enumerate(sides):
+            if s == side:
+                held.append(_unpacked(group["blob"][i].as_py()))
+                more += len(held[-1][0])
+                if more > MERGED_PAIRS:
+                    held, more = [_summed(*map(np.concatenate, zip(*held)))], 0
+        blobs.append(_packed(*_summed(*map(np.concatenate, zip(*held)))))
+    bucket = group["bucket"][0].as_py()
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "turn": pa.array([bucket % 2], pa.int32()), "before": pa.array(blobs[:1], pa.binary()), "after": pa.array(blobs[1:], pa.binary())})
+
+
+def _transitions(of, k: int):
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = of.value
+        table, sums = of.value, np.zeros(k * k, np.int64)
         for batch in batches:
-            flat, first, _ = _ids(batch)
-            if not len(flat):
-                continue
-            cls = table[flat]
-            word = flat.astype(np.int64)
-            mine = (word > 0) & (word % 2 == turn)
-            key = (word * (2 * k) + _before(cls, first, k - 1))[mine]
-            has_next = mine.copy()
-            has_next[:-1] &= ~first[1:]
-            has_next[-1] = False
-            at = np.flatnonzero(has_next)
-            key, n = np.unique(np.concatenate([key, word[at] * (2 * k) + k + cls[at + 1]]), return_counts=True)
-            bucket = (key // (2 * k)) % buckets
-            order = np.argsort(bucket, kind="stable")
-            key, n, bucket = key[order], n[order], bucket[order]
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            rows = [(int(bucket[a]), _packed(key[a:b], n[a:b])) for a, b in zip(cut[:-1], cut[1:]) if b > a]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
+            for blob in batch.column(0):
+                key, n = _unpacked(blob.as_py())
+                cell = table[key % len(table)].astype(np.int64) * k + table[key // len(table)]
+                sums += np.bincount(cell, weights=n, minlength=k * k).astype(np.int64)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["cell", "k"])
 
     return job
 
@@ -170,42 +206,52 @@ def gains(left: np.ndarray, right: np.ndarray, own: np.ndarray, matrix: np.ndarr
     """Change of the bigram classes' log likelihood when words join each class, having left their own.
 
     left[w, c], right[w, c]: how often class c is before and after w. The cells where a word's old and new class
-    meet are taken as they are.
+    meet are taken as they are. Only the classes that a word really meets are read.
     """
-    k = len(matrix)
-    out = np.zeros((len(own), classes))
-    row, col = matrix.sum(1), matrix.sum(0)
     m = matrix.astype(float)
-    base_r, base_c = _xlogx(m), _xlogx(m.T.copy())
-    for a in range(0, len(own), 128):
-        le, ri, cl = left[a : a + 128].astype(float), right[a : a + 128].astype(float), own[a : a + 128]
-        n_l, n_r = le.sum(1), ri.sum(1)
-        mr, mc = np.broadcast_to(m[:classes], (len(cl), classes, k)).copy(), np.broadcast_to(m.T[:classes], (len(cl), classes, k)).copy()
-        tr, tc = np.broadcast_to(row[:classes], (len(cl), classes)).astype(float), np.broadcast_to(col[:classes], (len(cl), classes)).astype(float)
-        at = np.arange(len(cl))
-        br, bc = np.broadcast_to(base_r[:classes].sum(1), (len(cl), classes)).copy(), np.broadcast_to(base_c[:classes].sum(1), (len(cl), classes)).copy()
-        mr[at, cl] = np.maximum(mr[at, cl] - ri, 0)
-        mc[at, cl] = np.maximum(mc[at, cl] - le, 0)
-        br[at, cl], bc[at, cl] = _xlogx(mr[at, cl]).sum(1), _xlogx(mc[at, cl]).sum(1)
-        tr, tc = tr.copy(), tc.copy()
-        tr[at, cl] -= n_r
-        tc[at, cl] -= n_l
-        gain = _xlogx(mr + ri[:, None]).sum(2) - br + _xlogx(mc + le[:, None]).sum(2) - bc
-        out[a : a + 128] = gain - (_xlogx(tr + n_r[:, None]) - _xlogx(tr)) - (_xlogx(tc + n_l[:, None]) - _xlogx(tc))
+    out = np.zeros((len(own), classes))
+    for met, cells, total in ((right, m.T, m.sum(1)), (left, m, m.sum(0))):
+        cells = np.ascontiguousarray(cells[:, :classes])  # by the class met, then by the class joined
+        base = _xlogx(cells)
+        small = np.stack([_xlogx(cells + x) - base for x in range(17)])
+        n_all = met.sum(1).astype(float)
+        for a in range(0, len(own), 512):
+            w, j = np.nonzero(met[a : a + 512])
+            x, cl = met[a : a + 512][w, j].astype(float), own[a : a + 512]
+            if len(w):
+                few = x <= 16
+                add = np.empty((len(w), classes))
+                add[few] = small[x[few].astype(np.int64), j[few]]
+                add[~few] = _xlogx(cells[j[~few]] + x[~few, None]) - base[j[~few]]
+                mine = np.maximum(cells[j, cl[w]] - x, 0)
+                add[np.arange(len(w)), cl[w]] = _xlogx(mine + x) - _xlogx(mine)
+                start = np.flatnonzero(np.diff(w, prepend=-1))
+                out[a + w[start]] += np.add.reduceat(add, start, axis=0)
+            t = np.repeat(total[None, :classes], len(cl), axis=0)
+            t[np.arange(len(cl)), cl] -= n_all[a : a + 512]
+            out[a : a + 512] -= _xlogx(t + n_all[a : a + 512, None]) - _xlogx(t)
     return out
 
 
+def _better(both: np.ndarray, own: np.ndarray, matrix: np.ndarray, k: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which words gain by moving, and the class that each would best be in."""
+    g = gains(both[:, :k], both[:, k:], own, matrix, classes)
+    to = g.argmax(1)
+    return g[np.arange(len(own)), to] > g[np.arange(len(own)), own] + 1e-9, to
+
+
 def _exchange(of, matrix: np.ndarray, k: int, classes: int):
-    def job(group: pa.Table) -> pa.Table:
-        parts = [_unpacked(b) for b in group["blob"].to_pylist()]
-        key, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        words, inv = np.unique(key // (2 * k), return_inverse=True)
-        both = np.bincount(inv * (2 * k) + key % (2 * k), weights=n, minlength=len(words) * 2 * k).reshape(len(words), 2 * k)
-        own = of.value[words].astype(np.int64)
-        g = gains(both[:, :k], both[:, k:], own, matrix, classes)
-        to = g.argmax(1)
-        move = g[np.arange(len(own)), to] > g[np.arange(len(own)), own] + 1e-9
-        return pa.table({"word": words[move].astype(np.int32), "cls": to[move].astype(np.int32)})
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = of.value
+        for batch in batches:
+            for before, after in zip(batch.column(0), batch.column(1)):
+                (b, nb), (a, na) = _unpacked(before.as_py()), _unpacked(after.as_py())
+                words, inv = np.unique(np.concatenate([b, a]) // len(table), return_inverse=True)
+                cls = np.concatenate([table[b % len(table)], k + table[a % len(table)].astype(np.int64)])
+                both = np.bincount(inv * (2 * k) + cls, weights=np.concatenate([nb, na]), minlength=len(words) * 2 * k).reshape(len(words), 2 * k)
+                words, both = words[words > 0], both[words > 0]
+                move, to = _better(both, table[words].astype(np.int64), matrix, k, classes)
+                yield pa.RecordBatch.from_arrays([pa.array(words[move].astype(np.int32)), pa.array(to[move].astype(np.int32))], ["word", "cls"])
 
     return job
 
@@ -217,49 +263,84 @@ def likelihood(matrix: np.ndarray, counts: np.ndarray, of: np.ndarray) -> float:
     return float(_xlogx(m).sum() - _xlogx(m.sum(1)).sum() + _xlogx(counts.astype(float)).sum() - _xlogx(size).sum())
 
 
-def cluster(encoded: DataFrame, vocab: Vocabulary, classes: int, rounds: int) -> Classes:
+def _settled(state: Any, measured: Callable, proposed: Callable, moved: Callable, rounds: int, tolerance: float) -> tuple[Any, np.ndarray, float]:
+    """Half-rounds over odd and even words until a full round gains less than tolerance, relative to the likelihood.
+
+    Words are judged in parallel against the same counts; where their moves together don't raise the likelihood, part
+    of them is made, so that it never falls.
+    """
+    matrix, value = measured(state)
+    for _ in range(0, rounds, 2):
+        began = value
+        for turn in (1, 0):
+            moves = proposed(state, matrix, turn)
+            for thin in range(TRIES):
+                if (to := moved(state, moves, 1 << thin)) is None:
+                    break
+                m, v = measured(to)
+                if v > value:
+                    state, matrix, value = to, m, v
+                    break
+        if value - began <= tolerance * abs(value):
+            return state, matrix, value
+    return state, matrix, value
+
+
+def cluster(encoded: DataFrame, vocab: Vocabulary, classes: int, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Classes:
     """Exchange clustering: rounds in which the odd, then the even words each go where the likelihood gains most.
 
-    The words of a round are judged in parallel against the same counts; the likelihood is then measured, and the
-    best classes so far are the ones returned.
+    All bigrams are counted once and written by word bucket, both ways; the rounds read these.
     """
-    sc, k = encoded.sparkSession.sparkContext, classes + 2
-    of = np.concatenate([[classes], np.arange(len(vocab.counts) - 1) % classes]).astype(np.uint16)
-    buckets = max(1, -(-len(of) // WORDS_IN_TASK))
+    sc, k, size = encoded.sparkSession.sparkContext, classes + 2, len(vocab.counts)
+    start = np.concatenate([[classes], np.arange(size - 1) % classes, [k - 1]]).astype(np.uint16)
+    load = np.cumsum(np.concatenate([[0.0], vocab.counts[1:] / TOKENS_IN_TASK + 1 / WORDS_IN_TASK])).astype(np.int32)
+    told = sc.broadcast((load * 2 + np.arange(size) % 2).astype(np.int32))
+    pairs = written(arrow_map(encoded.select("ids"), _pairs(told), "bucket int, side int, blob binary").groupBy("bucket").applyInArrow(_merged, "bucket int, turn int, before binary, after binary"), "lm-pairs", "none")
 
-    def measured(of: np.ndarray) -> tuple[np.ndarray, float, object]:
+    def measured(of: np.ndarray) -> tuple[np.ndarray, float]:
         held = sc.broadcast(of)
-        rows = arrow_map(encoded.select("ids"), _transitions(held, k), "cell int, k bigint").groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
+        rows = arrow_map(pairs.select("before"), _transitions(held, k), "cell int, k bigint").groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
+        held.unpersist()
         m = np.zeros(k * k, np.int64)
         m[rows["cell"].to_numpy()] = rows["k"].to_numpy()
         m = m.reshape(k, k)
-        return m, likelihood(m, vocab.counts, of), held
+        return m, likelihood(m, vocab.counts, of[:size])
 
-    matrix, value, held = measured(of)
-    best = Classes(of, matrix, value)
-    for r in range(rounds if len(vocab.hashes) else 0):
-        told = arrow_map(encoded.select("ids"), _contexts(held, k, (r + 1) % 2, buckets), "bucket int, blob binary")
-        moves = told.groupBy("bucket").applyInArrow(_exchange(held, matrix, k, classes), "word int, cls int").toArrow()
+    def proposed(of: np.ndarray, matrix: np.ndarray, turn: int) -> pa.Table:
+        held = sc.broadcast(of)
+        moves = arrow_map(pairs.where(F.col("turn") == turn).select("before", "after"), _exchange(held, matrix, k, classes), "word int, cls int").toArrow()
+        held.unpersist()
+        return moves
+
+    def moved(of: np.ndarray, moves: pa.Table, every: int) -> np.ndarray | None:
+        word, cls = moves["word"].to_numpy(), moves["cls"].to_numpy()
+        some = (word >> 1) % every == 0
+        if not some.any():
+            return None
         of = of.copy()
-        of[moves["word"].to_numpy()] = moves["cls"].to_numpy()
-        matrix, value, held = measured(of)
-        if value > best.log_likelihood:
-            best = Classes(of, matrix, value)
-    return best
+        of[word[some]] = cls[some]
+        return of
 
+    of, matrix, value = _settled(start, measured, proposed, moved, rounds if len(vocab.hashes) else 0, tolerance)
+    forget(pairs)
+    return Classes(of[:size], matrix, value)
 
-def model(vocab: Vocabulary, found: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Log transition probabilities between classes and log emission probabilities of word ids, both smoothed."""
-    m = found.transitions.astype(float)
+
+def _log_transitions(matrix: np.ndarray) -> np.ndarray:
+    m = matrix.astype(float)
     k = len(m)
     to = (m.sum(0) + 1.0) / (m.sum() + k)
     to[k - 1] = 0.0  # nothing goes to a text's start
     to /= to.sum()
-    trans = np.log((m + TRANSITION_MASS * to) / (m.sum(1, keepdims=True) + TRANSITION_MASS) + 1e-300)
-    size = np.bincount(found.of, weights=vocab.counts + EMISSION_ADD, minlength=k)
+    return np.log((m + TRANSITION_MASS * to) / (m.sum(1, keepdims=True) + TRANSITION_MASS) + 1e-300)
+
+
+def model(vocab: Vocabulary, found: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """Log transition probabilities between classes and log emission probabilities of word ids, both smoothed."""
+    size = np.bincount(found.of, weights=vocab.counts + EMISSION_ADD, minlength=len(found.transitions))
     emit = np.log((vocab.counts + EMISSION_ADD) / size[found.of])
     emit[0] = -np.log(vocab.rare_types)
-    return trans, emit
+    return _log_transitions(found.transitions), emit
 
 
 def _score(held, k: int):
@@ -277,22 +358,115 @@ def _score(held, k: int):
     return job
 
 
-def perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", classes: int = CLASSES, rounds: int = ROUNDS, min_share: float = MIN_SHARE) -> DataFrame:
+def _said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bigrams of each row by the words' hashes: no word before at a text's start, no word at all in an empty text."""
+    for batch in batches:
+        arr = strings(batch.column(2))
+        for a, b in slices(arr):
+            codes, offsets, words = tokens(arr.slice(a, b - a))
+            h = word_hash(words).view(np.int64)
+            n = np.diff(offsets)
+            w = h[codes] if len(codes) else np.zeros(0, np.int64)
+            first = np.zeros(len(w), bool)
+            first[offsets[:-1][n > 0]] = True
+            v, none = _before(w, first, 0), np.flatnonzero(n == 0)
+            at = pa.array(np.concatenate([np.repeat(np.arange(len(n)), n), none]) + a)
+            pad = np.zeros(len(none), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate([v, pad]), mask=np.concatenate([first, pad == 0])), pa.array(np.concatenate([w, pad]), mask=np.concatenate([np.zeros(len(w), bool), pad == 0]))], ["row", "doc_id", "v", "w"])
+
+
+def _exchange_rows(matrix: np.ndarray, k: int, classes: int):
+    def job(group: pa.Table) -> pa.Table:
+        h, at, inv = np.unique(group["h"].to_numpy(), return_index=True, return_inverse=True)
+        both = np.bincount(inv * (2 * k) + group["met"].to_numpy(), weights=group["n"].to_numpy(), minlength=len(h) * 2 * k).reshape(len(h), 2 * k)
+        move, to = _better(both, group["own"].to_numpy()[at].astype(np.int64), matrix, k, classes)
+        return pa.table({"h": h[move], "to": to[move].astype(np.int32)})
+
+    return job
+
+
+def _ranked(every: DataFrame, least: int, classes: int) -> DataFrame:
+    """Clustered words with ids by falling count, as _collected gives them, and the classes they start in."""
+    sort = every.where(F.col("k") >= least).orderBy(F.col("k").desc(), F.col("h").bitwiseXOR(F.lit(-(2**63))))
+    sort = written(sort.withColumn("m", F.monotonically_increasing_id()), "lm-ranks")
+    part = F.shiftright("m", 33)
+    sizes = sorted(sort.groupBy(part.alias("p")).count().collect())
+    before = every.sparkSession.createDataFrame([(p, sum(n for q, n in sizes if q < p)) for p, _ in sizes], "p bigint, past bigint")
+    id_ = F.col("past") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return written(sort.join(F.broadcast(before), part == F.col("p")).select("h", "k", id_.alias("id"), ((id_ - 1) % classes).cast("int").alias("cls")), "lm-classes")
+
+
+def _joined(docs: DataFrame, key: str, text: str, classes: int, rounds: int, tolerance: float, every: DataFrame, total: dict, least: int) -> DataFrame:
+    """perplexity() where the vocabulary is too large to broadcast: words meet their classes in shuffled joins."""
+    spark, k = docs.sparkSession, classes + 2
+    kind = docs.select(c(key)).schema[0].dataType.simpleString()
+    base = written(arrow_map(docs.select(F.monotonically_increasing_id().alias("row"), c(key).alias("doc_id"), c(text).alias("text")), _said, f"row bigint, doc_id {kind}, v bigint, w bigint"), "lm-said")
+    pairs = written(base.where(F.col("w").isNotNull()).groupBy("v", "w").agg(F.count("*").alias("n")), "lm-pairs")
+    xlogx = every.where(F.col("k") >= least).agg(F.coalesce(F.sum(F.col("k") * F.log("k")), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0))).first()
+    rare = float(total["n"] - xlogx[1])
+    counts_term = xlogx[0] + float(_xlogx(np.array(rare)))
+    buckets = max(1, -(-total["clustered"] // WORDS_IN_TASK))
+
+    def told(words: DataFrame) -> DataFrame:
+        side = lambda x: words.select(F.col("h").alias(x), F.col("cls").alias(f"c{x}"), F.col("id").alias(f"i{x}"), F.col("k").alias(f"k{x}"))
+        got = pairs.join(side("v"), "v", "left").join(side("w"), "w", "left")
+        return got.select("v", "w", "n", F.when(F.col("v").isNull(), k - 1).otherwise(F.coalesce("cv", F.lit(classes))).alias("cv"), F.coalesce("cw", F.lit(classes)).alias("cw"), "iv", "iw", "kw")
+
+    def measured(state: tuple) -> tuple[np.ndarray, float]:
+        m = np.zeros((k, k), np.int64)
+        for r in state[1].groupBy("cv", "cw").agg(F.sum("n").alias("n")).collect():
+            m[r.cv, r.cw] = r.n
+        f = m.astype(float)
+        return m, float(_xlogx(f).sum() - _xlogx(f.sum(1)).sum() + counts_term - _xlogx(f.sum(0)).sum())
+
+    def proposed(state: tuple, matrix: np.ndarray, turn: int) -> DataFrame:
+        left = state[1].where(F.col("iw") % 2 == turn).select(F.col("w").alias("h"), F.col("cw").alias("own"), F.col("cv").alias("met"), "n")
+        right = state[1].where(F.col("iv") % 2 == turn).select(F.col("v").alias("h"), F.col("cv").alias("own"), (F.col("cw") + k).alias("met"), "n")
+        met = left.unionByName(right).groupBy("h", "own", "met").agg(F.sum("n").alias("n"))
+        return written(met.groupBy(F.pmod("h", F.lit(buckets))).applyInArrow(_exchange_rows(matrix, k, classes), "h bigint, to int"), "lm-moves")
+
+    def moved(state: tuple, moves: DataFrame, every_: int) -> tuple | None:
+        some = moves.join(state[0].where(F.shiftright("id", 1) % every_ == 0).select("h"), "h")
+        if some.isEmpty():
+            return None
+        words = written(state[0].join(some, "h", "left").select("h", "k", "id", F.coalesce("to", "cls").alias("cls")), "lm-classes")
+        return words, written(told(words), "lm-told")
+
+    words = _ranked(every, least, classes)
+    (words, met), matrix, _ = _settled((words, written(told(words), "lm-told")), measured, proposed, moved, rounds, tolerance)
+    size = matrix.sum(0).astype(float)
+    for r in words.groupBy("cls").count().collect():
+        size[r.cls] += EMISSION_ADD * r["count"]
+    trans = _log_transitions(matrix)
+    cells = spark.createDataFrame([(a, b, float(trans[a, b]), float(np.log(size[b])) if size[b] else 0.0) for a in range(k) for b in range(k)], "cv int, cw int, t double, s double")
+    emit = F.when(F.col("kw").isNull(), -float(np.log(max(1, total["types"] - total["clustered"])))).otherwise(F.log(F.col("kw") + EMISSION_ADD) - F.col("s"))
+    scored = met.join(F.broadcast(cells), ["cv", "cw"]).select(F.col("v").alias("v_"), F.col("w").alias("w_"), (F.col("t") + emit).alias("lp"))
+    got = base.join(scored, F.col("v").eqNullSafe(F.col("v_")) & (F.col("w") == F.col("w_")), "left")
+    got = got.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count("w").alias("n_tokens"), F.coalesce(F.sum("lp"), F.lit(0.0)).alias("log_prob"))
+    return got.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_prob") / F.col("n_tokens"))).alias("perplexity"))
+
+
+def perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", classes: int = CLASSES, rounds: int = ROUNDS, min_share: float = MIN_SHARE, tolerance: float = TOLERANCE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Score every document under a class bigram trained on all of them: doc_id, n_tokens, log_prob, perplexity.
 
-    P(w | v) = P(class of w | class of v) P(w | class of w). Words of all documents are counted; those that are at
-    least min_share of all tokens are clustered by exchange over all their bigrams, all rarer ones share a class
-    with equal emissions. Texts are tokenised twice (to count, and to write word ids, some 2 bytes a token); the
-    rounds read the ids. log_prob is natural; a text starts from a start sign.
+    P(w | v) = P(class of w | class of v) P(w | class of w). Words of all documents are counted; those said MIN_COUNT
+    times (and, if asked, min_share of all tokens) are clustered by exchange over all their bigrams until a full round
+    gains less than tolerance; all rarer ones share a class with equal emissions. Texts are tokenised twice (to count,
+    and to write word ids, some 2 bytes a token); the rounds read counted bigrams. A vocabulary of more than
+    broadcast_rows words is not broadcast: the same model is then made by shuffled joins. log_prob is natural; a text
+    starts from a start sign.
 
     Nulls: a null or empty text, or one of signs alone, has 0 tokens, log_prob 0 and a null perplexity; a null key
     is carried. Repeated rows each count and are each scored. Texts are taken whole. Other columns are not carried,
     so none clash. No rows give no rows.
     """
     sc, k = docs.sparkSession.sparkContext, classes + 2
-    vocab = vocabulary(docs, text, min_share)
+    every, total, least = _words(docs, text, min_share)
+    if total["clustered"] > broadcast_rows:
+        return _joined(docs, key, text, classes, rounds, tolerance, every, total, least)
+    vocab = _collected(every, total, least)
     kind = docs.select(c(key)).schema[0].dataType.simpleString()
     encoded = written(arrow_map(docs.select(c(key).alias("doc_id"), c(text).alias("text")), _encode(sc.broadcast(vocab)), f"doc_id {kind}, ids binary"), "lm-ids")
-    found = cluster(encoded, vocab, classes, rounds)
+    found = cluster(encoded, vocab, classes, rounds, tolerance)
     held = sc.broadcast((found.of, *model(vocab, found)))
     return arrow_map(encoded, _score(held, k), f"doc_id {kind}, n_tokens bigint, log_prob double, perplexity double")

@@ -222,6 +222,27 @@ def test_perplexity_matches_plain_python(spark):
     assert mean(found) < 1.35  # log 12 / 3 is the text's own entropy, 0.83 a word; one class alone gives 1.9
 
 
+def test_twice_said_words_keep_their_counts(spark):
+    """A word said twice among 12 million tokens is clustered; a share of 2e-7 would ask for three times."""
+    rows = [(i, "the cat " * 300_000) for i in range(10)] + [(90, "seldom"), (91, "seldom"), (92, "once")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    df = df.unionAll(df.where("doc_id < 10"))
+    vocab = brown.vocabulary(df, "text", brown.MIN_SHARE)
+    assert sorted(vocab.counts.tolist()) == [1, 2, 6_000_000, 6_000_000] and vocab.rare_types == 1
+
+
+def test_joined_model_is_the_broadcast_one(spark):
+    rows = copies(1, 4, 20)
+    rows += [rows[0], (rows[1][0], rows[2][1]), (None, "w1 w2 zz w1 w2"), (900, None), (901, " ... "), (902, "w1"), (903, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.log_prob)
+    a, b = (sorted(brown.perplexity(df, classes=6, rounds=4, broadcast_rows=m).collect(), key=key) for m in (4_000_000, 0))
+    assert len(a) == len(b) == len(rows)
+    for x, y in zip(a, b):
+        assert (x.doc_id, x.n_tokens, x.perplexity is None) == (y.doc_id, y.n_tokens, y.perplexity is None)
+        assert abs(x.log_prob - y.log_prob) < 1e-6 and (x.perplexity is None or abs(x.perplexity - y.perplexity) < 1e-6 * x.perplexity)
+
+
 def test_classifier_on_held_out_labels(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     kept = {r.doc_id: r.keep for r in quality.classify(docs, labels.where("doc_id % 2 = 0")).select("doc_id", "keep").collect()}
