@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from sparkgrain.llm.common import BROADCAST_ROWS, arrow_map, c, forget, slices, strings, tokens, word_hash, written
 
 CLASSES = 64
-#: Half-rounds of the exchange; it ends before them if a full round gains no more than this share of the likelihood.
-TOLERANCE, ROUNDS = 0.0, 4
+#: Exchange goes on until a full round (odd, then even words) raises the log likelihood by less than this share of it;
+#: ROUNDS half-rounds are a safety bound, and a warning tells when it is hit.
+TOLERANCE, ROUNDS = 1e-4, 100
 #: A word is clustered if it is said so often, at every size of the corpus; all others together are one more class.
 MIN_COUNT = 2
 #: A caller may besides ask for a least share of all tokens; the default asks for none.
@@ -283,6 +285,8 @@ def _settled(state: Any, measured: Callable, proposed: Callable, moved: Callable
                     break
         if value - began <= tolerance * abs(value):
             return state, matrix, value
+    if rounds:
+        warnings.warn(f"exchange clustering stopped at its bound of {rounds} half-rounds; the last full round still gained {value - began:.6g} on a log likelihood of {value:.6g}", stacklevel=3)
     return state, matrix, value
 
 

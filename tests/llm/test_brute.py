@@ -231,6 +231,18 @@ def test_twice_said_words_keep_their_counts(spark):
     assert sorted(vocab.counts.tolist()) == [1, 2, 6_000_000, 6_000_000] and vocab.rare_types == 1
 
 
+def test_exchange_goes_on_until_it_settles(spark):
+    from sparkgrain.llm.common import arrow_map, written
+
+    df = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 5 = 0")
+    vocab = brown.vocabulary(df, "text", brown.MIN_SHARE)
+    enc = written(arrow_map(df.select("doc_id", "text"), brown._encode(spark.sparkContext.broadcast(vocab)), "doc_id bigint, ids binary"), "test-ids")
+    with pytest.warns(UserWarning, match="bound of 4 half-rounds"):
+        few = brown.cluster(enc, vocab, 8, 4)
+    settled = brown.cluster(enc, vocab, 8, brown.ROUNDS)
+    assert settled.log_likelihood > few.log_likelihood
+
+
 def test_joined_model_is_the_broadcast_one(spark):
     rows = copies(1, 4, 20)
     rows += [rows[0], (rows[1][0], rows[2][1]), (None, "w1 w2 zz w1 w2"), (900, None), (901, " ... "), (902, "w1"), (903, "")]
