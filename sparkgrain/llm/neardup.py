@@ -472,6 +472,18 @@ def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     return across.unionAll(copies).where("doc_id_a < doc_id_b").groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
 
 
+def all_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N_GRAM, t: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """similar_pairs() with every member of a set in its representative's place: all pairs that reach t, none implied.
+
+    A group of m copies gives m (m - 1) / 2 rows, so the result may be far larger than the input.
+    """
+    j = join_sets(docs, key, text, n, t, broadcast_rows)
+    a, b = (j.members.select(F.col("sig").alias(x), F.col("size").alias(f"s{x}"), F.col("doc_id").alias(f"d{x}")) for x in "ab")
+    across = j.pairs.join(a, ["a", "sa"]).join(b, ["b", "sb"]).select(F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b"), "jaccard")
+    copies = a.join(b, (F.col("a") == F.col("b")) & (F.col("sa") == F.col("sb"))).select(F.col("da").alias("doc_id_a"), F.col("db").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
+    return across.unionAll(copies).where("doc_id_a < doc_id_b").groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+
+
 def groups(pairs: DataFrame, most: int = 40) -> DataFrame:
     """Connected components of pairs: (doc_id, head), the lowest id of each group; every member has a row.
 

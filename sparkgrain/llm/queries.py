@@ -39,7 +39,7 @@ def op6_template_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.similar_pairs(table(spark, sf_dir, "documents"))
+    return neardup.all_pairs(table(spark, sf_dir, "documents"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

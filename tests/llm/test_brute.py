@@ -50,6 +50,21 @@ def test_join_is_exact(spark, seed, t, n, broadcast):
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
 
 
+def test_registered_join_lists_every_pair(spark, tmp_path):
+    from sparkgrain.llm import queries
+
+    rows = copies(6, 5, 20)
+    rows += [(1000 + i, rows[j][1]) for i, j in enumerate([0, 0, 0, 1, 2, 2, 9, 40])]
+    sets = {i: grams(x, neardup.N_GRAM) for i, x in rows}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] and sets[b]}
+    want = {p: j for p, j in want.items() if j >= neardup.THRESHOLD}
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_ngram_jaccard_join(spark, str(tmp_path)).collect()
+    assert len(got) == len(want)
+    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in got}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+
+
 def components(pairs):
     head = {}
 
