@@ -42,6 +42,8 @@ class Model:
     sd: np.ndarray
     weights: np.ndarray
     base: float
+    #: Whether any labelled text was found; else every text with a word has even odds.
+    fitted: bool = True
 
     def log_odds(self, texts: pa.Array) -> np.ndarray:
         """Log odds that a text is good and clean; an empty or null one has nothing for it."""
@@ -54,7 +56,7 @@ class Model:
             for h in range(2):
                 z[:, h] += np.bincount(rows, weights=self.weights[1 + stats.shape[1] + cols, h], minlength=b - a)
             p = np.prod(1 / (1 + np.exp(-np.clip(z, -30, 30))), axis=1).clip(1e-9, 1 - 1e-9)
-            out[a:b] = np.where(n > 0, np.log(p / (1 - p)).clip(-8, 8), -8.0)
+            out[a:b] = np.where(n > 0, np.log(p / (1 - p)).clip(-8, 8) if self.fitted else 0.0, -8.0)
         return out
 
 
@@ -163,7 +165,7 @@ def fit(texts: list[pa.Array], quality: np.ndarray, toxic: np.ndarray) -> Model:
             if np.abs(step).max() < 1e-4:
                 break
         weights[:, head] = w
-    return Model(known, mean, sd, weights, float(np.clip((good * clean).mean() if m else 0.5, 0.01, 0.99)))
+    return Model(known, mean, sd, weights, float(np.clip((good * clean).mean() if m else 0.5, 0.01, 0.99)), bool(m))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
@@ -247,13 +249,13 @@ def classify(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, train
     and its path level the language within it; both are parameters.
 
     Nulls: a null host or path is a site of its own. A null or empty text scores the least evidence and is not
-    kept; long texts are read whole. Repeated rows are judged alike. Without labels every text scores even odds
-    (and is kept at 0.5). Other columns are not carried, so none clash. No rows give no rows.
+    kept; long texts are read whole. Repeated rows are judged alike. Without labels every text with a word
+    scores even odds and no site shifts them (so it is kept at 0.5). Other columns are not carried, so none clash. No rows give no rows.
     """
     model = train(docs, labels, key, text, train_rows=train_rows)
     scored = evidence(docs, model, key, text, host, path)
     sites = site_shifts(scored, model.base).withColumnsRenamed({"host": "_h", "path": "_p"})
-    odds = F.col("odds") + F.col("shift")
+    odds = F.col("odds") + (F.col("shift") if model.fitted else F.lit(0.0))
     both = scored.join(sites, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
     good = 1 / (1 + F.exp(-odds))
     return both.select("doc_id", "host", "path", (1 / (1 + F.exp(-F.col("odds")))).alias("p_text"), "host_rate", "path_rate", good.alias("p_good"), (good >= keep_at).alias("keep"))
@@ -269,4 +271,5 @@ def filter_documents(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_A
     sites = site_shifts(evidence(docs, model, key, text, host, path), model.base).select(F.col("host").alias("__sg_h"), F.col("path").alias("__sg_p"), F.col("shift").alias("__sg_shift"))
     h, p = _sites(host, path)
     wide = docs.withColumn("__sg_odds", scorer(model)(c(text))).join(sites, h.eqNullSafe(F.col("__sg_h")) & p.eqNullSafe(F.col("__sg_p")))
-    return wide.where(1 / (1 + F.exp(-(F.col("__sg_odds") + F.col("__sg_shift")))) >= keep_at).select(*[c(x) for x in docs.columns])
+    odds = F.col("__sg_odds") + (F.col("__sg_shift") if model.fitted else F.lit(0.0))
+    return wide.where(1 / (1 + F.exp(-odds)) >= keep_at).select(*[c(x) for x in docs.columns])

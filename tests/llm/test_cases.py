@@ -55,6 +55,14 @@ def test_quality_without_labels(spark):
     assert quality.classify(docs(spark), labels(spark, ())).count() == 9
 
 
+def test_quality_without_labels_keeps_texts(spark):
+    for none in (labels(spark, ()), labels(spark, ((99, 1, 0),))):
+        got = quality.classify(docs(spark), none).collect()
+        assert sorted((r.doc_id or 0, r.keep) for r in got) == [(0, True), (1, True), (1, True), (2, False), (3, False), (4, False), (5, True), (6, False), (7, True)]
+        assert {r.p_good for r in got if r.keep} == {0.5}
+    assert quality.filter_documents(docs(spark), labels(spark, ())).count() == 5
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (1, 2, None, None), (1, 3, "assistant", None), (1, None, "system", "s"), (None, 0, "assistant", "x"), (2, 0, "assistant", "t" * 100_000)]
     df = spark.createDataFrame(rows, TURNS)
