@@ -189,11 +189,13 @@ def extract(tokens: list[str], template: dict | None) -> list[tuple[int, int, in
 def deduce(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_PAGES, chunk_pages: int = CHUNK_PAGES) -> DataFrame:
     """host, template (JSON) and its tokens, from columns key, host and html."""
     ship(pages.sparkSession)
-    hosts = written(pages.groupBy("host").agg(F.count("*").alias("held")).where((F.col("held") >= min_pages) & (F.col("host") != "")).withColumn("chunks", F.ceil(F.col("held") / chunk_pages).cast("int")), "html-hosts")
+    hosts = written(pages.groupBy("host").agg(F.count("*").alias("held"), F.count("html").alias("some")).where((F.col("held") >= min_pages) & (F.col("host") != "")).select("host", "held", F.greatest(F.lit(1), F.ceil(F.col("some") / chunk_pages)).cast("int").alias("chunks")), "html-hosts")
     parted = pages.where("html is not null").join(hosts, "host").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
 
     def classes(group: pa.Table) -> pa.Table:
         got = chunk_classes(group["key"].to_numpy(), [page_tokens(p) for p in group["html"].to_pylist()], support)
+        if not len(got):  # the chunk is told of though no token is frequent in it
+            got = pd.DataFrame([("", 0, 0, False, -1, -1, -1)], columns=got.columns)
         first = {x: group[x][0].as_py() for x in ("host", "chunk", "held", "chunks")}
         got = got.assign(**first, seen=group.num_rows)
         return pa.Table.from_pandas(got, schema=_CLASSES, preserve_index=False)
@@ -201,7 +203,7 @@ def deduce(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_PAGE
     def template(group: pa.Table) -> pa.Table:
         rows = group.to_pandas()
         seen = int(rows.groupby("chunk")["seen"].first().sum())
-        made = assemble(rows, seen, int(rows["chunks"].iloc[0]), support)
+        made = assemble(rows, seen, rows["chunk"].nunique(), support)  # of the chunks, those that hold pages
         size = len(made["root"]) + sum(len(k) for v in made["nested"].values() for k in v) if made else 0
         return pa.table({"host": [rows["host"].iloc[0]], "template": pa.array([json.dumps(made, ensure_ascii=False) if made else None], pa.string()), "n_template": pa.array([size], pa.int32())})
 

@@ -307,6 +307,17 @@ def test_templates_leave_what_varies(spark):
             assert " ".join(x[3] for x in got).split() == want[i], (chunk, t)
 
 
+def test_templates_outlive_empty_chunks(spark):
+    html = "<html><head><title>T</title></head><body><h1>Site</h1><p class=a>Home</p><footer>Us</footer></body></html>"
+    one = spark.createDataFrame([(5, "s.example", html)] * 13, "key bigint, host string, html string")
+    null = spark.createDataFrame([(i, "s.example", None) for i in range(60)], "key bigint, host string, html string")
+    want = template.deduce(one, chunk_pages=1024).first()
+    assert want is not None
+    for rows in (one, one.unionAll(null)):
+        got = template.deduce(rows, chunk_pages=4).first()
+        assert got is not None and (got.template, got.n_template) == (want.template, want.n_template)
+
+
 def test_images_round_trip_and_agree_with_the_jvm(spark):
     r = np.random.default_rng(4)
     jvm = spark._jvm
