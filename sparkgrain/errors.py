@@ -66,6 +66,7 @@ class UnsupportedNegation(UnsupportedFilter): ...
 class UnsupportedSort(RequestError): ...
 class UnsupportedPagination(RequestError): ...
 class AuditFailed(SpecError): ...
+class ConcurrentWrite(SpecError): ...
 
 
 def nearest(name: str, known: Iterable[str]) -> str:

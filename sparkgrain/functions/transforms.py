@@ -47,13 +47,14 @@ def known_transforms() -> dict[str, Transform]:
 
 def cast(col: Column, to: Logical, lenient: bool) -> Column:
     """A cast that fails loudly, or gives null; dates and times never come from the clock."""
-    if to == TIMESTAMP:
-        got = (col.try_cast("timestamp_ltz") if lenient else col.cast("timestamp_ltz")).cast("timestamp_ntz")
-        return F.when(~F.lower(F.trim(col.cast("string"))).isin(*CLOCK_WORDS), got) if lenient else got
-    got = col.try_cast(to.spark) if lenient else col.cast(to.spark)
-    if to == DATE and lenient:
-        return F.when(~F.lower(F.trim(col.cast("string"))).isin(*CLOCK_WORDS), got)
-    return got
+    if to not in (TIMESTAMP, DATE):
+        return col.try_cast(to.spark) if lenient else col.cast(to.spark)
+    kind = "timestamp_ltz" if to == TIMESTAMP else "date"
+    got = (col.try_cast(kind) if lenient else col.cast(kind)).cast(to.spark)
+    clock = F.lower(F.trim(col.cast("string"))).isin(*CLOCK_WORDS)
+    if lenient:
+        return F.when(~clock, got)
+    return F.when(clock, F.raise_error(F.concat(F.lit("[CAST_INVALID_INPUT] no date or time: "), col.cast("string")))).otherwise(got)
 
 
 def _add(name: str, domain: tuple[str, ...], out: Callable[..., Logical] | Logical, build: Callable[..., Column], least: int = 0, most: int | None = 0, nullifies: bool = False) -> None:
@@ -234,7 +235,7 @@ _add("multiply", ("decimal",), _product, lambda c, t, l, n: (c * _operand(n)).ca
 _add("divide", ("decimal",), _quotient, lambda c, t, l, n: (c / _operand(n)).cast(_quotient(t, n).spark), 1, 1)
 _add("round", ("int", "decimal"), _round_out, lambda c, t, l, d=0: F.round(c, d).cast(_round_out(t, d).spark), 0, 1)
 _add("abs", ("int", "decimal"), _same, lambda c, t, l: F.abs(c).cast(t.spark))
-_add("convert", ("decimal",), _same, _refuse_convert, 1, 1)
+_add("convert", ("decimal",), _refuse_convert, _refuse_convert, 1, 1)
 
 
 @dataclass(frozen=True)

@@ -99,6 +99,11 @@ def _side(text: str, project: Project) -> tuple[str | None, str, str, tuple[str,
     return m[1], m[2], m[3], by
 
 
+def reconciled(project: Project, spec: dict) -> tuple[str, str]:
+    """The entities of a check's left and right side."""
+    return _side(spec["left"], project)[1], _side(spec["right"], project)[1]
+
+
 def reconcile(project: Project, spec: dict, silver: dict[str, DataFrame]) -> DataFrame:
     """Both sides by key, every key of either, with their difference and whether they agree within the tolerance.
 

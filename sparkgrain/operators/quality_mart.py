@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -12,30 +13,58 @@ from sparkgrain.operators.silver import Silver
 MEASURES = ("rows_evaluated", "rows_failed", "rows_quarantined", "rows_deduped")
 
 
-def quality_mart(runs: list[tuple[Silver, str, DataFrame]], reconciles: list[tuple[dict, DataFrame]], run_id: str, run_date: date) -> DataFrame:
+@dataclass
+class Counted:
+    """An entity in the quality mart: its pipeline and relation, the rows that landed in this run, and what is stored.
+
+    table: the entity's rows; rejects: its reject table, if it has one. Without either, this run's rows stand for them.
+    """
+
+    silver: Silver
+    relation: str
+    landed: DataFrame
+    table: DataFrame | None = None
+    rejects: DataFrame | None = None
+
+    @property
+    def population(self) -> DataFrame:
+        """Flags and side of every row that the rules were judged on: the entity and its unresolved rejects.
+
+        A replayed row is in the entity and its reject is resolved, so it counts once; rows of earlier runs count too.
+        """
+        kept = (self.silver.kept if self.table is None else self.table).select(F.col("_quality_flags").alias("fired"), F.lit(False).alias("aside"))
+        if self.rejects is None and self.silver.diverted is None:
+            return kept
+        aside = self.silver.diverted.select(F.col("_failed").alias("fired")) if self.rejects is None else self.rejects.where("resolved_at is null").select(F.col("failed_rules").alias("fired"))
+        return kept.unionAll(aside.select("fired", F.lit(True)))
+
+
+def quality_mart(runs: list[Counted], reconciles: list[tuple[dict, DataFrame, str, str]], run_id: str, run_date: date) -> DataFrame:
     """Rows entity, mapping, rule, disposition, run_id, run_date and the four counts.
 
-    runs: each entity's pipeline, its relation and its landed rows. One accounting row an entity holds the population
-    counts, so that they sum; a rule's row holds only how many rows it failed. All of an entity's counts come out of
-    one aggregate over its evaluated rows.
+    One accounting row an entity holds the population counts, so that they sum; a rule's row holds only how many rows
+    it failed. All of an entity's counts come out of one aggregate over its population; deduped rows are this run's
+    landed ones less those that survived, and 0 where history is kept. A reconcile check counts the keys that disagree,
+    under the entity and mapping of its left side.
     """
-    out = None
-    for s, relation, bronze in runs:
-        fired = [F.count_if(F.array_contains("_failed", r.name)).alias(f"r{i}") for i, r in enumerate(s.rules)]
-        one = s.evaluated.agg(F.count("*").alias("n"), F.count_if(F.size("_failed") > 0).alias("failed"), F.count_if("_diverted").alias("diverted"), *fired)
-        if s.entity.dedupe:
-            one = one.crossJoin(bronze.agg(F.count("*").alias("landed"))).withColumn("deduped", F.col("landed") - F.col("n"))
+    out, zero = None, F.lit(0).cast("bigint")
+    row = lambda rule, how, *m: F.struct(F.lit(rule).alias("rule"), F.lit(how).alias("disposition"), *[x.cast("bigint").alias(k) for k, x in zip(MEASURES, m)])
+    for run in runs:
+        s = run.silver
+        fired = [F.count_if(F.array_contains("fired", r.name)).alias(f"r{i}") for i, r in enumerate(s.rules)]
+        one = run.population.agg(F.count("*").alias("n"), F.count_if("aside").alias("diverted"), *fired)
+        if s.entity.dedupe and s.entity.scd != "type2":
+            gone = run.landed.agg(F.count("*").alias("landed")).crossJoin(s.evaluated.agg(F.count("*").alias("survived")))
+            one = one.crossJoin(gone).withColumn("deduped", F.col("landed") - F.col("survived"))
         else:
-            one = one.withColumn("deduped", F.lit(0).cast("bigint"))
-        zero = F.lit(0).cast("bigint")
-        row = lambda rule, how, *m: F.struct(F.lit(rule).alias("rule"), F.lit(how).alias("disposition"), *[x.cast("bigint").alias(k) for k, x in zip(MEASURES, m)])
+            one = one.withColumn("deduped", zero)
         rows = [row("(entity)", "(none)", F.col("n"), zero, F.col("diverted"), F.col("deduped"))]
         rows += [row(r.name, r.on_fail, zero, F.col(f"r{i}"), zero, zero) for i, r in enumerate(s.rules)]
-        part = one.select(F.explode(F.array(*rows)).alias("x")).select(F.lit(s.entity.name).alias("entity"), F.lit(f"{relation}->{s.entity.name}").alias("mapping"), "x.*")
+        part = one.select(F.explode(F.array(*rows)).alias("x")).select(F.lit(s.entity.name).alias("entity"), F.lit(f"{run.relation}->{s.entity.name}").alias("mapping"), "x.*")
         out = part if out is None else out.unionByName(part)
-    for spec, rows in reconciles:
-        part = rows.agg(F.count_if(~F.col("agrees")).cast("bigint").alias("rows_failed"), F.count("*").cast("bigint").alias("rows_evaluated"))
-        part = part.select(F.lit("(reconcile)").alias("entity"), F.lit(spec["name"]).alias("mapping"), F.lit(spec["name"]).alias("rule"), F.lit(spec["on_fail"]).alias("disposition"), F.lit(0).cast("bigint").alias("rows_evaluated"), "rows_failed", F.lit(0).cast("bigint").alias("rows_quarantined"), F.lit(0).cast("bigint").alias("rows_deduped"))
+    for spec, rows, left, relation in reconciles:
+        part = rows.agg(F.count_if(~F.col("agrees")).alias("bad")).select(row(spec["name"], spec["on_fail"], zero, F.col("bad"), zero, zero).alias("x"))
+        part = part.select(F.lit(left).alias("entity"), F.lit(f"{relation}->{left}").alias("mapping"), "x.*")
         out = part if out is None else out.unionByName(part)
     return out.select("entity", "mapping", "rule", "disposition", F.lit(run_id).alias("run_id"), F.lit(run_date).alias("run_date"), *MEASURES)
 

@@ -67,16 +67,22 @@ def replay(s: Silver, target: DataFrame, rejects: DataFrame, at: datetime) -> tu
     """The entity and the reject table after unresolved rejects were judged again.
 
     s is the pipeline run over the rejects' payloads (payload_rows()). Rows that pass routing compete for their key
-    by the dedupe order; the winner replaces an incumbent only if it ranks higher. Rejects whose row is now in the
+    by the dedupe order; the winner replaces an incumbent only if it ranks higher. Rows of other keys pass by unsorted,
+    and only open rejects' rows are looked for among the results. Rejects whose row is now in the
     entity are resolved; the rest have their failures restated, with SUPERSEDED where none diverts them any more.
     """
     e = s.entity
     w = Window.partitionBy(*e.key).orderBy(*[F.col(c).desc_nulls_last() for c in dedupe_order(e)])
     winners = s.kept.withColumn("_p", F.row_number().over(w)).where("_p = 1").drop("_p")
-    both = winners.withColumn("_new", F.lit(True)).unionByName(target.withColumn("_new", F.lit(False)), allowMissingColumns=True).withColumn("_rank", _rank(e))
+    keys = winners.select(*[F.col(k).alias(f"_k_{k}") for k in e.key])
+    met = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in e.key]
+    rivals = target.join(keys, met, "left_semi")
+    both = winners.withColumn("_new", F.lit(True)).unionByName(rivals.withColumn("_new", F.lit(False)), allowMissingColumns=True).withColumn("_rank", _rank(e))
     pick = Window.partitionBy(*e.key).orderBy(F.col("_rank").desc(), F.col("_new"))
-    after = both.withColumn("_p", F.row_number().over(pick)).where("_p = 1").select(*target.columns)
-    inside = after.select(F.col("_source_row_id").alias("_in")).distinct()
+    placed = both.withColumn("_p", F.row_number().over(pick)).where("_p = 1").select(*target.columns)
+    after = target.join(keys, met, "left_anti").unionByName(placed)
+    asked = rejects.where("resolved_at is null").select(F.col("_source_row_id").alias("_in"))
+    inside = after.join(asked, F.col("_source_row_id") == F.col("_in"), "left_semi").select(F.col("_source_row_id").alias("_in")).distinct()
     judged = s.evaluated.select(F.col("_source_row_id").alias("_row"), "_failed", "_diverted")
     now = F.lit(at).cast("timestamp_ntz")
     open_ = F.col("resolved_at").isNull()

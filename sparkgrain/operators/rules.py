@@ -258,13 +258,19 @@ def flags(rules: list[Rule], types: dict[str, Logical]) -> Column:
     return F.array_compact(F.array(*[F.when(verdict(r, types), F.lit(r.name)) for r in sorted(rules, key=lambda r: r.name)]))
 
 
-def routed(rules: list[Rule], types: dict[str, Logical]) -> Column:
+def _names(rules: list[Rule], *dispositions: str) -> Column:
+    return F.array(*[F.lit(r.name) for r in rules if r.on_fail in dispositions]).cast("array<string>")
+
+
+def recorded(rules: list[Rule]) -> Column:
+    """Of the rules that fired, in order, those that don't divert: what a kept row is flagged with."""
+    keep = _names(rules, "flag", "fail", "unknown_member")
+    return F.filter(F.col("_failed"), lambda x: F.array_contains(keep, x))
+
+
+def routed(rules: list[Rule]) -> Column:
     """Whether a row is diverted: a quarantine rule fired. Unknown counts as no, so kept and diverted part the rows."""
-    out = F.lit(False)
-    for r in rules:
-        if r.on_fail == "quarantine":
-            out = out | F.coalesce(verdict(r, types), F.lit(False))
-    return out
+    return F.arrays_overlap(F.col("_failed"), _names(rules, "quarantine"))
 
 
-__all__ = ["Rule", "STRING", "bound", "cast", "code_points", "flags", "nfc", "opted_in", "portable_pattern", "routed", "rules_of", "sources_of", "stage_references", "stage_windows", "verdict"]
+__all__ = ["Rule", "STRING", "bound", "cast", "code_points", "flags", "nfc", "opted_in", "portable_pattern", "recorded", "routed", "rules_of", "sources_of", "stage_references", "stage_windows", "verdict"]

@@ -149,8 +149,7 @@ def evaluate(project: Project, registry: Registry, name: str, bronze: dict[str,
         rows = deduplicate(rows, entity)
     surviving = rows
     rows = R.stage_references(R.stage_windows(rows, rules), rules, parents or {})
-    recorded = [r for r in rules if r.on_fail in ("flag", "fail", "unknown_member")]
-    rows = rows.withColumn("_quality_flags", R.flags(recorded, types)).withColumn("_failed", R.flags(rules, types)).withColumn("_diverted", R.routed(rules, types))
+    rows = rows.withColumn("_failed", R.flags(rules, types)).withColumns({"_quality_flags": R.recorded(rules), "_diverted": R.routed(rules)})
     for r in rules:
         if r.kind == "referential" and r.on_fail == "unknown_member":
             fk = next(iter(r.params["relationship"].via))

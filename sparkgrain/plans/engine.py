@@ -15,7 +15,7 @@ from sparkgrain.operators import audits as A
 from sparkgrain.operators import marts as M
 from sparkgrain.operators import rejects as J
 from sparkgrain.operators import rules as R
-from sparkgrain.operators.quality_mart import quality_mart
+from sparkgrain.operators.quality_mart import Counted, quality_mart
 from sparkgrain.operators.silver import Silver, evaluate
 from sparkgrain.operators.steps import Registry, run_step
 from sparkgrain.plans.guard import check
@@ -80,7 +80,7 @@ class Frames:
 
     def reconcile(self, name: str) -> DataFrame:
         spec = next(s for s in self.project.reconcile if s["name"] == name)
-        return A.reconcile(self.project, spec, {e: self.silver(e) for e in self.project.entities if e in spec["left"] or e in spec["right"]})
+        return A.reconcile(self.project, spec, {e: self.silver(e) for e in A.reconciled(self.project, spec)})
 
     def coverage(self, name: str) -> DataFrame:
         spec = next(s for s in self.project.coverage if s["name"] == name)
@@ -136,7 +136,8 @@ class Engine:
                 rows = J.reject_rows(s, source)
                 layer, reject = "silver", f"{name}__reject"
                 self.store.full(layer, reject, J.upsert_rejects(self.store.read(layer, reject), rows) if self.store.exists(layer, reject) else rows)
-            runs += [(s, source, bronze[source])] if s.rules else []
+            counted = Counted(s, source, bronze[source], frames._given[name], self.store.read("silver", f"{name}__reject") if s.diverted is not None else None)
+            runs += [counted] if s.rules else []
         frames._steps
         for name in {v.split(".")[-1] for w in p.steps for v in (w.get("outputs") or {}).values()}:
             frames._given[name] = self.store.full("silver", name, frames.silver(name))
@@ -147,7 +148,8 @@ class Engine:
         checks = []
         for spec in p.reconcile:
             rows = self.store.full("silver", f"{spec['name']}__reconcile", frames.reconcile(spec["name"]))
-            checks.append((spec, rows))
+            left = A.reconciled(p, spec)[0]
+            checks.append((spec, rows, left, p.mappings_of(left)[0].source))
             found += A.enforce([A.Audit(spec["name"], rows.where("not agrees"), spec["on_fail"] == "fail")])
         for spec in p.coverage:
             found += A.enforce([A.Audit(spec["name"], frames.coverage(spec["name"]), spec["on_fail"] == "fail")])

@@ -193,6 +193,11 @@ def test_cli(tmp_path, capsys):
         (tmp_path / f"{name}.yaml").write_text(text)
     assert main(["check", str(tmp_path)]) == 0 and main(["fingerprint", str(tmp_path)]) == 0
     assert main(["explain", str(tmp_path), "--metrics", "revenue", "--by", "ordered_month", "--where", '{"status": "open"}', "--policy", "region_name=asia"]) == 0
+    capsys.readouterr()
+    assert main(["compile", str(tmp_path), "--metrics", "revenue", "--by", "ordered_month", "--where", '{"status": {"$neq": "o\'pen"}}']) == 0
+    text = capsys.readouterr().out
+    assert "FROM mart_orders" in text and "`status` <> 'o\\'pen'" in text and "GROUP BY asked.`ordered_month`" in text
+    assert main(["resolve", str(tmp_path)]) == 0 and '"recipe": "from_discount"' in capsys.readouterr().out
     assert main(["explain", str(tmp_path), "--metrics", "nothing"]) == 1 and main(["explain"]) == 2
     assert main(["plan", str(tmp_path), str(tmp_path)]) == 0 and '"changes": []' in capsys.readouterr().out
     assert spec_json_schema("mart")["additionalProperties"] is False
