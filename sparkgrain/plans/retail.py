@@ -303,14 +303,22 @@ def project() -> Project:
     return _checked[0]
 
 
-def bronze(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The landed tables; those under deduplication or quarantine get ingestion columns out of their own values."""
-    out = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "customer", "part", "supplier", "orders", "lineitem", "events", "documents")}
-    for t, cols in _ROW_ID.items():
-        at = F.col(_ARRIVED[t]) if _ARRIVED[t] else F.lit("2024-01-01 00:00:00")
-        out[t] = acknowledged(out[t], "load-1", at, F.concat_ws("-", *cols))
-    return out
+class Landed(dict):
+    """The landed tables, each opened when it is asked for; those under deduplication or quarantine get ingestion
+    columns out of their own values."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, t: str) -> DataFrame:
+        got = self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet")
+        if t in _ROW_ID:
+            at = F.col(_ARRIVED[t]) if _ARRIVED[t] else F.lit("2024-01-01 00:00:00")
+            got = acknowledged(got, "load-1", at, F.concat_ws("-", *_ROW_ID[t]))
+        self[t] = got
+        return got
 
 
 def frames(spark: SparkSession, sf_dir: str) -> Frames:
-    return Frames(project(), bronze(spark, sf_dir), STEPS)
+    return Frames(project(), Landed(spark, sf_dir), STEPS)
