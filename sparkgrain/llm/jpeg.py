@@ -15,6 +15,10 @@ _ZIGZAG = np.array([i * 8 + (s - i) if s % 2 else (s - i) * 8 + i for s in range
 _DCT = np.array([[(0.5 if u else 0.5**0.5 / 2) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
 
 
+#: Frames of more pixels are refused: a tensor must fit its task.
+MOST_PIXELS = 1 << 26
+
+
 class BadImage(ValueError):
     """Bytes that are no JPEG this decoder reads."""
 
@@ -243,9 +247,10 @@ def coefficients(data: bytes) -> tuple[tuple, list[_Component], dict, int | None
             p = 0
             while p < len(body):
                 wide = body[p] >> 4
-                raw = np.frombuffer(body[p + 1 : p + 1 + 64 * (1 + wide)], ">u2" if wide else np.uint8).astype(np.float64)
-                if len(raw) != 64:
+                part = body[p + 1 : p + 1 + 64 * (1 + wide)]
+                if wide > 1 or len(part) != 64 * (1 + wide):
                     raise BadImage("a quantiser ends early")
+                raw = np.frombuffer(part, ">u2" if wide else np.uint8).astype(np.float64)
                 quant[body[p] & 15] = raw
                 p += 1 + 64 * (1 + wide)
         elif m == 0xC4:
@@ -264,6 +269,9 @@ def coefficients(data: bytes) -> tuple[tuple, list[_Component], dict, int | None
                 raise BadImage("the frame is not one of grey or three colours")
             hmax, vmax = max(x.h for x in comps), max(x.v for x in comps)
             frame = (width, height, hmax, vmax)
+            mcus = -(-width // (8 * hmax)) * -(-height // (8 * vmax))
+            if width * height > MOST_PIXELS or mcus > 8 * len(data):  # a unit takes a bit at least
+                raise BadImage(f"a frame of {width} x {height} is too large, or more than these bytes hold")
             for x in comps:
                 x.wide, x.high = -(-(-(-width * x.h // hmax)) // 8), -(-(-(-height * x.v // vmax)) // 8)
                 x.stride = -(-width // (8 * hmax)) * x.h
@@ -342,8 +350,9 @@ def tensors(images: DataFrame, key: str = "image_id", image: str = "jpeg") -> Da
     inverse transform, chroma upsampling and the colour change are numpy over all blocks of an image. Sequential
     frames are read likewise. No shuffle.
 
-    Nulls: a null image has a null tensor and no error. Bytes that are empty, cut short or no readable JPEG have a
-    null tensor and say why in error; they never stop the job. A null key is carried, repeated rows are each
+    Nulls: a null image has a null tensor and no error. Bytes that are empty, cut short or no readable JPEG, and frames
+    of over MOST_PIXELS or of more units than the file has bits, have a null tensor and say why in error; they never
+    stop the job. A null key is carried, repeated rows are each
     decoded, other columns are not carried, so none clash. No rows give no rows.
     """
     kind = images.select(c(key)).schema[0].dataType.simpleString()
@@ -356,7 +365,7 @@ def tensors(images: DataFrame, key: str = "image_id", image: str = "jpeg") -> Da
                     try:
                         rgb = decode(data) if data is not None else None
                         out.append((*rgb.shape[:2], rgb.tobytes(), None) if rgb is not None else (None,) * 4)
-                    except (BadImage, IndexError, KeyError, TypeError) as e:  # IndexError and the like: broken headers
+                    except Exception as e:  # noqa: BLE001: whatever broken bytes lead to, the other images go on
                         out.append((None, None, None, str(e) or type(e).__name__))
                 h, w, x, e = zip(*out)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(h, pa.int32()), pa.array(w, pa.int32()), pa.array(x, pa.binary()), pa.array(e, pa.string())], ["id", "height", "width", "rgb", "error"])
