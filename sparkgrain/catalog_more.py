@@ -18,7 +18,7 @@ from sparkgrain.operators import audits as A
 from sparkgrain.operators import rejects as J
 from sparkgrain.operators.quality_mart import Counted, quality_mart, quarantine_rate
 from sparkgrain.operators.silver import evaluate
-from sparkgrain.operators.steps import Registry, StepDef, run_step
+from sparkgrain.operators.steps import Registry, StepDef, run_step, sibling_audits
 from sparkgrain.plans import retail
 from sparkgrain.plans.engine import Frames
 from sparkgrain.plans.evolve import diff
@@ -149,9 +149,13 @@ def conservation_audit(fr):
     return A.conservation(s).unionAll(A.conservation(broken))
 
 
-@query("SELECT 'visit_kind_in_set' AS audit, event_id FROM v_all WHERE kind NOT IN ('view', 'click', 'signup', 'purchase') UNION ALL SELECT 'visit_value_range_min', event_id FROM v_all WHERE value < 0.50")
+@query("SELECT 'visit_kind_in_set' AS audit, event_id FROM v_all WHERE kind NOT IN ('view', 'click', 'signup', 'purchase') UNION ALL SELECT 'visit_value_range_min', event_id FROM v_all WHERE value < 0.50 UNION ALL SELECT 'visit_kind_in_set', -event_id FROM v_all WHERE kind NOT IN ('view', 'click', 'signup', 'purchase') AND event_id % 3 = 1 UNION ALL SELECT 'visit_value_range_min', -event_id FROM v_all WHERE value < 0.50 AND event_id % 3 = 1")
 def fail_rule_audit(fr):
-    return _named(A.fail_rules(audited(fr).pipeline("visit")), "event_id")
+    """Keys of this run's rows and of stored ones, each once: some stored rows are this run's, others of an earlier one."""
+    s = audited(fr).pipeline("visit")
+    again = s.kept.where("event_id % 3 = 0")
+    stored = again.unionByName(s.kept.where("event_id % 3 = 1").withColumn("event_id", -F.col("event_id"))).unionByName(again)
+    return _named(A.fail_rules(s, stored), "event_id")
 
 
 @query("SELECT 'visit_k_text_not_null' AS audit, event_id FROM v_all WHERE k_text IS NULL UNION ALL SELECT 'visit_kind_enum', event_id FROM v_all WHERE kind NOT IN ('view', 'click', 'signup', 'purchase') UNION ALL SELECT 'visit_kind_regex', event_id FROM v_all WHERE NOT regexp_full_match(kind, '[a-r]+') UNION ALL SELECT 'visit_value_max', event_id FROM v_all WHERE value > 200.00 UNION ALL SELECT 'visit_value_min', event_id FROM v_all WHERE value < 1.00")
@@ -376,6 +380,18 @@ def step_output_is_an_entity(fr):
     return frames.silver("firsts").join(frames.silver("customer"), "customer_id").groupBy("segment").agg(F.count("*").alias("customers"), F.min("since").alias("since"))
 
 
+@query("SELECT 'step_visits_account_in_accounts' AS audit, c_custkey AS account FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 3 <> 0")
+def step_sibling_audits(fr):
+    """Two outputs of one step that disagree: visits of accounts that the other output doesn't hold."""
+    def run(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        c = tables["customers"].select(F.col("customer_id").alias("account"))
+        return {"accounts": c.where("account % 3 = 0"), "visits": c.where("account % 5 = 0").unionAll(c.limit(1).select(F.lit(None).cast("bigint").alias("account")))}
+
+    step = StepDef("split", 1, "python_model", run=run, inputs=("customers",), outputs={"accounts": {"columns": {"account": "int"}, "key": ["account"]}, "visits": {"columns": {"account": "int"}, "references": {"account": "accounts"}}})
+    got = run_step(Registry((step,)), {"use": "split@1", "inputs": {"customers": "silver.customer"}, "outputs": {"accounts": "silver.accounts", "visits": "silver.visits"}}, {"customer": fr.silver("customer")})
+    return _named([A.Audit(n, rows) for n, rows in sibling_audits(step, got)], "account")
+
+
 # what is refused, and what a change of the specs means ---------------------------------------------------------------
 
 def _error(f: Callable[[], object]) -> str:

@@ -54,9 +54,19 @@ def collisions(entity_rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return entity_rows.groupBy(*key).agg(F.count_distinct("_source").alias("n_sources")).where("n_sources > 1")
 
 
-def fail_rules(s: Silver) -> list[Audit]:
-    """One blocking audit for each rule whose failure stops the run, whether or not the row was diverted."""
-    return [Audit(f"{s.entity.name}_{r.name}", s.evaluated.where(F.array_contains("_failed", r.name))) for r in s.rules if r.on_fail == "fail"]
+def fail_rules(s: Silver, stored: DataFrame | None = None) -> list[Audit]:
+    """One blocking audit for each rule whose failure stops the run, whether or not the row was diverted.
+
+    Its violations are keys, each once: of this run's rows, and of stored ones whose recorded flags name the rule.
+    """
+    out, key = [], s.entity.key
+    for r in s.rules:
+        if r.on_fail == "fail":
+            bad = s.evaluated.where(F.array_contains("_failed", r.name)).select(*key)
+            if stored is not None:
+                bad = bad.unionByName(stored.where(F.array_contains("_quality_flags", r.name)).select(*key))
+            out.append(Audit(f"{s.entity.name}_{r.name}", bad.distinct()))
+    return out
 
 
 def assertion(column: str, clause: str, value: object, t: Logical) -> Column:

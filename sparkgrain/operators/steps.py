@@ -17,7 +17,8 @@ _HOLE = re.compile(r"(?<![:\w]):([a-z_][a-z0-9_]*)")
 
 @dataclass(frozen=True)
 class StepDef:
-    """A versioned step. kind: sql_macro, sql_model or python_model; outputs: name -> (columns with types, key, required)."""
+    """A versioned step. kind: sql_macro, sql_model or python_model; outputs: name -> (columns with types, key, required,
+    references: column -> output)."""
 
     ref: str
     version: int
@@ -147,3 +148,15 @@ def run_step(registry: Registry, wiring: dict, tables: dict[str, DataFrame]) ->
 def siblings_consistent(parent: DataFrame, child: DataFrame, ref: str, key: str) -> DataFrame:
     """Child rows whose reference no parent row has."""
     return child.where(F.col(ref).isNotNull()).join(parent.select(F.col(key).alias("_key")).distinct(), F.col(ref) == F.col("_key"), "left_anti")
+
+
+def sibling_audits(step: StepDef, outputs: dict[str, DataFrame]) -> list[tuple[str, DataFrame]]:
+    """For each reference that an output declares (references: {column: output}), its rows without a match in the other
+    output's key. Outputs may each be sound and yet disagree."""
+    out = []
+    for child, spec in step.outputs.items():
+        for column, parent in sorted((spec.get("references") or {}).items()):
+            if parent not in step.outputs or len(step.outputs[parent].get("key", ())) != 1 or column not in spec["columns"]:
+                raise StepContract(f"{step.name}.{child}.{column} refers to {parent!r}, which is no output of one key column")
+            out.append((f"step_{child}_{column}_in_{parent}", siblings_consistent(outputs[parent], outputs[child], column, step.outputs[parent]["key"][0])))
+    return out

@@ -17,7 +17,7 @@ from sparkgrain.operators import rejects as J
 from sparkgrain.operators import rules as R
 from sparkgrain.operators.quality_mart import Counted, quality_mart
 from sparkgrain.operators.silver import Silver, evaluate
-from sparkgrain.operators.steps import Registry, run_step
+from sparkgrain.operators.steps import Registry, run_step, sibling_audits
 from sparkgrain.plans.guard import check
 from sparkgrain.plans.request import MetricRequest, QueryPlan, RowPolicy, execute, plan
 from sparkgrain.plans.spec import EntitySpec, MartSpec, Project
@@ -142,6 +142,8 @@ class Engine:
         for name in {v.split(".")[-1] for w in p.steps for v in (w.get("outputs") or {}).values()}:
             frames._given[name] = self.store.full("silver", name, frames.silver(name))
         for w in p.steps:
+            step, named = self.registry.get(w["use"]), {o: v.split(".")[-1] for o, v in (w.get("outputs") or {}).items()}
+            found += A.enforce([A.Audit(n, rows) for n, rows in sibling_audits(step, {o: frames.silver(t) for o, t in named.items()})])
             for q in w.get("quality") or ():
                 rows = frames.silver((w.get("applies_to") or {}).get(q["name"]) or next(iter(w["outputs"])))
                 found += A.enforce([A.Audit(f"{w['use']}_{q['name']}", rows.where(~F.expr(q["expr"])))])
@@ -169,11 +171,11 @@ class Engine:
             out.append(A.Audit(f"{e.name}_conservation", A.conservation(s)))
         if len(mappings) > 1:
             out.append(A.Audit(f"{e.name}_collisions", A.collisions(s.kept, e.key)))
+        stored = None
         if (e.scd == "type2" or materialization(e) != "full") and self.store.exists("silver", e.name):
             # rows of earlier runs that this one doesn't replace count too
             stored = self.store.read("silver", e.name).join(s.evaluated.select(*e.key), list(e.key), "left_anti")
-            out += [A.Audit(f"{e.name}_{r.name}_stored", stored.where(F.array_contains("_quality_flags", r.name))) for r in s.rules if r.on_fail == "fail"]
-        return out + A.fail_rules(s) + A.asserts(s)
+        return out + A.fail_rules(s, stored) + A.asserts(s)
 
     def replay(self, entity: str, at: datetime) -> None:
         """Judge an entity's unresolved rejects again and let those that pass into its table."""
