@@ -24,8 +24,10 @@ RIDGE = 1.0
 KEEP_AT = 0.5
 #: Bytes of text that are judged at once.
 PART_BYTES = 2 << 20
-#: A site's prior may move a text's log odds by so much at most, as sites mix good and bad texts.
-MAX_SHIFT = 2.0
+#: Of so many labelled rows one is kept from the fit; these tell how much of a site's shift to believe.
+HELD_OUT = 5
+#: The prior strength that stands for sites which don't differ beyond chance.
+NO_SPREAD = 1e12
 
 _UPPER, _LOWER, _DIGIT, _SPACE, _SIGN, _HIGH = range(6)
 _CLASS = np.full(256, _SIGN, np.uint8)
@@ -168,8 +170,8 @@ def fit(texts: list[pa.Array], quality: np.ndarray, toxic: np.ndarray) -> Model:
     return Model(known, mean, sd, weights, float(np.clip((good * clean).mean() if m else 0.5, 0.01, 0.99)), bool(m))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most train_rows labelled documents, in one task; the driver gets the fitted model alone.
+def labelled(labels: DataFrame, key: str = "doc_id", quality: str = "quality", toxic: str = "toxic", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """key, q, t and held of at most train_rows labels, those whose keys hash lowest; one of HELD_OUT is held out.
 
     Rows of labels with a null key or no label are left out; a missing head of a label counts as the good value.
     """
@@ -177,7 +179,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         c(key).alias("key"), F.coalesce(c(quality), F.lit(1)).cast("int").alias("q"), F.coalesce(c(toxic), F.lit(0)).cast("int").alias("t")
     )
     lab = lab.orderBy(F.xxhash64("key"), "key", "q", "t").limit(train_rows)
-    rows = docs.select(c(key).alias("key"), c(text).alias("text")).join(F.broadcast(lab), "key").select("text", "q", "t")  # train_rows bounds it
+    return lab.withColumn("held", F.pmod(F.xxhash64("key", F.lit("held")), F.lit(HELD_OUT)) == 0)
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
+    """Fit on at most train_rows labelled documents, in one task; the driver gets the fitted model alone.
+
+    Labels are those of labelled() that aren't held out. An id on several texts is fitted on the least of them.
+    """
+    lab = labelled(labels, key, quality, toxic, train_rows).where("not held")
+    rows = docs.select(c(key).alias("key"), c(text).alias("text")).join(F.broadcast(lab), "key")  # train_rows bounds it
+    rows = rows.groupBy("key", "q", "t").agg(F.min("text").alias("text")).select("text", "q", "t")
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, q, t = [], [np.zeros(0)], [np.zeros(0)]
@@ -213,21 +225,41 @@ def site_shifts(scored: DataFrame, base: float) -> DataFrame:
     hosts = sites.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     top = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.count("*").alias("g")).first()
     total = float(top["n"] or 0)
-    rate = float(np.clip((top["s"] / total) if total else base, 1e-4, 1 - 1e-4))
+    rate = float((top["s"] / total) if total else base)
 
     def strength(frame: DataFrame, n: str, s: str, mean: Column, groups: float) -> float:
         spread = frame.agg(F.sum(F.col(n) * F.pow(F.col(s) / F.col(n) - mean, 2)).alias("v")).first()["v"] or 0.0
         between = spread / total - rate * (1 - rate) * groups / total if total else 0.0
-        return float(np.clip(rate * (1 - rate) / max(between, 1e-9) - 1, 1.0, 1e6))
+        return max(rate * (1 - rate) / between - 1, 0.0) if between > rate * (1 - rate) / NO_SPREAD else NO_SPREAD
 
     kh = strength(hosts, "hn", "hs", F.lit(rate), float(top["g"]))
     hosts = hosts.withColumn("host_rate", (F.col("hs") + F.lit(kh * rate)) / (F.col("hn") + F.lit(kh)))
     both = sites.join(hosts.withColumnRenamed("host", "_h"), F.col("host").eqNullSafe(F.col("_h")))
     kp = strength(both, "n", "s", F.col("host_rate"), float(both.count()))
-    path_rate = (F.col("s") + F.lit(kp) * F.col("host_rate")) / (F.col("n") + F.lit(kp))
-    lo = F.lit(float(np.log(rate / (1 - rate))))
-    shift = F.greatest(F.lit(-MAX_SHIFT), F.least(F.lit(MAX_SHIFT), F.log(F.col("path_rate") / (1 - F.col("path_rate"))) - lo))
-    return written(both.withColumn("path_rate", F.least(F.greatest(path_rate, F.lit(1e-4)), F.lit(1 - 1e-4))).withColumn("shift", shift).select("host", "path", "n", "host_rate", "path_rate", "shift"), "quality-shifts")
+    both = both.withColumn("path_rate", (F.col("s") + F.lit(kp) * F.col("host_rate")) / (F.col("n") + F.lit(kp)))
+    shift = F.log(F.col("path_rate") / (1 - F.col("path_rate"))) - F.lit(float(np.log(rate / (1 - rate))))
+    return written(both.withColumn("shift", shift).select("host", "path", "n", "host_rate", "path_rate", "shift"), "quality-shifts")
+
+
+def site_weight(scored: DataFrame, sites: DataFrame, lab: DataFrame) -> float:
+    """The share of a site's shift that held-out labels bear out, from 0 to 1.
+
+    Added to a text's own log odds in full, the shift counts what the site's texts share with this one twice. The
+    weight has the greatest posterior under the held-out labels (train_rows bounds them) and a normal prior about 1.
+    """
+    rows = scored.select(F.col("doc_id").alias("key"), "host", "path", "odds").join(F.broadcast(lab.where("held")), "key")
+    near = sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "shift")
+    rows = rows.join(near, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
+    got = rows.groupBy("key", "q", "t").agg(F.avg("odds").alias("odds"), F.avg("shift").alias("shift")).toPandas()
+    y = ((got["q"] > 0) & (got["t"] <= 0)).to_numpy(float)
+    odds, shift, w = got["odds"].to_numpy(float), got["shift"].to_numpy(float), 1.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(odds + w * shift, -30, 30)))
+        step = (((y - p) * shift).sum() - (w - 1)) / ((p * (1 - p) * shift**2).sum() + 1)
+        w += step
+        if abs(step) < 1e-9:
+            break
+    return float(np.clip(w, 0.0, 1.0))
 
 
 def _sites(host: str, path: str | None) -> tuple[Column, Column]:
@@ -241,35 +273,46 @@ def evidence(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     return written(docs.select(c(key).alias("doc_id"), h.alias("host"), p.alias("path"), scorer(model)(c(text)).alias("odds")), "quality-evidence")
 
 
+def _judged(scored: DataFrame, model: Model, lab: DataFrame) -> DataFrame:
+    """scored with its site's rates (host_rate, path_rate) and p_good."""
+    sites = site_shifts(scored, model.base)
+    weight = site_weight(scored, sites, lab) if model.fitted else 0.0
+    near = sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_rate", "path_rate", "shift")
+    both = scored.join(near, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
+    return both.withColumn("p_good", 1 / (1 + F.exp(-(F.col("odds") + F.lit(weight) * F.col("shift")))))
+
+
 def classify(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, train_rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text", host: str = "source", path: str | None = "lang") -> DataFrame:
     """Judge every document: doc_id, host, path, p_text, host_rate, path_rate, p_good, keep.
 
     p_text is the classifier's chance that the text is of good quality and not toxic; p_good has the site's
-    shift of log odds added; keep is p_good >= keep_at. The table has no addresses, so the site is the source,
-    and its path level the language within it; both are parameters.
+    shift of log odds added, by the weight that held-out labels bear out; keep is p_good >= keep_at. The table has
+    no addresses, so the site is the source, and its path level the language within it; both are parameters.
 
     Nulls: a null host or path is a site of its own. A null or empty text scores the least evidence and is not
     kept; long texts are read whole. Repeated rows are judged alike. Without labels every text with a word
     scores even odds and no site shifts them (so it is kept at 0.5). Other columns are not carried, so none clash. No rows give no rows.
     """
     model = train(docs, labels, key, text, train_rows=train_rows)
-    scored = evidence(docs, model, key, text, host, path)
-    sites = site_shifts(scored, model.base).withColumnsRenamed({"host": "_h", "path": "_p"})
-    odds = F.col("odds") + (F.col("shift") if model.fitted else F.lit(0.0))
-    both = scored.join(sites, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")))
-    good = 1 / (1 + F.exp(-odds))
-    return both.select("doc_id", "host", "path", (1 / (1 + F.exp(-F.col("odds")))).alias("p_text"), "host_rate", "path_rate", good.alias("p_good"), (good >= keep_at).alias("keep"))
+    both = _judged(evidence(docs, model, key, text, host, path), model, labelled(labels, key, train_rows=train_rows))
+    return both.select("doc_id", "host", "path", (1 / (1 + F.exp(-F.col("odds")))).alias("p_text"), "host_rate", "path_rate", "p_good", (F.col("p_good") >= keep_at).alias("keep"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, train_rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text", host: str = "source", path: str | None = "lang") -> DataFrame:
     """The documents that classify() keeps, with all their columns.
 
-    The texts are scored once for the sites and again for the decision: no text is shuffled, and rows need no
-    unique key.
+    Texts are scored once: rows are written with their log odds, from which sites and decisions come. No text is
+    shuffled, and rows need no unique key.
+
+    Nulls, empty and long texts and missing labels are treated as classify() does: a null or empty text goes, a null
+    host or path is a site of its own. Repeated rows stay or go together, each of them; ties at keep_at stay. Columns
+    may have any names, those used within too: they come back as they were. No rows give no rows.
     """
     model = train(docs, labels, key, text, train_rows=train_rows)
-    sites = site_shifts(evidence(docs, model, key, text, host, path), model.base).select(F.col("host").alias("__sg_h"), F.col("path").alias("__sg_p"), F.col("shift").alias("__sg_shift"))
+    ship(docs.sparkSession)
     h, p = _sites(host, path)
-    wide = docs.withColumn("__sg_odds", scorer(model)(c(text))).join(sites, h.eqNullSafe(F.col("__sg_h")) & p.eqNullSafe(F.col("__sg_p")))
-    odds = F.col("__sg_odds") + (F.col("__sg_shift") if model.fitted else F.lit(0.0))
-    return wide.where(1 / (1 + F.exp(-odds)) >= keep_at).select(*[c(x) for x in docs.columns])
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    row = F.struct(*[c(x).alias(n) for x, n in zip(docs.columns, names)]).alias("row")
+    scored = written(docs.select(row, c(key).alias("doc_id"), h.alias("host"), p.alias("path"), scorer(model)(c(text)).alias("odds")), "quality-rows")
+    both = _judged(scored, model, labelled(labels, key, train_rows=train_rows))
+    return both.where(F.col("p_good") >= keep_at).select(*[F.col(f"row.{n}").alias(x) for x, n in zip(docs.columns, names)])
