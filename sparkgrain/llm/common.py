@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -17,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkgrain.sources.store import shared_dir
+
 # freed buffers go back to the system at once: Python workers live long beside a Java heap
 pa.set_memory_pool(pa.system_memory_pool())
 
@@ -24,6 +27,8 @@ pa.set_memory_pool(pa.system_memory_pool())
 BROADCAST_ROWS = 4_000_000
 #: Bytes of text that a Python worker tokenises at once.
 SLICE_BYTES = 8 << 20
+#: Bytes of rows that Spark hands a Python worker at once, where the session allows more.
+BATCH_BYTES = 8 << 20
 
 
 def c(name: str) -> Column:
@@ -31,31 +36,49 @@ def c(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is named, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not (own := getattr(shared_dir, "own", None)):
-        own = shared_dir.own = tempfile.mkdtemp(prefix="sparkgrain-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return own
+#: The folder of this process's tables in the shared one, and the tables that are there.
+_RUN, _MADE = f"sparkgrain-{uuid.uuid4().hex}", []
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """The rows of df, written to the shared folder and read again: lineage is cut, and lost executors lose nothing."""
+    """The rows of df, written to the shared folder and read again: lineage is cut, and lost executors lose nothing.
+
+    The table goes with forget(), with settled() or, at the latest, when this process ends in good order.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(_sweep, spark, f"{shared_dir(spark).rstrip('/')}/{_RUN}")
+    path = f"{shared_dir(spark).rstrip('/')}/{_RUN}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files behind a written() table that no later step reads."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        _delete(spark, path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files behind written() tables that no later step reads."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, path)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows that make() gives, written; the tables that were written on the way to them are deleted."""
+    mark = len(_MADE)
+    out = written(make(), name)
+    for path in _MADE[mark:-1]:
+        _delete(out.sparkSession, path)
+    del _MADE[mark:-1]
+    return out
 
 
 def ship(spark: SparkSession) -> None:
@@ -74,6 +97,9 @@ def ship(spark: SparkSession) -> None:
                         z.write(f"{at}/{n}", os.path.relpath(f"{at}/{n}", os.path.dirname(root)))
         sc.addPyFile(f"{folder}/sparkgrain.zip")
     sc._sparkgrain_shipped = True
+    at = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(at)) > BATCH_BYTES:
+        spark.conf.set(at, str(BATCH_BYTES))
 
 
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrain.llm.common import BROADCAST_ROWS, arrow_map, c, forget, mix, plan_bytes, ship, slices, strings, tokens, word_hash, written
+from sparkgrain.llm.common import BROADCAST_ROWS, SLICE_BYTES, arrow_map, c, forget, mix, plan_bytes, ship, slices, strings, tokens, word_hash, written
 
 N_GRAM, THRESHOLD = 3, 0.6
 #: A prefix asks for at most so many shared tokens.
@@ -22,11 +23,12 @@ VERIFY_COST, VERIFY_SHARE = 20.0, 0.7
 SLICE_DF, HOT_DF, HOT_MOST = 2, 4, 1 << 20
 #: Bytes of input behind a token bucket; documents of a block that are verified together; n-gram sets in a task.
 BUCKET_BYTES, BLOCK_DOCS, SETS_IN_TASK = 8 << 20, 256, 2000
-#: Prefix tokens, frequent ones first, that a document carries to settle where a pair is proposed; those that aren't
-#: frequent fill up to so many, as few documents share them and each costs bytes in every bucket.
-ANCHORS, RARE_ANCHORS = 6, 2
+#: Prefix tokens that a document carries to settle where a pair is proposed: so many frequent ones, or one that isn't.
+ANCHORS = 6
 #: Tokens travel without so many low bits: 48 are left. In buckets that can only add candidates, which are verified.
 CUT = np.uint64(16)
+#: A set's key has the upper 40 bits of its fingerprint, and its size in the rest.
+SIZE_BITS = 24
 
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -48,6 +50,16 @@ class Hot:
     chance: float
     sizes: np.ndarray
     upto: np.ndarray
+    _plain: dict = field(default_factory=dict)
+
+    def plain(self, n: int, t: float) -> int:
+        """Matches that the prefix of a set of n grams asks for if none of them is frequent."""
+        if (n, t) not in self._plain:
+            need = int(required(n, t))
+            base, most = n - need + 1, min(MOST_MATCHES, need)
+            costs = base + np.arange(most) + (VERIFY_COST + VERIFY_SHARE * n) * self.by_chance(n, base, t)[:most]
+            self._plain[n, t] = int(np.argmin(costs)) + 1
+        return self._plain[n, t]
 
     def by_chance(self, size: int, tokens: int, t: float) -> np.ndarray:
         """How many sets of a fitting size share at least 1, 2, ... prefix tokens by chance alone (Poisson)."""
@@ -59,6 +71,14 @@ class Hot:
         return max(hi - lo, 0.0) * np.maximum(1 - np.cumsum(pmf), 0.0)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The values of an array in order, each once: for few values a sort is quicker than a table."""
+    s = np.sort(x)
+    keep = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=keep[1:])
+    return s[keep]
+
+
 def gram_sets(arr: pa.Array, n: int) -> Iterator[np.ndarray]:
     """For each text its distinct word n-grams as sorted 64-bit hashes; shorter texts are one gram, wordless none."""
     codes, offsets, words = tokens(arr)
@@ -69,7 +89,7 @@ def gram_sets(arr: pa.Array, n: int) -> Iterator[np.ndarray]:
         acc = mix(acc * _P[1] + h[j : j + many] + _P[j % 4])
     for a, b in zip(offsets[:-1], offsets[1:]):
         if b - a >= n:
-            yield np.unique(acc[a : b - n + 1])
+            yield _distinct(acc[a : b - n + 1])
         elif b > a:
             x = np.uint64(b - a)
             with np.errstate(over="ignore"):
@@ -92,7 +112,7 @@ def required(size: np.ndarray | int, t: float) -> np.ndarray:
 
 
 def adaptive_prefix(grams: np.ndarray, count: np.ndarray, t: float, hot_: Hot) -> tuple[np.ndarray, np.ndarray, int]:
-    """Prefix tokens of a set, its anchors, and the matches l that its prefix asks for.
+    """Prefix tokens of a set, places in it of the frequent ones that are its anchors, and the matches l asked for.
 
     Tokens are in one global order, by (known count, hash). The l-prefix is the first |x| - T + l tokens with
     T = ceil(t |x|). If neither set's overlap falls short of its T, then prefixes of matches l and m share at least
@@ -101,9 +121,13 @@ def adaptive_prefix(grams: np.ndarray, count: np.ndarray, t: float, hot_: Hot) -
     a passage share all of it, and by those that sets of a fitting size share by chance.
     """
     n = len(grams)
-    order = np.lexsort((grams, count)) if count.any() else np.arange(n)
     need = int(required(n, t))
     base = n - need + 1
+    if not count.any():
+        pick = hot_.plain(n, t)
+        head = grams[: base + pick - 1]
+        return head, np.zeros(0, np.int64), pick
+    order = np.lexsort((grams, count))
     most = min(MOST_MATCHES, need)
     df = count[order[: base + most - 1]].astype(float)
     pick = 1
@@ -115,10 +139,7 @@ def adaptive_prefix(grams: np.ndarray, count: np.ndarray, t: float, hot_: Hot) -
         costs = read[base - 1 : base + most - 1] + (VERIFY_COST + VERIFY_SHARE * n) * found
         pick = int(np.argmin(costs)) + 1
     head = order[: base + pick - 1]
-    hot = head[count[head] > 0][:ANCHORS]
-    if len(hot) < RARE_ANCHORS:
-        hot = np.concatenate([hot, head[count[head] == 0][: RARE_ANCHORS - len(hot)]])
-    return grams[head], grams[hot], pick
+    return grams[head], head[count[head] > 0][:ANCHORS], pick
 
 
 def _scan(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -174,11 +195,21 @@ def _hot(survey: DataFrame) -> Hot:
     return Hot(h[order], k[order].astype(np.int64), chance, 2 ** (sizes["s"].to_numpy(float) / 8), sizes["k"].cumsum().to_numpy(float))
 
 
-def _known(grams: np.ndarray, hot: Hot) -> np.ndarray:
+def _known(grams: np.ndarray, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
+    """Known counts of n-grams, 0 if they aren't frequent, and their numbers among the frequent ones."""
     if not len(hot.hashes):
-        return np.zeros(len(grams), np.int64)
+        return np.zeros(len(grams), np.int64), np.zeros(len(grams), np.int64)
     at = np.minimum(np.searchsorted(hot.hashes, grams), len(hot.hashes) - 1)
-    return np.where(hot.hashes[at] == grams, hot.counts[at], 0)
+    return np.where(hot.hashes[at] == grams, hot.counts[at], 0), at
+
+
+def _key(sig: int, size: int) -> int:
+    """What stands for a set in the buckets: sets that share a key are only told apart when they are verified."""
+    most = (1 << SIZE_BITS) - 1
+    return sig & ~most | min(size, most)
+
+
+_KEY = f"sig & {~((1 << SIZE_BITS) - 1)}L | least(size, {(1 << SIZE_BITS) - 1})"
 
 
 def _postings(n: int, t: float, hot, buckets: int):
@@ -194,14 +225,16 @@ def _postings(n: int, t: float, hot, buckets: int):
                     if not len(g) or s in seen:
                         continue
                     seen.add(s)
-                    head, anchors, pick = adaptive_prefix(g, _known(g, hot.value), t, hot.value)
-                    nodes.append((s, len(g), pick, [*(int(x >> CUT) for x in anchors), *[0] * ANCHORS][:ANCHORS]))
+                    count, at = _known(g, hot.value)
+                    head, anchors, pick = adaptive_prefix(g, count, t, hot.value)
+                    rare = 0 if len(anchors) else int(head[0] >> CUT)
+                    nodes.append((_key(s, len(g)), pick, rare, (*(at[anchors] + 1).tolist(), *[0] * (ANCHORS - len(anchors)))))
                     toks.append(head)
                     lens.append(len(head))
                 if not nodes:
                     continue
                 tok, own = np.concatenate(toks), np.repeat(np.arange(len(nodes)), lens)
-                node = np.array([(s, z, p, tuple(q)) for s, z, p, q in nodes], _NODE)
+                node = np.array(nodes, _NODE)
                 order = np.argsort(tok, kind="stable")  # buckets are ranges of tokens, so this orders them too
                 tok, own = tok[order], own[order]
                 bucket = ((tok >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -216,7 +249,8 @@ def _postings(n: int, t: float, hot, buckets: int):
 
 
 _U64, _U32 = np.dtype(np.uint64), np.dtype(np.uint32)
-_NODE = np.dtype([("sig", np.int64), ("size", np.int32), ("need", np.uint8), ("anchors", np.uint64, (ANCHORS,))])
+#: hot: numbers (from 1) of a set's anchors among the frequent n-grams; rare: its anchor where none is frequent.
+_NODE = np.dtype([("key", np.int64), ("need", np.uint8), ("rare", np.uint64), ("hot", np.uint32, (ANCHORS,))])
 
 
 def _steps(x: np.ndarray) -> np.ndarray:
@@ -260,7 +294,7 @@ def _pairs_of_runs(starts: np.ndarray, ends: np.ndarray, most: int = 250_000) ->
         at = upto
 
 
-def _propose(t: float):
+def _propose(t: float, hot):
     """Pairs of a bucket that share a prefix token: their shared tokens here, and how many are asked for.
 
     A pair with as many common anchors as it needs matches is settled, and proposed only where the least of them
@@ -269,24 +303,24 @@ def _propose(t: float):
 
     def job(group: pa.Table) -> pa.Table:
         nodes, toks, owners, base = [], [], [], 0
-        for blob in group["blob"].to_pylist():
-            steps, idx, *cols = _unpacked(blob, _U64, _U32, *(_NODE[f] for f in _NODE.names))
+        for blob in group["blob"]:
+            steps, idx, *cols = _unpacked(blob.as_py(), _U64, _U32, *(_NODE[f] for f in _NODE.names))
             node = np.empty(len(cols[0]), _NODE)
             for f, x in zip(_NODE.names, cols):
                 node[f] = x
             toks.append(np.cumsum(steps, dtype=np.uint64))
-            owners.append(idx.astype(np.int64) + base)
+            owners.append((idx + np.uint32(base)).astype(np.uint32))
             base += len(node)
             nodes.append(node)
         node, key, own = np.concatenate(nodes), np.concatenate(toks), np.concatenate(owners)
         del nodes, toks, owners, cols
-        order = np.lexsort((node["size"], node["sig"]))
+        order = np.lexsort((node["need"], node["rare"], node["key"]))
         s = node[order]
-        new = np.concatenate([[True], (s["sig"][1:] != s["sig"][:-1]) | (s["size"][1:] != s["size"][:-1])])
-        to = np.empty(len(node), np.int64)
+        new = np.concatenate([[True], s[1:] != s[:-1]])
+        to = np.empty(len(node), np.uint32)
         to[order] = np.cumsum(new) - 1
         node, own = s[new], to[own]
-        del s, to
+        del s, to, order
         order = np.lexsort((own, key))
         key, own = key[order], own[order]
         once = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
@@ -294,106 +328,130 @@ def _propose(t: float):
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         starts, ends = edge[:-1], edge[1:]
         long = ends - starts > 1
-        size, need, anchors = node["size"].astype(np.int64), node["need"], node["anchors"]
+        size, need, rare, known = node["key"] & ((1 << SIZE_BITS) - 1), node["need"], node["rare"], node["hot"]
         none = np.iinfo(np.uint64).max
+        token = np.concatenate([[none], hot.value.hashes >> CUT])
         once_, many_ = [], []
         for i, j, _ in _pairs_of_runs(starts[long], ends[long]):
             a, b = own[i], own[j]
             fits = np.minimum(size[a], size[b]) >= required(np.maximum(size[a], size[b]), t)
             i, a, b = i[fits], a[fits], b[fits]
             m = np.minimum(need[a], need[b])
-            first, common = np.full(len(a), none, np.uint64), np.zeros(len(a), np.uint8)
-            for x in range(ANCHORS):
-                va, met = anchors[a, x], np.zeros(len(a), bool)
-                for y in range(ANCHORS):
-                    met |= va == anchors[b, y]
-                met &= va > 0
-                common += met
-                first = np.where(met & (va < first), va, first)
+            met = (rare[a] == rare[b]) & (rare[a] > 0)
+            first, common = np.where(met, rare[a], none), met.astype(np.uint8)
+            both = np.flatnonzero((known[a, 0] > 0) & (known[b, 0] > 0))
+            if len(both):
+                ka, kb = known[a[both]], known[b[both]]
+                least, met = np.zeros(len(both), np.uint32), np.zeros(len(both), np.uint8)
+                for x in range(ANCHORS):
+                    va = ka[:, x]
+                    hit = (va[:, None] == kb).any(1) & (va > 0)
+                    met += hit
+                    least = np.where(hit & ((va < least) | (least == 0)), va, least)  # hashes, so numbers, are in order
+                common[both] += met
+                first[both] = np.minimum(first[both], token[least])
             settled = common >= m
-            code = a * len(node) + b
+            code = a.astype(np.int64) * len(node) + b
             once_.append(np.unique(code[settled & (first == key[i])]))
             many_.append(code[~settled])
         one = np.unique(np.concatenate(once_)) if once_ else np.zeros(0, np.int64)
         rest, k = np.unique(np.concatenate(many_), return_counts=True) if many_ else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         code, k = np.concatenate([one, rest]), np.concatenate([np.full(len(one), MOST_MATCHES), k])
         a, b = code // max(len(node), 1), code % max(len(node), 1)
-        return pa.table(
-            {
-                "a": node["sig"][a], "sa": node["size"][a], "b": node["sig"][b], "sb": node["size"][b],
-                "k": k.astype(np.int32), "need": np.minimum(need[a], need[b]).astype(np.int32),
-            }
-        )
+        asked = np.minimum(need[a], need[b]).astype(np.int32)
+        return pa.table({"a": node["key"][a], "b": node["key"][b], "met": k.astype(np.int32) << 8 | asked})
 
     return job
 
 
-def _sets(n: int, wanted):
-    """Rows (grp, sig, size, grams) of the documents that candidates need. wanted: sorted ids, signatures and groups."""
+def _texts(wanted):
+    """Rows (grp, blob) of the texts that candidates need, packed by group. wanted: sorted ids and their groups."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sigs, groups = wanted.value
+        ids, groups = wanted.value
         for batch in batches:
             own = batch.column(0).to_numpy()
             lo, hi = np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")
-            rows = np.flatnonzero(hi > lo)
-            arr = strings(batch.column(1)).take(pa.array(rows))
-            for a, b in slices(arr):
-                yield from _set_rows(((g, [(sigs[x], groups[x]) for x in range(lo[r], hi[r])]) for r, g in zip(rows[a:b], gram_sets(arr.slice(a, b - a), n))))
-
-    return job
-
-
-def _sets_joined(n: int):
-    """The same for rows that already carry what is wanted: (doc_id, text, sigs, groups)."""
-
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            arr, want = strings(batch.column(1)), [list(zip(s, g)) for s, g in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            for a, b in slices(arr):
-                yield from _set_rows(zip(gram_sets(arr.slice(a, b - a), n), want[a:b]))
+            n = hi - lo
+            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield from _grouped(groups[at], np.repeat(np.arange(len(own)), n), batch.column(1))
 
     return job
 
 
-def _set_rows(found) -> Iterator[pa.RecordBatch]:
-    out: list[tuple] = []
-    for grams, want in found:
-        s = fingerprint(grams)
-        blob = _packed(_steps(grams >> CUT)) if any(sig == s for sig, _ in want) else b""
-        out += [(int(g), s, len(grams), blob) for sig, g in want if sig == s]
-        if len(out) >= 4000:
-            yield _set_batch(out)
-            out = []
-    if out:
-        yield _set_batch(out)
-
-
-def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
-    grp, sig, size, blob = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(sig, pa.int64()), pa.array(size, pa.int32()), pa.array(blob, pa.binary())], ["grp", "sig", "size", "grams"])
-
-
-def _verify(t: float):
-    def job(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        held = {(s, z): np.cumsum(_unpacked(x, _U64)[0], dtype=np.uint64) for s, z, x in zip(sets["sig"].to_pylist(), sets["size"].to_pylist(), sets["grams"].to_pylist())}
-        cols = {x: pairs[x].to_numpy() for x in ("a", "sa", "b", "sb")}
-        keep = np.zeros(len(cols["a"]), bool)
-        jac = np.zeros(len(cols["a"]))
-        order = np.lexsort((cols["sa"], cols["a"]))
-        before, x, mark = None, None, None
-        for r in order:
-            now = (int(cols["a"][r]), int(cols["sa"][r]))
-            if now != before:
-                before, x = now, held[now]
-            y = held[int(cols["b"][r]), int(cols["sb"][r])]
-            at = np.searchsorted(x, y)
-            at[at == len(x)] = 0
-            both = int((x[at] == y).sum())
-            union = len(x) + len(y) - both
-            jac[r] = both / union
-            keep[r] = both >= t * union - 1e-9
-        return pa.table({**{k: v[keep] for k, v in cols.items()}, "jaccard": jac[keep]})
+def _texts_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same for rows that already carry their groups: (text, groups)."""
+    for batch in batches:
+        groups = batch.column(1)
+        yield from _grouped(groups.flatten().to_numpy(), np.repeat(np.arange(len(groups)), np.diff(groups.offsets.to_numpy())), batch.column(0))
+
+
+def _grouped(grp: np.ndarray, row: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(grp, kind="stable")
+    grp, row = grp[order], row[order]
+    arr = strings(texts)
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(grp)) + 1, [len(grp)]]) if len(grp) else np.zeros(1, int)
+    at, blobs, held = [], [], 0
+    for x, y in zip(edge[:-1], edge[1:]):
+        part = arr.take(pa.array(np.unique(row[x:y])))
+        for a, b in slices(part):
+            at.append(int(grp[x]))
+            blobs.append(_squeezed(part.slice(a, b - a)))
+            held += len(blobs[-1])
+        if held > SLICE_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(blobs, pa.binary())], ["grp", "blob"])
+            at, blobs, held = [], [], 0
+    if at:
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(blobs, pa.binary())], ["grp", "blob"])
+
+
+def _squeezed(arr: pa.Array) -> bytes:
+    body = "".join(arr.to_pylist()).encode()
+    size = pc.binary_length(arr).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.array([len(size), len(body)], np.int64).tobytes() + pa.compress(size.tobytes() + body, codec="zstd", asbytes=True)
+
+
+def _loosened(blob: bytes) -> pa.Array:
+    n, body = (int(x) for x in np.frombuffer(blob, np.int64, 2))
+    raw = pa.decompress(blob[16:], 8 * n + body, codec="zstd", asbytes=True)
+    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.int64, n))])
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[8 * n :]))
+
+
+def _verify(n: int, t: float):
+    def job(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        cols = {x: pairs[x].to_numpy() for x in "ab"}
+        wanted, of, sigs, sets = {*cols["a"].tolist(), *cols["b"].tolist()}, {}, [], []
+        held = pa.concat_arrays([_loosened(blob.as_py()) for blob in texts["blob"]]) if texts.num_rows else pa.array([], pa.large_string())
+        for x, y in slices(held):
+            for g in gram_sets(held.slice(x, y - x), n):
+                s = fingerprint(g)
+                if (k := _key(s, len(g))) in wanted and all(sigs[i] != s for i in of.get(k, ())):
+                    of.setdefault(k, []).append(len(sets))
+                    sigs.append(s)
+                    sets.append(g)
+        sig, size = np.array(sigs, np.int64), np.array([len(g) for g in sets], np.int64)
+        names, ids = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+        parts, marked = np.split(ids.astype(np.int32), np.cumsum(size)[:-1]), np.zeros(len(names), np.int32)
+        out: list[tuple[np.ndarray, ...]] = []
+        order = np.lexsort((cols["b"], cols["a"]))
+        a, b = cols["a"][order], cols["b"][order].tolist()
+        edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else np.zeros(1, int)
+        for x, y in zip(edge[:-1], edge[1:]):
+            key = int(a[x])
+            for i in of[key]:
+                near = np.array([j for k in b[x:y] for j in of[k] if k != key or sigs[i] < sigs[j]], np.int64)
+                if not len(near):
+                    continue
+                marked[parts[i]] = 1
+                both = np.add.reduceat(marked[np.concatenate([parts[j] for j in near])], np.cumsum(size[near]) - size[near])
+                marked[parts[i]] = 0
+                union = size[i] + size[near] - both
+                ok = both >= t * union - 1e-9
+                m = int(ok.sum())
+                out.append((np.full(m, sig[i]), np.full(m, size[i]), sig[near][ok], size[near][ok], (both / union)[ok]))
+        cat = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
+        return pa.table({"a": cat[0], "sa": cat[1].astype(np.int32), "b": cat[2], "sb": cat[3].astype(np.int32), "jaccard": cat[4]})
 
     return job
 
@@ -417,47 +475,60 @@ def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     held = plan_bytes(docs)
     buckets = max(1, -(-held // BUCKET_BYTES)) if held < 1 << 60 else int(spark.conf.get("spark.sql.shuffle.partitions"))
     posted = arrow_map(scan, _postings(n, t, hot, buckets), "bucket bigint, blob binary")
-    found = posted.groupBy("bucket").applyInArrow(_propose(t), "a bigint, sa int, b bigint, sb int, k int, need int")
-    cand = found.groupBy("a", "sa", "b", "sb").agg(F.sum("k").alias("k"), F.first("need").alias("need")).where(F.col("k") >= F.col("need")).drop("k", "need")
+    found = posted.groupBy("bucket").applyInArrow(_propose(t, hot), "a bigint, b bigint, met int")
+    met = F.sum(F.shiftright("met", 8))
+    cand = found.groupBy("a", "b").agg(met.alias("k"), F.max(F.col("met").bitwiseAND(F.lit(255))).alias("need")).where(F.col("k") >= F.col("need")).select("a", "b")
     cand = written(cand, "dup-candidates")
 
-    # candidates of one neighbourhood are verified in one place: each set goes there once, not once a pair
+    # candidates of one neighbourhood are verified in one place: each text goes there once, not once a pair
     ends = cand.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(cand.select(F.col("b"), F.col("a")))
     label = ends.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label"))
     blocks = cand.join(label.withColumnsRenamed({"x": "a", "label": "la"}), "a").join(label.withColumnsRenamed({"x": "b", "label": "lb"}), "b")
-    blocks = written(blocks.select("a", "sa", "b", "sb", F.least("la", "lb").alias("block")), "dup-blocks")
+    blocks = written(blocks.select("a", "b", F.least("la", "lb").alias("block")), "dup-blocks")
     sizes = blocks.groupBy("block").agg(F.ceil(F.sqrt(2.0 * F.count("*")) / BLOCK_DOCS).cast("int").alias("k"))
     cell = [F.pmod(F.xxhash64(x), F.col("k")) for x in ("a", "b")]
-    blocks = blocks.join(sizes, "block").withColumn("cell", F.xxhash64("block", F.least(*cell), F.greatest(*cell)))
     tasks = max(1, -(-(2 * cand.count()) // (SETS_IN_TASK * 8)))
-    blocks = written(blocks.select("a", "sa", "b", "sb", F.pmod("cell", F.lit(tasks)).alias("grp")), "dup-cells")
+    cells = blocks.join(sizes, "block").withColumn("cell", F.xxhash64("block", F.least(*cell), F.greatest(*cell)))
+    cells = written(cells.select("a", "b", F.pmod("cell", F.lit(tasks)).alias("grp")), "dup-cells")
     forget(cand)
-    reps = members.groupBy("sig", "size").agg(F.min("doc_id").alias("doc_id"))
-    want = blocks.select("grp", F.col("a").alias("sig"), F.col("sa").alias("size")).unionAll(blocks.select("grp", "b", "sb")).distinct().join(reps, ["sig", "size"]).select("doc_id", "sig", "grp")
-    want = written(want, "dup-wanted")
+    forget(blocks)
+    reps = members.groupBy("sig", "size").agg(F.min("doc_id").alias("doc_id")).select(F.expr(_KEY).alias("key"), "doc_id")
+    ends = cells.select("grp", F.explode(F.array("a", "b")).alias("key")).distinct()
+    want = written(ends.join(reps, "key").select("doc_id", "grp").distinct(), "dup-wanted")
     if want.count() <= broadcast_rows:
         w = want.toArrow()
         order = np.argsort(w["doc_id"].to_numpy(), kind="stable") if w.num_rows else np.zeros(0, int)
-        held = spark.sparkContext.broadcast(tuple(w[x].to_numpy()[order] for x in ("doc_id", "sig", "grp")))
-        sets = arrow_map(scan, _sets(n, held), "grp bigint, sig bigint, size int, grams binary")
+        told = spark.sparkContext.broadcast(tuple(w[x].to_numpy()[order] for x in ("doc_id", "grp")))
+        texts = arrow_map(scan, _texts(told), "grp bigint, blob binary")
     else:
-        by = want.groupBy("doc_id").agg(F.collect_list(F.struct("sig", "grp")).alias("w")).select("doc_id", F.col("w.sig").alias("sigs"), F.col("w.grp").alias("groups"))
-        sets = arrow_map(scan.join(by, "doc_id").select("doc_id", "text", "sigs", "groups"), _sets_joined(n), "grp bigint, sig bigint, size int, grams binary")
-    pairs = blocks.groupBy("grp").cogroup(sets.groupBy("grp")).applyInArrow(_verify(t), "a bigint, sa int, b bigint, sb int, jaccard double")
-    return Joined(members, written(pairs, "dup-pairs"))
+        by = want.groupBy("doc_id").agg(F.collect_list("grp").alias("groups"))
+        texts = arrow_map(scan.join(by, "doc_id").select("text", "groups"), _texts_joined, "grp bigint, blob binary")
+    pairs = written(cells.groupBy("grp").cogroup(texts.groupBy("grp")).applyInArrow(_verify(n, t), "a bigint, sa int, b bigint, sb int, jaccard double"), "dup-pairs")
+    for done in (cells, want):
+        forget(done)
+    return Joined(members, pairs)
+
+
+def _rep_pairs(j: Joined) -> tuple[DataFrame, DataFrame]:
+    """(sig, size, rep, held): each set's lowest id and how many ids have it; and pairs of different sets by these ids."""
+    reps = j.members.groupBy("sig", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held"))
+    ra, rb = (reps.select(F.col("sig").alias(x), F.col("size").alias(f"s{x}"), F.col("rep").alias(f"r{x}")) for x in "ab")
+    across = j.pairs.join(ra, ["a", "sa"]).join(rb, ["b", "sb"])
+    return reps, across.select(F.least("ra", "rb").alias("doc_id_a"), F.greatest("ra", "rb").alias("doc_id_b"), "jaccard")
 
 
 def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N_GRAM, t: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Documents whose sets of word n-grams have a Jaccard similarity of at least t: doc_id_a < doc_id_b, jaccard.
 
-    Exact. Documents with one and the same set are represented by their lowest id: all pairs of representatives
-    that reach t are listed, and each other member with its representative at 1.0; the pairs of members of two
-    sets follow from these. That keeps thousands of copies from giving millions of rows.
+    Documents with one and the same set are represented by their lowest id: all pairs of representatives that reach
+    t are listed, and each other member with its representative at 1.0; the pairs of members of two sets follow from
+    these. That keeps thousands of copies from giving millions of rows.
 
     Two passes over the texts: one for set fingerprints and n-grams that are frequent, one for prefix tokens by
-    token bucket, packed, and their nodes; a third reads the texts that candidates name and sends their sets to be
-    verified. Sets are told apart by size and a 64-bit fingerprint of 64-bit n-gram hashes; verification compares the
-    upper 48 bits of the hashes.
+    token bucket, packed, and their nodes; a third picks the texts that candidates name, which travel compressed to be
+    verified. Tokens and sets stand as hashes: n-grams of 64 bits are the same if their hashes are, a set goes by its
+    size and a 64-bit fingerprint. Two different similar sets are taken for one in the buckets, and so missed, if
+    40 bits of their fingerprints, their sizes and their anchors agree: odds below 2^-40 a pair.
 
     Defined cases: ids are integers; rows with a null id or text, or with no word, take part in no pair. A text
     shorter than n words is one gram, so it pairs with its equals. Repeated rows count once; an id on rows with
@@ -465,54 +536,85 @@ def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     arise, and other columns are not carried. No rows give no rows.
     """
     j = join_sets(docs, key, text, n, t, broadcast_rows)
-    reps = j.members.groupBy("sig", "size").agg(F.min("doc_id").alias("rep"))
-    ra, rb = (reps.select(F.col("sig").alias(x), F.col("size").alias(f"s{x}"), F.col("rep").alias(f"r{x}")) for x in "ab")
-    across = j.pairs.join(ra, ["a", "sa"]).join(rb, ["b", "sb"]).select(F.least("ra", "rb").alias("doc_id_a"), F.greatest("ra", "rb").alias("doc_id_b"), "jaccard")
+    reps, across = _rep_pairs(j)
     copies = j.members.join(reps, ["sig", "size"]).select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
     return across.unionAll(copies).where("doc_id_a < doc_id_b").groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
 
 
-def all_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N_GRAM, t: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """similar_pairs() with every member of a set in its representative's place: all pairs that reach t, none implied.
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N_GRAM, t: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Every document with its class and its links: doc_id, class_id, n_copies, n_links.
+
+    The join is that of similar_pairs(). class_id is the lowest id of the connected component that links make;
+    n_copies counts the other documents with the very same set of n-grams, n_links all that reach t, those included.
+    So no link between different texts is lost, and a group of m copies gives m rows instead of its m (m - 1) / 2.
 
-    A group of m copies gives m (m - 1) / 2 rows, so the result may be far larger than the input.
+    Defined cases: one row for each id; rows with a null id are left out. An id with a null or
+    wordless text is its own class without links. Repeated rows count once; an id on rows with different texts has
+    the links of each of them (its own texts' among themselves too) and joins their classes. Other columns are not
+    carried, so none clash. No rows give no rows.
     """
     j = join_sets(docs, key, text, n, t, broadcast_rows)
-    a, b = (j.members.select(F.col("sig").alias(x), F.col("size").alias(f"s{x}"), F.col("doc_id").alias(f"d{x}")) for x in "ab")
-    across = j.pairs.join(a, ["a", "sa"]).join(b, ["b", "sb"]).select(F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b"), "jaccard")
-    copies = a.join(b, (F.col("a") == F.col("b")) & (F.col("sa") == F.col("sb"))).select(F.col("da").alias("doc_id_a"), F.col("db").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
-    return across.unionAll(copies).where("doc_id_a < doc_id_b").groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
-
-
-def groups(pairs: DataFrame, most: int = 40) -> DataFrame:
+    reps, across = _rep_pairs(j)
+    reps = written(reps, "dup-reps")
+    ends = j.pairs.select("a", "sa", F.col("b").alias("sig"), F.col("sb").alias("size")).unionAll(j.pairs.select("b", "sb", "a", "sa"))
+    links = ends.join(reps, ["sig", "size"]).groupBy("a", "sa").agg(F.sum("held").alias("near"))
+    held = reps.join(links, (F.col("a") == F.col("sig")) & (F.col("sa") == F.col("size")), "left").select("sig", "size", "rep", F.col("held") - 1, F.coalesce("near", F.lit(0)).alias("near"))
+    held = held.toDF("sig", "size", "rep", "more", "near")
+    own = j.members.join(held, ["sig", "size"]).groupBy("doc_id").agg(F.min("rep").alias("rep"), F.sum("more").alias("more"), F.sum("near").alias("near"))
+    heads = groups(across.unionByName(_knots(j, reps), allowMissingColumns=True)).withColumnRenamed("doc_id", "rep")
+    every = docs.where(c(key).isNotNull()).select(c(key).cast("bigint").alias("doc_id")).distinct()
+    got = every.join(own, "doc_id", "left").join(heads, "rep", "left")
+    zero = F.lit(0).cast("bigint")
+    return got.select("doc_id", F.coalesce("head", "rep", "doc_id").alias("class_id"), F.coalesce("more", zero).alias("n_copies"), F.coalesce(F.col("more") + F.col("near"), zero).alias("n_links"))
+
+
+def _knots(j: Joined, reps: DataFrame) -> DataFrame:
+    """Pairs that tie the sets of an id with several texts together."""
+    many = j.members.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select("doc_id")
+    tied = j.members.join(many, "doc_id").join(reps, ["sig", "size"]).select("doc_id", "rep")
+    return tied.join(tied.groupBy("doc_id").agg(F.min("rep").alias("low")), "doc_id").where("low < rep").select(F.col("low").alias("doc_id_a"), F.col("rep").alias("doc_id_b"))
+
+
+def groups(pairs: DataFrame) -> DataFrame:
     """Connected components of pairs: (doc_id, head), the lowest id of each group; every member has a row.
 
-    Each round gives a node the least label about it, then the label of that label, so rounds grow with the
-    logarithm of a group's diameter. The labels are written each round.
+    Each round hooks a node on the least of its neighbours and follows hooks to their end, then contracts the
+    edges, which leaves none of a group whose members are all alike. Every table is written.
     """
-    edges = written(pairs.select(F.col("doc_id_a").alias("x"), F.col("doc_id_b").alias("y")).unionAll(pairs.select("doc_id_b", "doc_id_a")), "dup-edges")
-    labels = written(edges.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("head")), "dup-labels")
-    for _ in range(most):
-        seen = edges.join(labels.select(F.col("x").alias("y"), F.col("head").alias("h")), "y").groupBy("x").agg(F.min("h").alias("h"))
-        nxt = labels.join(seen, "x").select("x", F.least("head", "h").alias("head"), F.col("head").alias("was"))
-        up = labels.select(F.col("x").alias("head"), F.col("head").alias("top"))
-        nxt = written(nxt.join(up, "head", "left").select("x", F.least("head", F.coalesce("top", "head")).alias("head"), "was"), "dup-labels")
-        moved = nxt.where("head <> was").limit(1).count()
-        labels = nxt.drop("was")
-        if not moved:
-            break
-    else:
-        raise RuntimeError("groups did not settle")
-    return labels.withColumnRenamed("x", "doc_id")
+    edges = pairs.select(F.col("doc_id_a").alias("x"), F.col("doc_id_b").alias("y")).where("x <> y")
+    edges, heads = written(edges.unionAll(edges.select("y", "x")), "dup-edges"), None
+    while heads is None or edges.limit(1).count():
+        hook = written(edges.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("h")), "dup-hooks")
+        while True:
+            up = hook.select(F.col("x").alias("h"), F.col("h").alias("top"))
+            nxt = written(hook.join(up, "h", "left").select("x", F.coalesce("top", "h").alias("h"), (F.col("top") < F.col("h")).alias("moved")), "dup-hooks")
+            forget(hook)
+            hook = nxt.select("x", "h")
+            if not nxt.where("moved").limit(1).count():
+                break
+        top = hook.select(F.col("x").alias("head"), F.col("h").alias("top"))
+        was = heads
+        heads = written(hook.select("x", F.col("h").alias("head")) if heads is None else heads.join(top, "head", "left").select("x", F.coalesce("top", "head").alias("head")), "dup-heads")
+        hx, hy = (hook.select(F.col("x").alias(k), F.col("h").alias(f"h{k}")) for k in "xy")
+        ahead = written(edges.join(hx, "x").join(hy, "y").where("hx <> hy").select(F.col("hx").alias("x"), F.col("hy").alias("y")).distinct(), "dup-edges")
+        for done in (edges, hook, *([was] if was is not None else [])):
+            forget(done)
+        edges = ahead
+    return heads.withColumnRenamed("x", "doc_id")
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N_GRAM, t: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One document of each group of near copies, the one with the lowest id, with all its columns.
 
-    Groups are the connected components of similar_pairs(). A document in no pair stays, as do rows with a null
-    id. Rows repeated under one id are cut to one of each text.
+    Groups are the classes of near_copies(). A document in no pair stays, as do rows with a null id. Rows repeated
+    under one id are cut to one of each text. Columns may have any names, those used within (they begin with __sg_)
+    excepted.
     """
-    gone = written(groups(similar_pairs(docs, key, text, n, t, broadcast_rows)).where("head < doc_id").select(F.col("doc_id").alias("__sg_gone")), "dup-gone")
+    j = join_sets(docs, key, text, n, t, broadcast_rows)
+    reps, across = _rep_pairs(j)
+    heads = groups(across.unionByName(_knots(j, reps), allowMissingColumns=True)).withColumnRenamed("doc_id", "rep")
+    own = j.members.join(reps, ["sig", "size"]).join(heads, "rep", "left").select("doc_id", F.coalesce("head", "rep").alias("head"))
+    gone = written(own.where("head < doc_id").select(F.col("doc_id").alias("__sg_gone")).distinct(), "dup-gone")
     few = gone.count() <= broadcast_rows
     kept = docs.join(F.broadcast(gone) if few else gone, c(key).cast("bigint") == F.col("__sg_gone"), "left_anti")
     again = written(docs.where(c(key).isNotNull()).groupBy(c(key).alias("__sg_again")).count().where("count > 1").select("__sg_again"), "dup-repeated")
@@ -520,3 +622,23 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
         return kept
     on = c(key) == F.col("__sg_again")
     return kept.join(again, on, "left_anti").unionAll(kept.join(again, on, "left_semi").dropDuplicates([key, text]))
+
+
+#: All pairs that share an n-gram, and classes by reachability: for small tables.
+SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\s+'), lambda x: regexp_replace(lower(x), '^[^\pL\pN]+|[^\pL\pN]+$', '', 'g')), lambda x: x <> '') AS ws
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), g AS (
+  SELECT DISTINCT doc_id, gram FROM (SELECT doc_id, unnest(CASE
+    WHEN len(ws) >= {N_GRAM} THEN list_transform(range(1, len(ws) - {N_GRAM} + 2), lambda i: array_to_string(ws[i : i + {N_GRAM} - 1], chr(1)))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, chr(1)) || chr(2)] ELSE [] END) AS gram FROM w)
+), s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM g x JOIN g y USING (gram) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+p AS (SELECT a, b, m = x.n AND m = y.n AS same FROM o JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE m >= {THRESHOLD} * (x.n + y.n - m) - 1e-9),
+r AS (SELECT DISTINCT a AS doc_id, a AS seen FROM p UNION SELECT r.doc_id, p.b FROM r JOIN p ON p.a = r.seen),
+k AS (SELECT doc_id, min(seen) AS head FROM r GROUP BY 1),
+l AS (SELECT a, count(*) AS n_links, count(*) FILTER (same) AS n_copies FROM p GROUP BY 1)
+SELECT d.doc_id, coalesce(head, d.doc_id) AS class_id, coalesce(n_copies, 0) AS n_copies, coalesce(n_links, 0) AS n_links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN k USING (doc_id) LEFT JOIN l ON l.a = d.doc_id
+"""
