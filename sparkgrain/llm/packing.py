@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkgrain.llm.common import c
+from sparkgrain.llm.common import c, written
 
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
@@ -75,14 +75,16 @@ def pack(docs: DataFrame, key: str = "doc_id", n_tokens: Column | None = None, t
     longest text bounds, not the number of texts), where dynamic programming picks the boundaries. A batch of
     bucket b holds max(1, token_budget // bucket_len) documents, each padded to bucket_len; batches number
     from 0 in each bucket and only a bucket's last may be short. A text beyond the budget is its own batch.
-    Documents are ordered by a hash of key and length, so batches mix sources; a bucket's order runs in hash
-    lanes whose sizes are summed first, so no task sorts a whole bucket.
+    Documents are ordered by a digest of key, length and occurrence, so batches mix sources, and copies of one row
+    lie apart; a bucket's order runs in lanes of that digest whose sizes are summed first, so no task sorts a whole
+    bucket. Texts are read once: their keys and lengths are written, equal ones counted together.
 
     Nulls: a null or empty text has no token and is in no batch. A null key is carried as null. Repeated rows
     each take a slot. Other columns are not carried, so none clash. No rows give no rows.
     """
     rows = docs.select(c(key).alias("doc_id"), (word_count(c(text)) if n_tokens is None else n_tokens).cast("bigint").alias("n_tokens")).where("n_tokens > 0")
-    hist = rows.groupBy("n_tokens").agg(F.count("*").alias("k")).toPandas()
+    rows = written(rows.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("held")), "pack-lengths")
+    hist = rows.groupBy("n_tokens").agg(F.sum("held").alias("k")).toPandas()
     bounds = optimal_boundaries(hist["n_tokens"].to_numpy(), hist["k"].to_numpy(), buckets)
     if not bounds:
         bounds, most = [1], 0
@@ -91,12 +93,12 @@ def pack(docs: DataFrame, key: str = "doc_id", n_tokens: Column | None = None, t
     lanes = max(1, -(-most // LANE_ROWS))
     ends = F.array(*[F.lit(int(b)).cast("bigint") for b in bounds])
     bucket = F.size(F.filter(ends, lambda e: e < F.col("n_tokens")))
-    h = F.xxhash64("doc_id", "n_tokens")
-    rows = rows.select("doc_id", "n_tokens", bucket.alias("bucket"), h.alias("h"))
+    rows = rows.select("doc_id", "n_tokens", bucket.alias("bucket"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("held"))).alias("copy"))
+    rows = rows.withColumn("h", F.md5(F.concat_ws("-", *[F.col(x).cast("string") for x in ("doc_id", "n_tokens", "copy")])))
     rows = rows.withColumn("bucket_len", F.element_at(ends, F.col("bucket") + 1))
-    span = (F.lit(2.0**64) / lanes)
-    rows = rows.withColumn("lane", F.least(F.floor((F.col("h").cast("double") + F.lit(2.0**63)) / span), F.lit(lanes - 1)).cast("int"))
-    inside = Window.partitionBy("bucket", "lane").orderBy("h", "doc_id", "n_tokens")
+    first = F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint")  # lanes are ranges of the digest's first 32 bits
+    rows = rows.withColumn("lane", F.floor(first * lanes / F.lit(1 << 32)).cast("int"))
+    inside = Window.partitionBy("bucket", "lane").orderBy("h", "doc_id", "n_tokens", "copy")
     if lanes == 1:
         placed = rows.withColumn("place", F.row_number().over(inside).cast("bigint") - 1)
     else:
@@ -108,3 +110,29 @@ def pack(docs: DataFrame, key: str = "doc_id", n_tokens: Column | None = None, t
         "doc_id", "n_tokens", F.col("bucket").cast("int").alias("bucket"), "bucket_len",
         F.floor(F.col("place") / cap).cast("bigint").alias("batch"), (F.col("place") % cap).cast("int").alias("slot"),
     )
+
+
+#: The recurrence layer by layer over all pairs of lengths, then the batches.
+SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '\S+')), 0) AS BIGINT) AS n_tokens FROM documents
+), h AS (SELECT n_tokens AS l, count(*) AS k FROM d WHERE n_tokens > 0 GROUP BY 1),
+p AS (SELECT row_number() OVER (ORDER BY l) AS j, l, sum(k) OVER (ORDER BY l) AS n, sum(k * l) OVER (ORDER BY l) AS s FROM h
+  UNION ALL SELECT 0, 0, 0, 0),
+best AS (
+  SELECT 0 AS b, CAST(0 AS BIGINT) AS j, CAST(0 AS HUGEINT) AS cost, CAST([] AS BIGINT[]) AS cuts
+  UNION ALL
+  SELECT b, j, min(cost), arg_min(cuts, (cost, i)) FROM (
+    SELECT best.b + 1 AS b, y.j AS j, x.j AS i, best.cost + y.l * (y.n - x.n) - (y.s - x.s) AS cost, list_append(best.cuts, y.l) AS cuts
+    FROM best JOIN p x ON x.j = best.j JOIN p y ON y.j > x.j WHERE best.b < least({BUCKETS}, (SELECT count(*) FROM h))
+  ) GROUP BY b, j
+), ends AS (SELECT unnest(cuts) AS l FROM best WHERE b = least({BUCKETS}, (SELECT count(*) FROM h)) AND j = (SELECT max(j) FROM p)),
+bounds AS (SELECT CAST(row_number() OVER (ORDER BY l) - 1 AS INTEGER) AS bucket, l AS bucket_len, coalesce(lag(l) OVER (ORDER BY l), 0) AS above FROM ends),
+o AS (SELECT doc_id, n_tokens, row_number() OVER (PARTITION BY doc_id, n_tokens) AS copy FROM d WHERE n_tokens > 0),
+q AS (
+  SELECT doc_id, n_tokens, bucket, bucket_len, row_number() OVER (PARTITION BY bucket ORDER BY md5(concat_ws('-', doc_id, n_tokens, copy)), doc_id, n_tokens, copy) - 1 AS place,
+    greatest(1, {TOKEN_BUDGET} // bucket_len) AS cap
+  FROM o JOIN bounds ON n_tokens > above AND n_tokens <= bucket_len
+)
+SELECT doc_id, n_tokens, bucket, bucket_len, CAST(place // cap AS BIGINT) AS batch, CAST(place % cap AS INTEGER) AS slot FROM q
+"""
