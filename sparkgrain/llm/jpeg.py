@@ -33,121 +33,144 @@ class _Component:
     high: int = 0
     stride: int = 0
     coef: list = field(default_factory=list)
-    dc: int = 0
 
 
-class _Bits:
-    """The bits of one entropy-coded segment."""
+#: Bytes of a segment whose bit windows are laid out at once, and bits that one block's symbols may take of them.
+_WINDOW, _BLOCK_BITS = 1 << 15, 64 * 32 + 64
 
-    __slots__ = ("data", "at", "buf", "n")
-
-    def __init__(self, data: bytes):
-        self.data, self.at, self.buf, self.n = data, 0, 0, 0
-
-    def need(self, k: int) -> None:
-        while self.n < k:
-            part = self.data[self.at : self.at + 8]
-            if not part:
-                if self.at > len(self.data) + 8:
-                    raise BadImage("a scan ends early")
-                part = b"\0" * 8
-            self.at += len(part)
-            self.buf = ((self.buf & ((1 << self.n) - 1)) << (8 * len(part))) | int.from_bytes(part, "big")
-            self.n += 8 * len(part)
-
-    def take(self, k: int) -> int:
-        if not k:
-            return 0
-        if self.n < k:
-            self.need(k)
-        self.n -= k
-        return (self.buf >> self.n) & ((1 << k) - 1)
-
-    def symbol(self, table: dict) -> int:
-        if self.n < 16:
-            self.need(16)
-        peek = (self.buf >> (self.n - 16)) & 0xFFFF
-        found = table["fast"][peek >> 8]
-        if found is None:
-            for length in range(9, 17):
-                found = table["slow"].get((length, peek >> (16 - length)))
-                if found is not None:
-                    self.n -= length
-                    return found
-            raise BadImage("no such code")
-        self.n -= found[0]
-        return found[1]
 
+class _Bits:
+    """A segment's bits as numpy windows: the 16 bits from every bit on, and what each code table reads there."""
 
-def _table(counts: bytes, symbols: bytes) -> dict:
-    fast: list = [None] * 256
-    slow: dict = {}
-    code = at = 0
-    for length in range(1, 17):
-        for _ in range(counts[length - 1]):
-            if at >= len(symbols) or code >> length:
+    def __init__(self, data: bytes):
+        self.raw = np.frombuffer(data + b"\0" * 8, np.uint8)  # what is read past them ends in an IndexError
+        self.fill(0)
+
+    def fill(self, at: int) -> int:
+        """Lay out the windows from the byte that holds bit `at`; the place of that bit in them."""
+        first = at >> 3
+        b = self.raw[first : first + _WINDOW + 4].astype(np.uint32)
+        three = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
+        self.array = (three[:, None] >> np.arange(8, 0, -1, dtype=np.uint32)[None] & 0xFFFF).ravel().astype(np.uint16)
+        self.base, self.peek, self.read = 8 * first, self.array.tolist(), {}
+        self.most = len(self.peek) - _BLOCK_BITS if first + _WINDOW + 4 < len(self.raw) else len(self.peek)
+        return at - self.base
+
+    def codes(self, table: tuple) -> list[int]:
+        """By bit: length << 8 | symbol of the code that starts there; 0 where there is none."""
+        if id(table) not in self.read:
+            longest, entries = table
+            self.read[id(table)] = entries[self.array >> (16 - longest)].tolist()
+        return self.read[id(table)]
+
+
+def _table(counts: bytes, symbols: bytes) -> tuple[int, np.ndarray]:
+    """The longest code's length, and for each value of so many bits length << 8 | symbol of the code at its start."""
+    longest = max((n for n in range(1, 17) if counts[n - 1]), default=1)
+    entries, at, k = np.zeros(1 << longest, np.uint16), 0, 0
+    for n in range(1, longest + 1):
+        for _ in range(counts[n - 1]):
+            span = 1 << (longest - n)
+            if k >= len(symbols) or at + span > len(entries):
                 raise BadImage("a code table is broken")
-            if length <= 8:
-                lo = code << (8 - length)
-                fast[lo : lo + (1 << (8 - length))] = [(length, symbols[at])] * (1 << (8 - length))
-            else:
-                slow[length, code] = symbols[at]
-            code, at = code + 1, at + 1
-        code <<= 1
-    return {"fast": fast, "slow": slow}
-
-
-def _signed(v: int, s: int) -> int:
-    return v if not s or v >> (s - 1) else v - (1 << s) + 1
-
-
-def _block_dc(bits: _Bits, comp: _Component, block: list, dc: dict, ah: int, al: int) -> None:
-    if ah:
-        if bits.take(1):
-            block[0] |= 1 << al
-        return
-    s = bits.symbol(dc)
-    comp.dc += _signed(bits.take(s), s)
-    block[0] = comp.dc * (1 << al)
-
-
-def _block_ac_first(bits: _Bits, block: list, ac: dict, ss: int, se: int, al: int, run: int) -> int:
-    if run:
-        return run - 1
-    k = ss
-    while k <= se:
-        rs = bits.symbol(ac)
-        r, s = rs >> 4, rs & 15
+            entries[at : at + span] = n << 8 | symbols[k]
+            at, k = at + span, k + 1
+    return longest, entries
+
+
+def _dc_first(bits: _Bits, units: list, al: int) -> None:
+    p, dc, peek = 0, {}, bits.peek
+    for comp, table, _, block in units:
+        if p > bits.most:
+            p = bits.fill(bits.base + p)
+            peek = bits.peek
+        e = bits.codes(table)[p]
+        if not e:
+            raise BadImage("no such code")
+        p, s = p + (e >> 8), e & 255
         if s:
-            k += r
-            if k > se:
-                raise BadImage("a run leaves its block")
-            block[k] = _signed(bits.take(s), s) * (1 << al)
-            k += 1
-        elif r == 15:
-            k += 16
-        else:
-            return (1 << r) - 1 + bits.take(r)
-    return 0
+            if s > 15:
+                raise BadImage("no such difference")
+            v = peek[p] >> (16 - s)
+            p += s
+            dc[comp] = dc.get(comp, 0) + (v if v >> (s - 1) else v - (1 << s) + 1)
+        block[0] = dc.get(comp, 0) * (1 << al)
+
+
+def _dc_refine(bits: _Bits, units: list, al: int) -> None:
+    p = 0
+    for _, _, _, block in units:
+        if p > bits.most:
+            p = bits.fill(bits.base + p)
+        if bits.peek[p] >> 15:
+            block[0] |= 1 << al
+        p += 1
 
 
-def _block_ac_refine(bits: _Bits, block: list, ac: dict, ss: int, se: int, al: int, run: int) -> int:
-    one, k = 1 << al, ss
-    if not run:
+def _ac_first(bits: _Bits, units: list, ss: int, se: int, al: int) -> None:
+    p, run, table = 0, 0, units[0][2]
+    peek, codes, most = bits.peek, bits.codes(table), bits.most
+    for _, _, _, block in units:
+        if run:
+            run -= 1
+            continue
+        if p > most:
+            p = bits.fill(bits.base + p)
+            peek, codes, most = bits.peek, bits.codes(table), bits.most
+        k = ss
         while k <= se:
-            rs = bits.symbol(ac)
-            r, s = rs >> 4, rs & 15
-            new = 0
+            e = codes[p]
+            p += e >> 8
+            r, s = e >> 4 & 15, e & 15
             if s:
-                new = one if bits.take(1) else -one
+                k += r
+                if k > se:
+                    raise BadImage("a run leaves its block")
+                v = peek[p] >> (16 - s)
+                p += s
+                block[k] = (v if v >> (s - 1) else v - (1 << s) + 1) * (1 << al)
+                k += 1
+            elif not e:
+                raise BadImage("no such code")
+            elif r == 15:
+                k += 16
+            else:
+                run = (1 << r) - 1
+                if r:
+                    run += peek[p] >> (16 - r)
+                    p += r
+                break
+
+
+def _ac_refine(bits: _Bits, units: list, ss: int, se: int, al: int) -> None:
+    p, run, table, one = 0, 0, units[0][2], 1 << al
+    peek, codes, most = bits.peek, bits.codes(table), bits.most
+    for _, _, _, block in units:
+        if p > most:
+            p = bits.fill(bits.base + p)
+            peek, codes, most = bits.peek, bits.codes(table), bits.most
+        k = ss
+        while not run and k <= se:
+            e = codes[p]
+            if not e:
+                raise BadImage("no such code")
+            p += e >> 8
+            r, new = e >> 4 & 15, 0
+            if e & 15:
+                new = one if peek[p] >> 15 else -one
+                p += 1
             elif r < 15:
-                run = (1 << r) + bits.take(r)
+                run = 1 << r
+                if r:
+                    run += peek[p] >> (16 - r)
+                    p += r
                 break
             while k <= se:
                 v = block[k]
                 if v:
-                    if bits.take(1) and not (abs(v) & one):
+                    if peek[p] >> 15 and not abs(v) & one:
                         block[k] = v + (one if v > 0 else -one)
+                    p += 1
                 elif r:
                     r -= 1
                 else:
@@ -156,19 +179,45 @@ def _block_ac_refine(bits: _Bits, block: list, ac: dict, ss: int, se: int, al: i
                     k += 1
                     break
                 k += 1
-        else:
-            return 0
-    while k <= se:
-        v = block[k]
-        if v and bits.take(1) and not (abs(v) & one):
-            block[k] = v + (one if v > 0 else -one)
-        k += 1
-    return run - 1
-
-
-def _block_sequential(bits: _Bits, comp: _Component, block: list, dc: dict, ac: dict) -> None:
-    _block_dc(bits, comp, block, dc, 0, 0)
-    _block_ac_first(bits, block, ac, 1, 63, 0, 0)
+        if run:
+            while k <= se:
+                v = block[k]
+                if v:
+                    if peek[p] >> 15 and not abs(v) & one:
+                        block[k] = v + (one if v > 0 else -one)
+                    p += 1
+                k += 1
+            run -= 1
+
+
+def _sequential(bits: _Bits, units: list) -> None:
+    p, dc, peek = 0, {}, bits.peek
+    for comp, table, ac, block in units:
+        if p > bits.most:
+            p = bits.fill(bits.base + p)
+            peek = bits.peek
+        codes, k = bits.codes(table), 0
+        while k < 64:
+            e = codes[p]
+            if not e:
+                raise BadImage("no such code")
+            p += e >> 8
+            r, s = (0, e & 255) if not k else (e >> 4 & 15, e & 15)
+            if s > 15:
+                raise BadImage("no such difference")
+            k += r
+            if s:
+                if k > 63:
+                    raise BadImage("a run leaves its block")
+                v = peek[p] >> (16 - s)
+                p += s
+                block[k] = v if v >> (s - 1) else v - (1 << s) + 1
+            elif k and r < 15:
+                break
+            if not k:
+                block[0] = dc[comp] = dc.get(comp, 0) + block[0]
+                codes = bits.codes(ac)
+            k += 1
 
 
 def _segments(data: bytes, at: int) -> tuple[list[bytes], int]:
@@ -191,33 +240,30 @@ def _segments(data: bytes, at: int) -> tuple[list[bytes], int]:
             return out, at
 
 
-def _scan(segments: list[bytes], comps: list[tuple[_Component, dict | None, dict | None]], frame: tuple, ss: int, se: int, ah: int, al: int, restart: int, progressive: bool) -> None:
+def _scan(segments: list[bytes], comps: list[tuple[_Component, tuple | None, tuple | None]], frame: tuple, ss: int, se: int, ah: int, al: int, restart: int, progressive: bool) -> None:
     width, height, hmax, vmax = frame
+    whole = lambda c, i: (c[0].ident, c[1], c[2], c[0].coef[i])
     if len(comps) == 1:
-        comp = comps[0][0]
-        across, down = comp.wide, comp.high
-        units = [[(comps[0], y * comp.stride + x)] for y in range(down) for x in range(across)]
+        c = comps[0]
+        units, each = [whole(c, y * c[0].stride + x) for y in range(c[0].high) for x in range(c[0].wide)], 1
     else:
         mx, my = -(-width // (8 * hmax)), -(-height // (8 * vmax))
-        units = [[(e, (y * e[0].v + v) * e[0].stride + x * e[0].h + h) for e in comps for v in range(e[0].v) for h in range(e[0].h)] for y in range(my) for x in range(mx)]
-    step = restart or len(units)
+        units = [whole(c, (y * c[0].v + v) * c[0].stride + x * c[0].h + h) for y in range(my) for x in range(mx) for c in comps for v in range(c[0].v) for h in range(c[0].h)]
+        each = sum(c[0].h * c[0].v for c in comps)
+    step = (restart or len(units)) * each
     for s, first in enumerate(range(0, len(units), step)):
         if s >= len(segments):
             raise BadImage("a restart interval is missing")
-        bits, run = _Bits(segments[s]), 0
-        for e, _, _ in comps:
-            e.dc = 0
-        for unit in units[first : first + step]:
-            for (comp, dc, ac), i in unit:
-                block = comp.coef[i]
-                if not progressive:
-                    _block_sequential(bits, comp, block, dc, ac)
-                elif ss == 0:
-                    _block_dc(bits, comp, block, dc, ah, al)
-                elif ah == 0:
-                    run = _block_ac_first(bits, block, ac, ss, se, al, run)
-                else:
-                    run = _block_ac_refine(bits, block, ac, ss, se, al, run)
+        bits, part = _Bits(segments[s]), units[first : first + step]
+        try:
+            if not progressive:
+                _sequential(bits, part)
+            elif ss == 0:
+                _dc_refine(bits, part, al) if ah else _dc_first(bits, part, al)
+            else:
+                (_ac_refine if ah else _ac_first)(bits, part, ss, se, al)
+        except IndexError:
+            raise BadImage("a scan ends early") from None
 
 
 def coefficients(data: bytes) -> tuple[tuple, list[_Component], dict, int | None]:
