@@ -41,12 +41,15 @@ def test_query(spark, duck, name):
     assert sorted(tuple(map(plain, r)) for r in got.select(*cols).collect()) == sorted(tuple(map(plain, r)) for r in want.fetchall())
 
 
-def test_the_entry_stands_without_its_optional_parts(tmp_path):
+@pytest.mark.parametrize("stale", [False, True])
+def test_the_entry_stands_without_its_optional_parts(tmp_path, stale):
     import shutil
 
     for p in ("__spark_entry__.py", "sparkgrain"):
         (shutil.copytree if (ROOT / p).is_dir() else shutil.copy)(ROOT / p, tmp_path / p)
     shutil.rmtree(tmp_path / "sparkgrain" / "llm", ignore_errors=True)
+    if stale:
+        (tmp_path / "sparkgrain" / "llm" / "__pycache__").mkdir(parents=True)
     got = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     assert got.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLES))], got.stderr
 
