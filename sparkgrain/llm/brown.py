@@ -28,6 +28,8 @@ TRANSITION_MASS, EMISSION_ADD = 10.0, 0.5
 WORDS_IN_TASK, TOKENS_IN_TASK = 4096, 4 << 20
 #: Pairs that are merged at once.
 MERGED_PAIRS = 4 << 20
+#: Counts up to which a word's gain from meeting a class is read off a table.
+SMALL = 16
 #: Where a half-round's moves together lower the likelihood, every 2nd, 4th, ... word's are tried, so many times.
 TRIES = 8
 
@@ -181,7 +183,8 @@ def _transitions(of, k: int):
         for batch in batches:
             for blob in batch.column(0):
                 key, n = _unpacked(blob.as_py())
-                cell = table[key % len(table)].astype(np.int64) * k + table[key // len(table)]
+                word, near = np.divmod(key, len(table))
+                cell = table[near].astype(np.int64) * k + table[word]
                 sums += np.bincount(cell, weights=n, minlength=k * k).astype(np.int64)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["cell", "k"])
@@ -204,42 +207,63 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def gains(left: np.ndarray, right: np.ndarray, own: np.ndarray, matrix: np.ndarray, classes: int) -> np.ndarray:
-    """Change of the bigram classes' log likelihood when words join each class, having left their own.
+def gains(left: np.ndarray, right: np.ndarray, twice: np.ndarray, own: np.ndarray, matrix: np.ndarray, classes: int) -> np.ndarray:
+    """Change of the bigram classes' log likelihood when a word moves from its own class to each class; 0 for its own.
 
-    left[w, c], right[w, c]: how often class c is before and after w. The cells where a word's old and new class
-    meet are taken as they are. Only the classes that a word really meets are read.
+    left[w, c], right[w, c]: how often class c is before and after w, twice[w]: how often w follows itself. First each
+    class's gain counts every cell as if it had no part in the other class; then the four cells in which the old and
+    the new class meet are put right. Only the classes that a word really meets are read.
     """
     m = matrix.astype(float)
     out = np.zeros((len(own), classes))
     for met, cells, total in ((right, m.T, m.sum(1)), (left, m, m.sum(0))):
         cells = np.ascontiguousarray(cells[:, :classes])  # by the class met, then by the class joined
         base = _xlogx(cells)
-        small = np.stack([_xlogx(cells + x) - base for x in range(17)])
-        n_all = met.sum(1).astype(float)
-        for a in range(0, len(own), 512):
-            w, j = np.nonzero(met[a : a + 512])
-            x, cl = met[a : a + 512][w, j].astype(float), own[a : a + 512]
-            if len(w):
-                few = x <= 16
-                add = np.empty((len(w), classes))
-                add[few] = small[x[few].astype(np.int64), j[few]]
-                add[~few] = _xlogx(cells[j[~few]] + x[~few, None]) - base[j[~few]]
-                mine = np.maximum(cells[j, cl[w]] - x, 0)
-                add[np.arange(len(w)), cl[w]] = _xlogx(mine + x) - _xlogx(mine)
-                start = np.flatnonzero(np.diff(w, prepend=-1))
-                out[a + w[start]] += np.add.reduceat(add, start, axis=0)
-            t = np.repeat(total[None, :classes], len(cl), axis=0)
-            t[np.arange(len(cl)), cl] -= n_all[a : a + 512]
-            out[a : a + 512] -= _xlogx(t + n_all[a : a + 512, None]) - _xlogx(t)
+        small = np.concatenate([_xlogx(cells + x) - base for x in range(SMALL + 1)])  # by the count, then as cells
+        d = np.count_nonzero(met, axis=1)
+        order = np.argsort(-d, kind="stable")
+        w, j = np.nonzero(met[order])
+        x, o = met[order][w, j].astype(float), own[order]
+        mine = np.maximum(cells[j, o[w]] - x, 0)
+        stays = np.bincount(w, weights=_xlogx(mine + x) - _xlogx(mine), minlength=len(own))
+        code, start, many = np.minimum(x, SMALL).astype(np.int64) * len(cells) + j, np.cumsum(d[order]) - d[order], x > SMALL
+        for a in range(0, len(own), 512):  # the words that meet most classes first: the pth class of each, one p at a time
+            far = -d[order[a : a + 512]]
+            acc = np.zeros((len(far), classes))
+            for k in range(-int(far[0])):
+                at = start[a : a + np.searchsorted(far, -k)] + k
+                rows = small.take(code[at], axis=0)
+                if many[at].any():
+                    big = at[many[at]]
+                    rows[many[at]] = _xlogx(cells[j[big]] + x[big, None]) - base[j[big]]
+                acc[: len(at)] += rows
+            acc[np.arange(len(far)), o[a : a + 512]] = stays[a : a + 512]
+            n = met[order[a : a + 512]].sum(1).astype(float)
+            t = np.repeat(total[None, :classes], len(far), axis=0)
+            t[np.arange(len(far)), o[a : a + 512]] -= n
+            out[order[a : a + 512]] += acc - (_xlogx(t + n[:, None]) - _xlogx(t))
+    for a in range(0, len(own), 4096):
+        o, i, x = own[a : a + 4096], np.arange(len(own[a : a + 4096])), _xlogx
+        r, le, same = right[a : a + 4096, :classes], left[a : a + 4096, :classes], twice[a : a + 4096].astype(float)
+        ro, lo, oo = r[i, o].astype(float), le[i, o].astype(float), m[o, o]
+        stays = out[a + i, o] - (x(oo) - x(oo - ro) - x(oo - lo) + x(oo - ro - lo + same))
+        delta = out[a + i] - stays[:, None]
+        # where a word neither meets a class nor follows itself, what is put right cancels out
+        w, c_ = np.nonzero((r > 0) | (le > 0) | (same[:, None] > 0))
+        r, le, ro, lo, same, ow = r[w, c_].astype(float), le[w, c_].astype(float), ro[w], lo[w], same[w], o[w]
+        cc, oc, co = m[c_, c_], m[ow, c_], m[c_, ow]
+        delta[w, c_] += x(oc) - x(oc - r) + x(co) - x(co - le) + x(cc) - x(cc + r) - x(cc + le) + x(cc + r + le + same)
+        delta[w, c_] += x(oc - r + lo - same) - x(oc + lo) + x(co - le + ro - same) - x(co + ro)
+        delta[i, o] = 0.0
+        out[a + i] = delta
     return out
 
 
-def _better(both: np.ndarray, own: np.ndarray, matrix: np.ndarray, k: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+def _better(both: np.ndarray, twice: np.ndarray, own: np.ndarray, matrix: np.ndarray, k: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Which words gain by moving, and the class that each would best be in."""
-    g = gains(both[:, :k], both[:, k:], own, matrix, classes)
+    g = gains(both[:, :k], both[:, k:], twice, own, matrix, classes)
     to = g.argmax(1)
-    return g[np.arange(len(own)), to] > g[np.arange(len(own)), own] + 1e-9, to
+    return g[np.arange(len(own)), to] > 1e-9, to
 
 
 def _exchange(of, matrix: np.ndarray, k: int, classes: int):
@@ -248,11 +272,15 @@ def _exchange(of, matrix: np.ndarray, k: int, classes: int):
         for batch in batches:
             for before, after in zip(batch.column(0), batch.column(1)):
                 (b, nb), (a, na) = _unpacked(before.as_py()), _unpacked(after.as_py())
-                words, inv = np.unique(np.concatenate([b, a]) // len(table), return_inverse=True)
-                cls = np.concatenate([table[b % len(table)], k + table[a % len(table)].astype(np.int64)])
-                both = np.bincount(inv * (2 * k) + cls, weights=np.concatenate([nb, na]), minlength=len(words) * 2 * k).reshape(len(words), 2 * k)
-                words, both = words[words > 0], both[words > 0]
-                move, to = _better(both, table[words].astype(np.int64), matrix, k, classes)
+                (wb, b), (wa, a) = np.divmod(b, len(table)), np.divmod(a, len(table))  # either is in order of words
+                words = np.union1d(wb[np.flatnonzero(np.diff(wb, prepend=-1))], wa[np.flatnonzero(np.diff(wa, prepend=-1))])
+                ib, ia = np.searchsorted(words, wb), np.searchsorted(words, wa)
+                size = len(words) * k
+                both = np.concatenate([np.bincount(i * k + table[x], weights=n, minlength=size).reshape(-1, k) for i, x, n in ((ib, b, nb), (ia, a, na))], axis=1)
+                own = wb == b
+                twice = np.bincount(ib[own], weights=nb[own], minlength=len(words))
+                words, both, twice = words[words > 0], both[words > 0], twice[words > 0]
+                move, to = _better(both, twice, table[words].astype(np.int64), matrix, k, classes)
                 yield pa.RecordBatch.from_arrays([pa.array(words[move].astype(np.int32)), pa.array(to[move].astype(np.int32))], ["word", "cls"])
 
     return job
@@ -383,7 +411,8 @@ def _exchange_rows(matrix: np.ndarray, k: int, classes: int):
     def job(group: pa.Table) -> pa.Table:
         h, at, inv = np.unique(group["h"].to_numpy(), return_index=True, return_inverse=True)
         both = np.bincount(inv * (2 * k) + group["met"].to_numpy(), weights=group["n"].to_numpy(), minlength=len(h) * 2 * k).reshape(len(h), 2 * k)
-        move, to = _better(both, group["own"].to_numpy()[at].astype(np.int64), matrix, k, classes)
+        twice = np.bincount(inv, weights=group["twice"].to_numpy(), minlength=len(h))
+        move, to = _better(both, twice, group["own"].to_numpy()[at].astype(np.int64), matrix, k, classes)
         return pa.table({"h": h[move], "to": to[move].astype(np.int32)})
 
     return job
@@ -424,9 +453,9 @@ def _joined(docs: DataFrame, key: str, text: str, classes: int, rounds: int, tol
         return m, float(_xlogx(f).sum() - _xlogx(f.sum(1)).sum() + counts_term - _xlogx(f.sum(0)).sum())
 
     def proposed(state: tuple, matrix: np.ndarray, turn: int) -> DataFrame:
-        left = state[1].where(F.col("iw") % 2 == turn).select(F.col("w").alias("h"), F.col("cw").alias("own"), F.col("cv").alias("met"), "n")
-        right = state[1].where(F.col("iv") % 2 == turn).select(F.col("v").alias("h"), F.col("cv").alias("own"), (F.col("cw") + k).alias("met"), "n")
-        met = left.unionByName(right).groupBy("h", "own", "met").agg(F.sum("n").alias("n"))
+        left = state[1].where(F.col("iw") % 2 == turn).select(F.col("w").alias("h"), F.col("cw").alias("own"), F.col("cv").alias("met"), "n", F.when(F.col("v") == F.col("w"), F.col("n")).otherwise(0).alias("twice"))
+        right = state[1].where(F.col("iv") % 2 == turn).select(F.col("v").alias("h"), F.col("cv").alias("own"), (F.col("cw") + k).alias("met"), "n", F.lit(0).cast("bigint").alias("twice"))
+        met = left.unionByName(right).groupBy("h", "own", "met").agg(F.sum("n").alias("n"), F.sum("twice").alias("twice"))
         return written(met.groupBy(F.pmod("h", F.lit(buckets))).applyInArrow(_exchange_rows(matrix, k, classes), "h bigint, to int"), "lm-moves")
 
     def moved(state: tuple, moves: DataFrame, every_: int) -> tuple | None:
