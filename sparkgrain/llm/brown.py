@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import takewhile
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +36,9 @@ WORDS_IN_TASK, TOKENS_IN_TASK = 4096, 4 << 20
 MERGED_PAIRS = 4 << 20
 #: Counts up to which a word's gain from meeting a class is read off a table.
 SMALL = 16
+#: Times BROADCAST_ROWS words that a mapped file may hold, as no process copies it and classes take a byte a word; words
+#: in one part of it.
+FILED, FILED_PART = 16, 1 << 16
 #: Where a half-round's moves together lower the likelihood, every 2nd, 4th, ... word's are tried, so many times.
 TRIES = 8
 
@@ -44,6 +53,19 @@ class Vocabulary:
     rare_types: int
 
 
+@dataclass
+class Mapped:
+    """The hashes and ids of a Vocabulary in a file that Spark gives every executor: workers map it and share its pages."""
+
+    name: str
+    words: int
+
+    @property
+    def value(self) -> Vocabulary:
+        raw = np.memmap(SparkFiles.get(self.name), np.uint8, "r")
+        return Vocabulary(raw[: 8 * self.words].view(np.uint64), raw[8 * self.words :].view(np.int32), np.zeros(0, np.int64), 0)
+
+
 @dataclass
 class Classes:
     """of: the class of each id. Class CLASSES holds the rare words, the next one stands for a text's start."""
@@ -84,6 +106,35 @@ def _collected(every: DataFrame, total: dict, least: int) -> Vocabulary:
     return Vocabulary(h[order], rank[order].astype(np.int32), counts, max(1, total["types"] - len(h)))
 
 
+def _part(group: pa.Table) -> pa.Table:
+    h, ids = group["h"].to_numpy().view(np.uint64), group["id"].to_numpy().astype(np.int32)
+    order = np.argsort(h)
+    return pa.table({"part": group["part"][:1], "blob": pa.array([h[order].tobytes() + ids[order].tobytes()], pa.binary())})
+
+
+def _filed(every: DataFrame, total: dict, least: int, classes: int) -> tuple[Mapped, Vocabulary]:
+    """_collected() for words that are too many to broadcast: ids come from a sort by Spark, counts from how many words
+    have each; the driver writes the file part by part. It lies there until Spark ends, as executors come late."""
+    words, n = _ranked(every, least, classes), total["clustered"]
+    part = F.shiftrightunsigned("h", 63 - max(0, (n // FILED_PART).bit_length())).alias("part")  # in the order of unsigned hashes
+    parts = written(words.select("h", "id", part).groupBy("part").applyInArrow(_part, "part bigint, blob binary"), "lm-parts", "none")
+    name, folder, at = f"words-{uuid.uuid4().hex}", tempfile.mkdtemp(prefix="sparkgrain-"), 0
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    raw = np.memmap(f"{folder}/{name}", np.uint8, "w+", shape=12 * n)
+    for row in parts.orderBy("part").select("blob").toLocalIterator():
+        m = len(row.blob) // 12
+        raw[8 * at : 8 * (at + m)] = np.frombuffer(row.blob, np.uint8, 8 * m)
+        raw[8 * n + 4 * at : 8 * n + 4 * (at + m)] = np.frombuffer(row.blob, np.uint8, 4 * m, 8 * m)
+        at += m
+    raw.flush()
+    every.sparkSession.sparkContext.addFile(f"{folder}/{name}")
+    ks = words.groupBy("k").agg(F.count("*").alias("n")).orderBy(F.col("k").desc()).toArrow()
+    counts = np.repeat(np.concatenate([[0], ks["k"].to_numpy()]), np.concatenate([[1], ks["n"].to_numpy()]))
+    counts[0] = total["n"] - counts.sum()
+    forget(words, parts, every)
+    return Mapped(name, n), Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int32), counts, max(1, total["types"] - n))
+
+
 def vocabulary(docs: DataFrame, text: str, min_share: float = MIN_SHARE) -> Vocabulary:
     """Counts of all words of all documents; those frequent enough go to the driver."""
     return _collected(*_words(docs, text, min_share))
@@ -192,6 +243,31 @@ def _transitions(of, k: int):
     return job
 
 
+def _changes(held, k: int, levels: range):
+    """What moves change in the cells: all of them at level 0, those of every 2nd, 4th, ... word at level 1, 2, ..."""
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, to = held.value
+        change, sums = table != to, np.zeros((len(levels), k * k), np.int64)
+        for batch in batches:
+            for blob in batch.column(0):
+                key, n = _unpacked(blob.as_py())
+                word, near = np.divmod(key, len(table))
+                goes, comes = change[word], change[near]
+                for i, level in enumerate(levels):
+                    goes &= (word >> 1) & ((1 << level) - 1) == 0
+                    comes &= (near >> 1) & ((1 << level) - 1) == 0
+                    some = np.flatnonzero(goes | comes)  # a level's moves are among those of the levels before
+                    word, near, n, goes, comes = word[some], near[some], n[some], goes[some], comes[some]
+                    was = table[near].astype(np.int64) * k + table[word]
+                    now = np.where(comes, to[near], table[near]).astype(np.int64) * k + np.where(goes, to[word], table[word])
+                    sums[i] += (np.bincount(now, weights=n, minlength=k * k) - np.bincount(was, weights=n, minlength=k * k)).astype(np.int64)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums.ravel()[at])], ["cell", "k"])
+
+    return job
+
+
 def _packed(key: np.ndarray, n: np.ndarray) -> bytes:
     raw = np.concatenate([np.diff(key, prepend=0), n]).astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
     return len(key).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
@@ -286,6 +362,12 @@ def _exchange(of, matrix: np.ndarray, k: int, classes: int):
     return job
 
 
+def _counts_term(counts: np.ndarray) -> float:
+    """What the words' counts give to the likelihood; equal counts of ids that follow each other are taken at once."""
+    edge = np.flatnonzero(np.diff(counts, prepend=-1))
+    return float((_xlogx(counts[edge].astype(float)) * np.diff(edge, append=len(counts))).sum())
+
+
 def likelihood(matrix: np.ndarray, counts: np.ndarray, of: np.ndarray) -> float:
     """Log likelihood of the corpus under the classes, without smoothing (rare words as one)."""
     m = matrix.astype(float)
@@ -299,15 +381,13 @@ def _settled(state: Any, measured: Callable, proposed: Callable, moved: Callable
     Words are judged in parallel against the same counts; where their moves together don't raise the likelihood, part
     of them is made, so that it never falls.
     """
-    matrix, value = measured(state)
+    _, matrix, value = next(measured(iter([state]), None, None))
     for _ in range(0, rounds, 2):
         began = value
         for turn in (1, 0):
             moves = proposed(state, matrix, turn)
-            for thin in range(TRIES):
-                if (to := moved(state, moves, 1 << thin)) is None:
-                    break
-                m, v = measured(to)
+            tries = (moved(state, moves, 1 << thin) for thin in range(TRIES))
+            for to, m, v in measured(takewhile(lambda x: x is not None, tries), state, matrix):
                 if v > value:
                     state, matrix, value = to, m, v
                     break
@@ -324,19 +404,42 @@ def cluster(encoded: DataFrame, vocab: Vocabulary, classes: int, rounds: int = R
     All bigrams are counted once and written by word bucket, both ways; the rounds read these.
     """
     sc, k, size = encoded.sparkSession.sparkContext, classes + 2, len(vocab.counts)
-    start = np.concatenate([[classes], np.arange(size - 1) % classes, [k - 1]]).astype(np.uint16)
-    load = np.cumsum(np.concatenate([[0.0], vocab.counts[1:] / TOKENS_IN_TASK + 1 / WORDS_IN_TASK])).astype(np.int32)
-    told = sc.broadcast((load * 2 + np.arange(size) % 2).astype(np.int32))
+    start = np.concatenate([[classes], np.arange(size - 1) % classes, [k - 1]]).astype(np.min_scalar_type(k - 1))
+    load = vocab.counts / TOKENS_IN_TASK
+    load += 1 / WORDS_IN_TASK
+    load[0] = 0.0
+    load = np.cumsum(load, out=load).astype(np.int32) * 2
+    load[1::2] += 1
+    told, counts_term = sc.broadcast(load), _counts_term(vocab.counts)
+    del load
     pairs = written(arrow_map(encoded.select("ids"), _pairs(told), "bucket int, side int, blob binary").groupBy("bucket").applyInArrow(_merged, "bucket int, turn int, before binary, after binary"), "lm-pairs", "none")
 
-    def measured(of: np.ndarray) -> tuple[np.ndarray, float]:
-        held = sc.broadcast(of)
-        rows = arrow_map(pairs.select("before"), _transitions(held, k), "cell int, k bigint").groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
+    def cells(held, job: Callable, tables: int) -> np.ndarray:
+        rows = arrow_map(pairs.select("before"), job, "cell int, k bigint").groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
         held.unpersist()
-        m = np.zeros(k * k, np.int64)
+        m = np.zeros(tables * k * k, np.int64)
         m[rows["cell"].to_numpy()] = rows["k"].to_numpy()
-        m = m.reshape(k, k)
-        return m, likelihood(m, vocab.counts, of[:size])
+        return m.reshape(tables, k, k)
+
+    def valued(m: np.ndarray) -> float:
+        f = m.astype(float)
+        return float(_xlogx(f).sum() - _xlogx(f.sum(1)).sum() + counts_term - _xlogx(f.sum(0)).sum())
+
+    def measured(states: Iterator[np.ndarray], base: np.ndarray | None, matrix: np.ndarray | None) -> Iterator[tuple]:
+        """All moves alone, as they mostly raise the likelihood; else all parts of them in one pass."""
+        if (to := next(states, None)) is None:
+            return
+        if base is None:
+            held = sc.broadcast(to)
+            m = cells(held, _transitions(held, k), 1)[0]
+            yield to, m, valued(m)
+            return
+        held = sc.broadcast((base, to))
+        m = matrix + cells(held, _changes(held, k, range(1)), 1)[0]
+        yield to, m, valued(m)
+        if parts := list(states):
+            for part, change in zip(parts, cells(held, _changes(held, k, range(1, 1 + len(parts))), len(parts))):
+                yield part, matrix + change, valued(matrix + change)
 
     def proposed(of: np.ndarray, matrix: np.ndarray, turn: int) -> pa.Table:
         held = sc.broadcast(of)
@@ -353,8 +456,9 @@ def cluster(encoded: DataFrame, vocab: Vocabulary, classes: int, rounds: int = R
         of[word[some]] = cls[some]
         return of
 
-    of, matrix, value = _settled(start, measured, proposed, moved, rounds if len(vocab.hashes) else 0, tolerance)
+    of, matrix, value = _settled(start, measured, proposed, moved, rounds if size > 1 else 0, tolerance)
     forget(pairs)
+    told.unpersist()
     return Classes(of[:size], matrix, value)
 
 
@@ -369,15 +473,28 @@ def _log_transitions(matrix: np.ndarray) -> np.ndarray:
 
 def model(vocab: Vocabulary, found: Classes) -> tuple[np.ndarray, np.ndarray]:
     """Log transition probabilities between classes and log emission probabilities of word ids, both smoothed."""
-    size = np.bincount(found.of, weights=vocab.counts + EMISSION_ADD, minlength=len(found.transitions))
-    emit = np.log((vocab.counts + EMISSION_ADD) / size[found.of])
-    emit[0] = -np.log(vocab.rare_types)
-    return _log_transitions(found.transitions), emit
+    return _log_transitions(found.transitions), _emissions(found.of, *_emission_parts(vocab, found))
+
+
+def _emission_parts(vocab: Vocabulary, found: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Counts and how many ids that follow each other have each, classes' sizes, and rare words: few numbers to broadcast."""
+    edge = np.flatnonzero(np.diff(vocab.counts, prepend=-1))
+    size = found.transitions.sum(0) + EMISSION_ADD * np.bincount(found.of, minlength=len(found.transitions))
+    return vocab.counts[edge], np.diff(edge, append=len(vocab.counts)), size, vocab.rare_types
+
+
+def _emissions(of: np.ndarray, counts: np.ndarray, times: np.ndarray, size: np.ndarray, rare_types: int) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        emit = np.repeat(np.log(counts + EMISSION_ADD), times)
+        emit -= np.log(size)[of]
+    emit[0] = -np.log(rare_types)
+    return emit
 
 
 def _score(held, k: int):
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, trans, emit = held.value
+        of, trans, *parts = held.value
+        emit = _emissions(of, *parts)
         for batch in batches:
             flat, first, n = _ids(batch)
             lp = np.zeros(len(n))
@@ -426,11 +543,13 @@ def _ranked(every: DataFrame, least: int, classes: int) -> DataFrame:
     sizes = sorted(sort.groupBy(part.alias("p")).count().collect())
     before = every.sparkSession.createDataFrame([(p, sum(n for q, n in sizes if q < p)) for p, _ in sizes], "p bigint, past bigint")
     id_ = F.col("past") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return written(sort.join(F.broadcast(before), part == F.col("p")).select("h", "k", id_.alias("id"), ((id_ - 1) % classes).cast("int").alias("cls")), "lm-classes")
+    words = written(sort.join(F.broadcast(before), part == F.col("p")).select("h", "k", id_.alias("id"), ((id_ - 1) % classes).cast("int").alias("cls")), "lm-classes")
+    forget(sort)
+    return words
 
 
 def _joined(docs: DataFrame, key: str, text: str, classes: int, rounds: int, tolerance: float, every: DataFrame, total: dict, least: int) -> DataFrame:
-    """perplexity() where the vocabulary is too large to broadcast: words meet their classes in shuffled joins."""
+    """perplexity() where the vocabulary is too large even for a mapped file: words meet their classes in shuffled joins."""
     spark, k = docs.sparkSession, classes + 2
     kind = docs.select(c(key)).schema[0].dataType.simpleString()
     base = written(arrow_map(docs.select(F.monotonically_increasing_id().alias("row"), c(key).alias("doc_id"), c(text).alias("text")), _said, f"row bigint, doc_id {kind}, v bigint, w bigint"), "lm-said")
@@ -445,12 +564,13 @@ def _joined(docs: DataFrame, key: str, text: str, classes: int, rounds: int, tol
         got = pairs.join(side("v"), "v", "left").join(side("w"), "w", "left")
         return got.select("v", "w", "n", F.when(F.col("v").isNull(), k - 1).otherwise(F.coalesce("cv", F.lit(classes))).alias("cv"), F.coalesce("cw", F.lit(classes)).alias("cw"), "iv", "iw", "kw")
 
-    def measured(state: tuple) -> tuple[np.ndarray, float]:
-        m = np.zeros((k, k), np.int64)
-        for r in state[1].groupBy("cv", "cw").agg(F.sum("n").alias("n")).collect():
-            m[r.cv, r.cw] = r.n
-        f = m.astype(float)
-        return m, float(_xlogx(f).sum() - _xlogx(f.sum(1)).sum() + counts_term - _xlogx(f.sum(0)).sum())
+    def measured(states: Iterator[tuple], *_: Any) -> Iterator[tuple]:
+        for state in states:
+            m = np.zeros((k, k), np.int64)
+            for r in state[1].groupBy("cv", "cw").agg(F.sum("n").alias("n")).collect():
+                m[r.cv, r.cw] = r.n
+            f = m.astype(float)
+            yield state, m, float(_xlogx(f).sum() - _xlogx(f.sum(1)).sum() + counts_term - _xlogx(f.sum(0)).sum())
 
     def proposed(state: tuple, matrix: np.ndarray, turn: int) -> DataFrame:
         left = state[1].where(F.col("iw") % 2 == turn).select(F.col("w").alias("h"), F.col("cw").alias("own"), F.col("cv").alias("met"), "n", F.when(F.col("v") == F.col("w"), F.col("n")).otherwise(0).alias("twice"))
@@ -486,7 +606,8 @@ def perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", classes
     times (and, if asked, min_share of all tokens) are clustered by exchange over all their bigrams until a full round
     gains less than tolerance; all rarer ones share a class with equal emissions. Texts are tokenised twice (to count,
     and to write word ids, some 2 bytes a token); the rounds read counted bigrams. A vocabulary of more than
-    broadcast_rows words is not broadcast: the same model is then made by shuffled joins. log_prob is natural; a text
+    broadcast_rows words is not broadcast: workers map a file of it, and only a class a word is told to all; beyond
+    FILED times as many the same model is made by shuffled joins. log_prob is natural; a text
     starts from a start sign.
 
     Nulls: a null or empty text, or one of signs alone, has 0 tokens, log_prob 0 and a null perplexity; a null key
@@ -495,11 +616,17 @@ def perplexity(docs: DataFrame, key: str = "doc_id", text: str = "text", classes
     """
     sc, k = docs.sparkSession.sparkContext, classes + 2
     every, total, least = _words(docs, text, min_share)
-    if total["clustered"] > broadcast_rows:
+    if total["clustered"] > broadcast_rows * FILED:
         return _joined(docs, key, text, classes, rounds, tolerance, every, total, least)
-    vocab = _collected(every, total, least)
+    if total["clustered"] > broadcast_rows:
+        told, vocab = _filed(every, total, least, classes)
+    else:
+        vocab = _collected(every, total, least)
+        told = sc.broadcast(vocab)
     kind = docs.select(c(key)).schema[0].dataType.simpleString()
-    encoded = written(arrow_map(docs.select(c(key).alias("doc_id"), c(text).alias("text")), _encode(sc.broadcast(vocab)), f"doc_id {kind}, ids binary"), "lm-ids")
+    encoded = written(arrow_map(docs.select(c(key).alias("doc_id"), c(text).alias("text")), _encode(told), f"doc_id {kind}, ids binary"), "lm-ids")
+    if not isinstance(told, Mapped):
+        told.unpersist()
     found = cluster(encoded, vocab, classes, rounds, tolerance)
-    held = sc.broadcast((found.of, *model(vocab, found)))
+    held = sc.broadcast((found.of, _log_transitions(found.transitions), *_emission_parts(vocab, found)))
     return arrow_map(encoded, _score(held, k), f"doc_id {kind}, n_tokens bigint, log_prob double, perplexity double")
