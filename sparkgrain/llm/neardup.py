@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,6 +30,12 @@ ANCHORS = 6
 CUT = np.uint64(16)
 #: A set's key has the upper 40 bits of its fingerprint, and its size in the rest.
 SIZE_BITS = 24
+#: A set of which half the n-grams occur this often may lie in a crowd of near copies; one of so many documents is asked
+#: for such sets, the pivots; a set is of the crowd of its nearest pivot if they are this similar. Results don't depend
+#: on them: pairs of one crowd are compared there, all others meet in token buckets.
+CROWD, CROWD_SAMPLE, CROWD_NEAR = 64, 8, 0.4
+#: Pivots at most, and their n-grams together; sets in a block of a crowd at most, and their n-grams together.
+PIVOTS, PIVOT_GRAMS, CROWD_SETS, CROWD_GRAMS = 4096, 1 << 21, 2048, 1 << 22
 
 _P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -71,6 +78,51 @@ class Hot:
         return max(hi - lo, 0.0) * np.maximum(1 - np.cumsum(pmf), 0.0)
 
 
+class Crowds:
+    """Crowds by their pivots, from 1 on: which a set is of, and which cells its blocks meet in."""
+
+    def __init__(self, pivots: list[np.ndarray], held: list[float]):
+        self.pivots, self.size = pivots, np.array([len(g) for g in pivots], np.int64)
+        every = np.concatenate([np.zeros(0, np.uint64), *pivots])
+        order = np.argsort(every, kind="stable")
+        self.owner = np.repeat(np.arange(len(pivots)), self.size)[order]
+        self.tokens, n = np.unique(every, return_counts=True)
+        self.starts = np.concatenate([[0], np.cumsum(n)])
+        block = np.clip(CROWD_GRAMS // np.maximum(self.size, 1), 1, CROWD_SETS)
+        self.blocks = np.maximum(1, -(-np.array(held, np.int64) // block)) if pivots else np.zeros(0, np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.blocks**2)])
+
+    def of(self, grams: np.ndarray, count: np.ndarray) -> int:
+        """The crowd of a set, 0 if it is of none. count: the known counts of its n-grams."""
+        if not len(self.tokens) or np.count_nonzero(count) < CROWD_NEAR * len(grams):
+            return 0
+        at = np.minimum(np.searchsorted(self.tokens, grams), len(self.tokens) - 1)
+        at = at[self.tokens[at] == grams]
+        both = np.bincount(self.owner[_spread(self.starts[at], self.starts[at + 1] - self.starts[at])], minlength=len(self.size))
+        near = both / (len(grams) + self.size - both)
+        best = int(np.argmax(near))
+        return best + 1 if near[best] >= CROWD_NEAR else 0
+
+    def block(self, crowd: int, sig: np.ndarray) -> np.ndarray:
+        return (mix(sig.view(np.uint64)) % np.uint64(self.blocks[crowd - 1])).astype(np.int64)
+
+    def cells(self, crowd: int, block: int) -> np.ndarray:
+        """Numbers of the cells where a block meets the others and itself."""
+        k = int(self.blocks[crowd - 1])
+        x = np.arange(k)
+        return self.first[crowd - 1] + np.minimum(x, block) * k + np.maximum(x, block)
+
+    def meet(self, cell: int) -> tuple[int, int, int]:
+        """A cell's crowd and the two blocks that meet there."""
+        crowd = int(np.searchsorted(self.first, cell, side="right"))
+        return crowd, *divmod(int(cell - self.first[crowd - 1]), int(self.blocks[crowd - 1]))
+
+
+def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The positions lo, lo + 1, ... of each range, n of them."""
+    return np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def _distinct(x: np.ndarray) -> np.ndarray:
     """The values of an array in order, each once: for few values a sort is quicker than a table."""
     s = np.sort(x)
@@ -203,6 +255,51 @@ def _known(grams: np.ndarray, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
     return np.where(hot.hashes[at] == grams, hot.counts[at], 0), at
 
 
+def _pivots(n: int, hot):
+    """Rows of sets that lie in crowds: of those with one label, the least changed. Most copies of a text share it."""
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arr = strings(batch.column(0))
+            for a, b in slices(arr):
+                best: dict[int, tuple[float, np.ndarray]] = {}
+                for g in gram_sets(arr.slice(a, b - a), n):
+                    count, _ = _known(g, hot.value)
+                    if 2 * np.count_nonzero(count >= CROWD) <= len(g):
+                        continue
+                    label, score = int(g[2 * count >= np.median(count)][0].astype(np.int64)), float(count.mean())
+                    if label not in best or score > best[label][0]:
+                        best[label] = score, g
+                sets = [g for _, g in best.values()]
+                columns = [pa.array(list(best), pa.int64()), pa.array([x for x, _ in best.values()], pa.float64()), pa.array([len(g) for g in sets], pa.int32()), pa.array([g.tobytes() for g in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["label", "score", "size", "grams"])
+
+    return job
+
+
+def _crowds(scan: DataFrame, n: int, hot) -> Crowds:
+    """The crowds of a table, those with the most sets first, as far as their pivots' bounds go."""
+    if not (hot.value.counts >= CROWD).any():
+        return Crowds([], [])
+    some = scan.where(F.pmod(F.xxhash64("doc_id"), F.lit(CROWD_SAMPLE)) == 0).select("text")
+    found = arrow_map(some, _pivots(n, hot), "label bigint, score double, size int, grams binary")
+    best = written(found.groupBy("label").agg(F.max(F.struct("score", "size", "grams")).alias("p")).select("label", "p.*"), "dup-pivots")
+    top = best.orderBy(F.desc("score"), "label").limit(PIVOTS).select("label", "size").toArrow()
+    labels = top["label"].to_numpy()[np.cumsum(top["size"].to_numpy()) <= PIVOT_GRAMS].tolist()
+    got = best.where(F.col("label").isin(labels)).orderBy(F.desc("score"), "label").select("grams").toArrow()
+    forget(best)
+    pivots: list[np.ndarray] = []
+    have: dict[int, list[int]] = {}
+    for blob in got["grams"]:
+        g = np.frombuffer(blob.as_py(), np.uint64)
+        near = Counter(i for x in g.tolist() for i in have.get(x, ()))
+        if all(k < CROWD_NEAR * (len(g) + len(pivots[i]) - k) for i, k in near.items()):
+            for x in g.tolist():
+                have.setdefault(x, []).append(len(pivots))
+            pivots.append(g)
+    return Crowds(pivots, [1.1 * np.quantile(_known(g, hot.value)[0], 0.75) for g in pivots])
+
+
 def _key(sig: int, size: int) -> int:
     """What stands for a set in the buckets: sets that share a key are only told apart when they are verified."""
     most = (1 << SIZE_BITS) - 1
@@ -212,23 +309,30 @@ def _key(sig: int, size: int) -> int:
 _KEY = f"sig & {~((1 << SIZE_BITS) - 1)}L | least(size, {(1 << SIZE_BITS) - 1})"
 
 
-def _postings(n: int, t: float, hot, buckets: int):
-    """Rows (bucket, blob): a slice's prefix tokens for one bucket, and the nodes that they are of."""
+def _postings(n: int, t: float, hot, crowds, buckets: int):
+    """Rows (bucket, blob): a slice's prefix tokens for one bucket, and the nodes that they are of.
+
+    Buckets from `buckets` on are cells of crowds: their blobs are sets of a block.
+    """
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            arr = strings(batch.column(1))
+            ids, arr = batch.column(0).to_numpy(), strings(batch.column(1))
             for a, b in slices(arr):
-                nodes, toks, lens, seen = [], [], [], set()
-                for g in gram_sets(arr.slice(a, b - a), n):
+                nodes, toks, lens, seen, crowded = [], [], [], set(), {}
+                for doc, g in zip(ids[a:b], gram_sets(arr.slice(a, b - a), n)):
                     s = fingerprint(g)
+                    if s in crowded:
+                        crowded[s][2].append(doc)
                     if not len(g) or s in seen:
                         continue
                     seen.add(s)
                     count, at = _known(g, hot.value)
+                    if crowd := crowds.value.of(g, count):
+                        crowded[s] = crowd, g, [doc]
                     head, anchors, pick = adaptive_prefix(g, count, t, hot.value)
                     rare = 0 if len(anchors) else int(head[0] >> CUT)
-                    nodes.append((_key(s, len(g)), pick, rare, (*(at[anchors] + 1).tolist(), *[0] * (ANCHORS - len(anchors)))))
+                    nodes.append((_key(s, len(g)), pick, crowd, rare, (*(at[anchors] + 1).tolist(), *[0] * (ANCHORS - len(anchors)))))
                     toks.append(head)
                     lens.append(len(head))
                 if not nodes:
@@ -243,14 +347,32 @@ def _postings(n: int, t: float, hot, buckets: int):
                 for x, y in zip(edge[:-1], edge[1:]):
                     local, idx = np.unique(own[x:y], return_inverse=True)
                     blobs.append(_packed(_steps(tok[x:y] >> CUT), idx.astype(np.uint32), *(node[local][f] for f in _NODE.names)))
+                for cells, blob in _blocks(crowded, crowds.value):
+                    at = np.concatenate([at, buckets + cells])
+                    blobs += [blob] * len(cells)
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return job
 
 
+def _blocks(crowded: dict[int, tuple[int, np.ndarray, list[int]]], crowds: Crowds) -> Iterator[tuple[np.ndarray, bytes]]:
+    """A slice's sets by crowd and block: the cells they go to, and which of the pivot's n-grams they have, others, and ids."""
+    by: dict[tuple[int, int], list[int]] = {}
+    for s, (crowd, _, _) in crowded.items():
+        by.setdefault((crowd, int(crowds.block(crowd, np.array([s], np.int64))[0])), []).append(s)
+    for (crowd, block), sigs in by.items():
+        pivot = crowds.pivots[crowd - 1]
+        sets, docs = [crowded[s][1] for s in sigs], [crowded[s][2] for s in sigs]
+        bits = np.concatenate([np.packbits(np.isin(pivot, g, assume_unique=True)) for g in sets])
+        rest = [np.setdiff1d(g, pivot, assume_unique=True) for g in sets]
+        size, more, held = (np.array([len(x) for x in xs], np.int32) for xs in (sets, rest, docs))
+        yield crowds.cells(crowd, block), _packed(np.array(sigs, np.int64), size, bits, more, np.concatenate(rest), held, np.concatenate(docs).astype(np.int64))
+
+
 _U64, _U32 = np.dtype(np.uint64), np.dtype(np.uint32)
-#: hot: numbers (from 1) of a set's anchors among the frequent n-grams; rare: its anchor where none is frequent.
-_NODE = np.dtype([("key", np.int64), ("need", np.uint8), ("rare", np.uint64), ("hot", np.uint32, (ANCHORS,))])
+_CELL = tuple(np.dtype(x) for x in (np.int64, np.int32, np.uint8, np.int32, np.uint64, np.int32, np.int64))
+#: crowd: the set's, 0 if none. hot: numbers (from 1) of a set's anchors among the frequent n-grams; rare: its anchor where none is frequent.
+_NODE = np.dtype([("key", np.int64), ("need", np.uint8), ("crowd", np.uint16), ("rare", np.uint64), ("hot", np.uint32, (ANCHORS,))])
 
 
 def _steps(x: np.ndarray) -> np.ndarray:
@@ -276,32 +398,122 @@ def _unpacked(blob: bytes, *kinds: np.dtype) -> list[np.ndarray]:
     return out
 
 
-def _pairs_of_runs(starts: np.ndarray, ends: np.ndarray, most: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Positions (i < j) of all pairs inside each run, in pieces, and the runs they are of."""
-    size = ends - starts
-    # a row of work is one position with all later ones of its run
+def _pairs_of_runs(starts: np.ndarray, ends: np.ndarray, crowd: np.ndarray, most: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i < j) of all pairs inside each run, in pieces, without pairs of one crowd. Runs are in order of crowds."""
+    # a row of work is one position with all later ones of its run, or all of later crowds
     row = np.concatenate([np.arange(a, b - 1) for a, b in zip(starts, ends)]) if len(starts) else np.zeros(0, int)
-    end = np.repeat(ends, np.maximum(size - 1, 0))
-    todo = end - row - 1
+    end = np.repeat(ends, ends - starts - 1)
+    edge = np.flatnonzero(np.concatenate([crowd[1:] != crowd[:-1], [True]])) + 1
+    low = np.where(crowd[row] > 0, np.minimum(edge[np.searchsorted(edge, row, side="right")], end), row + 1) if len(row) else row
+    todo = end - low
+    row, low, todo = row[todo > 0], low[todo > 0], todo[todo > 0]
     cum = np.cumsum(todo)
     at = 0
     while at < len(row):
         upto = max(at + 1, int(np.searchsorted(cum, (cum[at - 1] if at else 0) + most, side="right")))
         k = todo[at:upto]
-        i = np.repeat(row[at:upto], k)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
-        yield i, j, i
+        yield np.repeat(row[at:upto], k), _spread(low[at:upto], k)
         at = upto
 
 
-def _propose(t: float, hot):
-    """Pairs of a bucket that share a prefix token: their shared tokens here, and how many are asked for.
+#: met: shared tokens and those asked for, or what else a row is: the links of a set in a cell of its crowd, or a pair.
+_FOUND = "a bigint, sa int, b bigint, sb int, met int, near bigint, jaccard double"
+_NEAR, _PAIR = -1, -2
 
-    A pair with as many common anchors as it needs matches is settled, and proposed only where the least of them
+
+def _rows(a, sa=0, b=0, sb=0, met=0, near=0, jaccard=0.0) -> pa.Table:
+    return pa.table({k: np.broadcast_to(np.asarray(x, kind), len(a)) for k, x, kind in (("a", a, np.int64), ("sa", sa, np.int32), ("b", b, np.int64), ("sb", sb, np.int32), ("met", met, np.int32), ("near", near, np.int64), ("jaccard", jaccard, np.float64))})
+
+
+def _cell(blobs: pa.ChunkedArray, cell: int, crowds: Crowds, t: float, every: bool, strip: int = 1024, wide: int = 512) -> pa.Table:
+    """Compare the sets of two blocks of a crowd, each with each.
+
+    Gives all pairs that reach t if every, else what is read of them: for each set how many ids its partners have here,
+    and pairs that hold together what all of them hold together.
+    """
+    crowd, x, y = crowds.meet(cell)
+    sig, size, bits, more, rest, held, ids = (np.concatenate(z) for z in zip(*(_unpacked(blob.as_py(), *_CELL) for blob in blobs)))
+    width = len(crowds.pivots[crowd - 1])
+    # a set may come from several slices
+    order = np.lexsort((size, sig))
+    new = np.concatenate([[True], (sig[order][1:] != sig[order][:-1]) | (size[order][1:] != size[order][:-1])])
+    to = np.empty(len(sig), np.int64)
+    to[order] = np.cumsum(new) - 1
+    one = order[new]
+    who = np.repeat(to, held)
+    by = np.lexsort((ids, who))
+    once = np.concatenate([[True], (who[by][1:] != who[by][:-1]) | (ids[by][1:] != ids[by][:-1])])
+    held = np.bincount(who[by][once], minlength=len(one)).astype(float)
+    own = np.repeat(np.arange(len(one)), more[one])
+    rest = rest[_spread((np.cumsum(more) - more)[one], more[one])]
+    sig, size, bits = sig[one], size[one].astype(np.int64), np.unpackbits(bits.reshape(len(to), -1)[one], axis=1, count=width)
+    block = crowds.block(crowd, sig)
+    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    if not len(left) or not len(right):
+        return _rows(sig[:0])
+    names, tok = np.unique(rest, return_inverse=True)
+    place = np.full(len(one), -1)
+    place[right] = np.arange(len(right))
+    there = place[own] >= 0
+    order = np.argsort(tok[there], kind="stable")
+    at, df = place[own[there]][order], np.bincount(tok[there], minlength=len(names))
+    ahead = np.cumsum(df) - df
+    # n-grams beside the pivot's that many sets have are columns too, others are counted one by one
+    column = np.cumsum(dense := df * 16 >= len(right)) - 1
+    many = int(dense.sum())
+    near, label, out = np.zeros(len(one)), np.arange(len(one)), []
+    for top in range(0, len(left), strip):
+        mine = left[top : top + strip]
+        row = np.full(len(one), -1)
+        row[mine] = np.arange(len(mine))
+        both = np.zeros((len(mine), len(right)), np.float32)  # sums of at most `wide` ones are exact, as are sets below 2^24
+        for z in range(0, width, wide):
+            both += bits[mine, z : z + wide].astype(np.float32) @ bits[right, z : z + wide].astype(np.float32).T
+        for z in range(0, many, wide):
+            part = dense[tok] & (column[tok] >= z) & (column[tok] < z + wide)
+            sides = []
+            for pos, k in ((row, len(mine)), (place, len(right))):
+                sides.append(np.zeros((k, wide), np.float32))
+                e = part & (pos[own] >= 0)
+                sides[-1][pos[own[e]], column[tok[e]] - z] = 1
+            both += sides[0] @ sides[1].T
+        few = np.flatnonzero((row[own] >= 0) & ~dense[tok] & (df[tok] > 0))
+        cum = np.cumsum(df[tok[few]])
+        for part in np.split(few, np.searchsorted(cum, np.arange(1 << 20, cum[-1] if len(cum) else 0, 1 << 20))):
+            k = df[tok[part]]
+            np.add.at(both.reshape(-1), np.repeat(row[own[part]], k) * len(right) + at[_spread(ahead[tok[part]], k)], 1)
+        union = size[mine][:, None] + size[right][None, :] - both.astype(np.float64)
+        ok = both >= t * union - 1e-9
+        if x == y:
+            ok[np.arange(len(mine)), place[mine]] = False
+        if every:
+            i, j = np.nonzero(ok & (place[mine][:, None] < np.arange(len(right))) if x == y else ok)
+            out.append(_rows(sig[mine[i]], size[mine[i]], sig[right[j]], size[right[j]], _PAIR, 0, both[i, j] / union[i, j]))
+            continue
+        near[mine] += ok @ held[right]
+        if x != y:
+            near[right] += held[mine] @ ok
+        for i, links in zip(mine, ok):
+            found = right[links]
+            away = found[label[found] != label[i]]
+            if len(away):
+                heads, first = np.unique(label[away], return_index=True)
+                out.append(_rows(np.full(len(first), sig[i]), size[i], sig[away[first]], size[away[first]], _PAIR))
+                label[np.isin(label, heads)] = label[i]
+    some = np.flatnonzero(near)
+    return pa.concat_tables([*out, _rows(sig[some], size[some], met=_NEAR, near=near[some])])
+
+
+def _propose(t: float, hot, crowds, buckets: int, every: bool):
+    """Pairs of a bucket that share a prefix token: their shared tokens here, and how many are asked for; and _cell().
+
+    Pairs of one crowd are left to its cells. Another pair with as many common anchors as it needs matches is settled, and proposed only where the least of them
     is: near copies with a hundred common prefix tokens don't come from every bucket. Others are counted.
     """
 
     def job(group: pa.Table) -> pa.Table:
+        if (bucket := group["bucket"][0].as_py()) >= buckets:
+            return _cell(group["blob"], bucket - buckets, crowds.value, t, every)
         nodes, toks, owners, base = [], [], [], 0
         for blob in group["blob"]:
             steps, idx, *cols = _unpacked(blob.as_py(), _U64, _U32, *(_NODE[f] for f in _NODE.names))
@@ -321,7 +533,7 @@ def _propose(t: float, hot):
         to[order] = np.cumsum(new) - 1
         node, own = s[new], to[own]
         del s, to, order
-        order = np.lexsort((own, key))
+        order = np.lexsort((own, node["crowd"][own], key))
         key, own = key[order], own[order]
         once = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
         key, own = key[once], own[once]
@@ -332,7 +544,7 @@ def _propose(t: float, hot):
         none = np.iinfo(np.uint64).max
         token = np.concatenate([[none], hot.value.hashes >> CUT])
         once_, many_ = [], []
-        for i, j, _ in _pairs_of_runs(starts[long], ends[long]):
+        for i, j in _pairs_of_runs(starts[long], ends[long], node["crowd"][own]):
             a, b = own[i], own[j]
             fits = np.minimum(size[a], size[b]) >= required(np.maximum(size[a], size[b]), t)
             i, a, b = i[fits], a[fits], b[fits]
@@ -359,7 +571,7 @@ def _propose(t: float, hot):
         code, k = np.concatenate([one, rest]), np.concatenate([np.full(len(one), MOST_MATCHES), k])
         a, b = code // max(len(node), 1), code % max(len(node), 1)
         asked = np.minimum(need[a], need[b]).astype(np.int32)
-        return pa.table({"a": node["key"][a], "b": node["key"][b], "met": k.astype(np.int32) << 8 | asked})
+        return _rows(node["key"][a], b=node["key"][b], met=k.astype(np.int32) << 8 | asked)
 
     return job
 
@@ -373,8 +585,7 @@ def _texts(wanted):
             own = batch.column(0).to_numpy()
             lo, hi = np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")
             n = hi - lo
-            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield from _grouped(groups[at], np.repeat(np.arange(len(own)), n), batch.column(1))
+            yield from _grouped(groups[_spread(lo, n)], np.repeat(np.arange(len(own)), n), batch.column(1))
 
     return job
 
@@ -458,14 +669,20 @@ def _verify(n: int, t: float):
 
 @dataclass
 class Joined:
-    """members: (doc_id, sig, size) of every text with words; pairs: (a, sa, b, sb, jaccard) of distinct sets."""
+    """members: (doc_id, sig, size) of every text with words; pairs: (a, sa, b, sb, jaccard) of distinct sets.
+
+    Pairs inside a crowd are counted instead of listed, unless every pair was asked for: near: (a, sa, near), how many
+    ids the partners of a set in its crowd have, in parts; ties: (a, sa, b, sb), so many of its links as hold it together.
+    """
 
     members: DataFrame
     pairs: DataFrame
+    near: DataFrame
+    ties: DataFrame
 
 
-def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N_GRAM, t: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> Joined:
-    """The join over distinct n-gram sets; see similar_pairs()."""
+def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N_GRAM, t: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS, every: bool = False) -> Joined:
+    """The join over distinct n-gram sets; see similar_pairs() and, for every, Joined."""
     spark = docs.sparkSession
     ship(spark)
     scan = _scan(docs, key, text)
@@ -474,10 +691,11 @@ def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     hot = spark.sparkContext.broadcast(_hot(survey))  # HOT_MOST bounds it
     held = plan_bytes(docs)
     buckets = max(1, -(-held // BUCKET_BYTES)) if held < 1 << 60 else int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posted = arrow_map(scan, _postings(n, t, hot, buckets), "bucket bigint, blob binary")
-    found = posted.groupBy("bucket").applyInArrow(_propose(t, hot), "a bigint, b bigint, met int")
+    crowds = spark.sparkContext.broadcast(_crowds(scan, n, hot))  # PIVOTS and PIVOT_GRAMS bound it
+    posted = arrow_map(scan, _postings(n, t, hot, crowds, buckets), "bucket bigint, blob binary")
+    found = written(posted.groupBy("bucket").applyInArrow(_propose(t, hot, crowds, buckets, every), _FOUND), "dup-found")
     met = F.sum(F.shiftright("met", 8))
-    cand = found.groupBy("a", "b").agg(met.alias("k"), F.max(F.col("met").bitwiseAND(F.lit(255))).alias("need")).where(F.col("k") >= F.col("need")).select("a", "b")
+    cand = found.where("met > 0").groupBy("a", "b").agg(met.alias("k"), F.max(F.col("met").bitwiseAND(F.lit(255))).alias("need")).where(F.col("k") >= F.col("need")).select("a", "b")
     cand = written(cand, "dup-candidates")
 
     # candidates of one neighbourhood are verified in one place: each text goes there once, not once a pair
@@ -506,14 +724,17 @@ def join_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     pairs = written(cells.groupBy("grp").cogroup(texts.groupBy("grp")).applyInArrow(_verify(n, t), "a bigint, sa int, b bigint, sb int, jaccard double"), "dup-pairs")
     for done in (cells, want):
         forget(done)
-    return Joined(members, pairs)
+    near, ties = (found.where(F.col("met") == k) for k in (_NEAR, _PAIR))
+    if every:
+        pairs = pairs.unionAll(ties.select(*pairs.columns))
+    return Joined(members, pairs, near.select("a", "sa", "near"), ties.select("a", "sa", "b", "sb"))
 
 
 def _rep_pairs(j: Joined) -> tuple[DataFrame, DataFrame]:
-    """(sig, size, rep, held): each set's lowest id and how many ids have it; and pairs of different sets by these ids."""
+    """(sig, size, rep, held): each set's lowest id and how many ids have it; and pairs and ties of different sets by these ids."""
     reps = j.members.groupBy("sig", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held"))
     ra, rb = (reps.select(F.col("sig").alias(x), F.col("size").alias(f"s{x}"), F.col("rep").alias(f"r{x}")) for x in "ab")
-    across = j.pairs.join(ra, ["a", "sa"]).join(rb, ["b", "sb"])
+    across = j.pairs.unionByName(j.ties, allowMissingColumns=True).join(ra, ["a", "sa"]).join(rb, ["b", "sb"])
     return reps, across.select(F.least("ra", "rb").alias("doc_id_a"), F.greatest("ra", "rb").alias("doc_id_b"), "jaccard")
 
 
@@ -535,7 +756,7 @@ def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     different texts stands for each, and is not paired with itself. Very long texts are taken whole. Ties don't
     arise, and other columns are not carried. No rows give no rows.
     """
-    j = join_sets(docs, key, text, n, t, broadcast_rows)
+    j = join_sets(docs, key, text, n, t, broadcast_rows, every=True)
     reps, across = _rep_pairs(j)
     copies = j.members.join(reps, ["sig", "size"]).select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
     return across.unionAll(copies).where("doc_id_a < doc_id_b").groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
@@ -557,7 +778,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     reps, across = _rep_pairs(j)
     reps = written(reps, "dup-reps")
     ends = j.pairs.select("a", "sa", F.col("b").alias("sig"), F.col("sb").alias("size")).unionAll(j.pairs.select("b", "sb", "a", "sa"))
-    links = ends.join(reps, ["sig", "size"]).groupBy("a", "sa").agg(F.sum("held").alias("near"))
+    links = ends.join(reps, ["sig", "size"]).select("a", "sa", "held").unionAll(j.near).groupBy("a", "sa").agg(F.sum("held").alias("near"))
     held = reps.join(links, (F.col("a") == F.col("sig")) & (F.col("sa") == F.col("size")), "left").select("sig", "size", "rep", F.col("held") - 1, F.coalesce("near", F.lit(0)).alias("near"))
     held = held.toDF("sig", "size", "rep", "more", "near")
     own = j.members.join(held, ["sig", "size"]).groupBy("doc_id").agg(F.min("rep").alias("rep"), F.sum("more").alias("more"), F.sum("near").alias("near"))

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,78 @@ def test_registered_join_counts_every_link(spark, tmp_path):
         assert (r.class_id, r.n_links, r.n_copies) == (head.get(r.doc_id, r.doc_id), len(mine), sum(sets[x] == sets[r.doc_id] for x in mine)), r
 
 
+def crowd(seed):
+    """Two texts in hundreds of changed copies each, texts half way between them, some that share a part of one, and others."""
+    r = random.Random(seed)
+    bases = [[r.choice(WORDS) + str(r.randrange(40)) for _ in range(k)] for k in (60, 90)]
+    out = []
+    for base, many in zip(bases, (260, 150)):
+        for _ in range(many):
+            mine = list(base)
+            for _ in range(r.randint(0, len(mine) // 10)):
+                mine[r.randrange(len(mine))] = r.choice(WORDS)
+            out.append(" ".join(mine))
+    for _ in range(20):
+        out.append(" ".join(bases[0][: r.randint(20, 60)] + bases[1][: r.randint(0, 90)]))
+        out.append(" ".join(bases[0][: r.randint(25, 45)] + [r.choice(WORDS) for _ in range(r.randint(0, 40))]))
+    return [(i, t) for i, t in enumerate(out + out[:9] + [out[0]] * 5)] + [(3, out[300]), (0, out[0]), (1, out[0])] + [(10_000 + i, t) for i, t in copies(seed, 20, 20)]
+
+
+def test_a_crowd_is_counted_not_listed(spark):
+    rows = crowd(11)
+    texts = {}
+    for i, x in rows:
+        if g := frozenset(grams(x, neardup.N_GRAM)):
+            texts.setdefault(i, set()).add(g)
+    own = [(i, g) for i, gs in texts.items() for g in gs]
+    want = [(i, j, g == h) for i, g in own for j, h in own if (i, g) != (j, h) and len(g & h) >= neardup.THRESHOLD * len(g | h) - 1e-9]
+    links, same = Counter(i for i, _, _ in want), Counter(i for i, _, eq in want if eq)
+    head = components([(i, j) for i, j, _ in want if i < j])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: (r.class_id, r.n_copies, r.n_links) for r in neardup.near_copies(df).collect()}
+    assert got == {i: (head.get(i, i), same[i], links[i]) for i, _ in rows}
+    sets = {g for gs in texts.values() for g in gs}
+    pairs = sum(len(g & h) >= neardup.THRESHOLD * len(g | h) - 1e-9 for g in sets for h in sets if g != h) // 2
+    # links of a crowd are no rows on the way, unless all pairs are asked for
+    assert neardup.join_sets(df).pairs.count() < 0.1 * pairs
+    assert neardup.join_sets(df, every=True).pairs.count() == pairs
+
+
+@pytest.mark.parametrize("many,t,every", [(1, 0.6, True), (3, 0.6, False), (4, 0.45, True), (4, 0.75, False)])
+def test_cells_of_a_crowd_are_exact(many, t, every):
+    sets = [(i, np.sort(np.fromiter(next(neardup.gram_sets(pa.array([x], pa.large_string()), 3)), np.uint64))) for i, x in crowd(5)[:450]]
+    crowds = neardup.Crowds([sets[0][1]], [many])
+    crowds.blocks[:], crowds.first = many, np.array([0, many * many])
+    crowded = {}
+    for i, g in sets:
+        crowded.setdefault(neardup.fingerprint(g), (1, g, []))[2].append(i)
+    cells = {}
+    for s, x in crowded.items():
+        for at, blob in neardup._blocks({s: x}, crowds):
+            for k in at.tolist():
+                cells.setdefault(k, []).append(pa.scalar(blob, pa.binary()))
+    got = [r for k, blobs in cells.items() for r in neardup._cell(blobs, k, crowds, t, every, strip=100, wide=13).to_pylist()]
+    want = {}
+    for a, (_, g, _) in crowded.items():
+        for b, (_, h, ids) in crowded.items():
+            both = len(np.intersect1d(g, h))
+            if a != b and both >= t * (len(g) + len(h) - both) - 1e-9:
+                want[a, b] = both / (len(g) + len(h) - both), len(ids)
+    pairs = [tuple(sorted((r["a"], r["b"]))) for r in got if r["met"] == neardup._PAIR]
+    if every:
+        assert sorted(pairs) == sorted(p for p in want if p[0] < p[1])
+        assert all(r["jaccard"] == want[r["a"], r["b"]][0] for r in got)
+        return
+    near = Counter()
+    for r in got:
+        near[r["a"]] += r["near"]
+    full = Counter()
+    for (a, _), (_, k) in want.items():
+        full[a] += k
+    assert +near == +full and {*pairs} <= {*want}
+    assert components([(min(p), max(p)) for p in pairs]) == components([p for p in want if p[0] < p[1]])
+
+
 def components(pairs):
     head = {}
 
