@@ -117,26 +117,36 @@ def reconciled(project: Project, spec: dict) -> tuple[str, str]:
 def reconcile(project: Project, spec: dict, silver: dict[str, DataFrame]) -> DataFrame:
     """Both sides by key, every key of either, with their difference and whether they agree within the tolerance.
 
-    A null-safe full join: null keys meet once. A side that is missing disagrees unless both are null.
+    Two aggregates come out of one aggregate over both sides' rows, other sides meet in a null-safe full join: null
+    keys meet once. A side that is missing disagrees unless both are null.
     """
-    sides = []
+    sides, sums = [], []
     for name in ("left", "right"):
         agg, entity, col, by = _side(spec[name], project)
         rows = silver[entity]
-        value = {"avg": F.avg, "count": F.count, "max": F.max, "min": F.min, "sum": F.sum}[agg](col) if agg else None
-        rows = rows.groupBy(*by).agg(value.alias(f"{name}_value")) if agg else rows.select(*by, F.col(col).alias(f"{name}_value"))
+        f = {"avg": F.avg, "count": F.count, "max": F.max, "min": F.min, "sum": F.sum}[agg] if agg else None
+        sums.append((rows, f, col))
+        rows = rows.groupBy(*by).agg(f(col).alias(f"{name}_value")) if agg else rows.select(*by, F.col(col).alias(f"{name}_value"))
         sides.append((rows.withColumnsRenamed({k: f"_{name}_{k}" for k in by}), by))
     (a, keys), (b, other) = sides
     if sorted(keys) != sorted(other):
         raise GuardrailError(f"{spec['name']}: keys {keys} and {other} differ")
+    gap = F.abs(F.col("left_value") - F.col("right_value"))
+    agree = F.when(F.col("left_value").isNull() & F.col("right_value").isNull(), F.lit(True)).otherwise(F.coalesce(gap <= F.expr(f"{Decimal(str(spec.get('tolerance', '0'))):f}BD"), F.lit(False)))
+    (left, f, x), (right, g, y) = sums
+    if f and g and all(left.schema[k].dataType == right.schema[k].dataType for k in keys):
+        none = lambda rows, col: F.lit(None).cast(rows.schema[col].dataType)
+        rows = left.select(*keys, F.col(x).alias("_x"), none(right, y).alias("_y"), F.lit(True).alias("_l"), F.lit(False).alias("_r"))
+        rows = rows.unionAll(right.select(*keys, none(left, x), F.col(y), F.lit(False), F.lit(True)))
+        both = rows.groupBy(*keys).agg(f("_x").alias("_x"), g("_y").alias("_y"), F.max("_l").alias("_l"), F.max("_r").alias("_r"))
+        both = both.select(*keys, F.when(F.col("_l"), F.col("_x")).alias("left_value"), F.when(F.col("_r"), F.col("_y")).alias("right_value"))
+        return both.withColumn("agrees", agree)
     on = None
     for k in keys:
         c = F.col(f"_left_{k}").eqNullSafe(F.col(f"_right_{k}"))
         on = c if on is None else on & c
     a, b = a.withColumn("_l", F.lit(True)), b.withColumn("_r", F.lit(True))
     both = a.join(b, on, "full")
-    gap = F.abs(F.col("left_value") - F.col("right_value"))
-    agree = F.when(F.col("left_value").isNull() & F.col("right_value").isNull(), F.lit(True)).otherwise(F.coalesce(gap <= F.expr(f"{Decimal(str(spec.get('tolerance', '0'))):f}BD"), F.lit(False)))
     return both.select(*[F.when(F.col("_l"), F.col(f"_left_{k}")).otherwise(F.col(f"_right_{k}")).alias(k) for k in keys], "left_value", "right_value", agree.alias("agrees"))
 
 

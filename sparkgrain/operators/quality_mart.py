@@ -26,12 +26,20 @@ class Counted:
     table: DataFrame | None = None
     rejects: DataFrame | None = None
 
+    @property
+    def whole(self) -> bool:
+        """Whether the evaluated rows are the population."""
+        return self.table is None and self.rejects is None and self.silver.diverted is not None
+
     @property
     def population(self) -> DataFrame:
         """Flags and side of every row that the rules were judged on: the entity and its unresolved rejects.
 
         A replayed row is in the entity and its reject is resolved, so it counts once; rows of earlier runs count too.
         """
+        if self.whole:  # either side at once, so that the rows are evaluated once
+            fired = F.when(F.col("_diverted"), F.col("_failed")).otherwise(F.col("_quality_flags"))
+            return self.silver.evaluated.select(fired.alias("fired"), F.col("_diverted").alias("aside"))
         kept = (self.silver.kept if self.table is None else self.table).select(F.col("_quality_flags").alias("fired"), F.lit(False).alias("aside"))
         if self.rejects is None and self.silver.diverted is None:
             return kept
@@ -54,8 +62,9 @@ def quality_mart(runs: list[Counted], reconciles: list[tuple[dict, DataFrame, st
         fired = [F.count_if(F.array_contains("fired", r.name)).alias(f"r{i}") for i, r in enumerate(s.rules)]
         one = run.population.agg(F.count("*").alias("n"), F.count_if("aside").alias("diverted"), *fired)
         if s.entity.dedupe and s.entity.scd != "type2":
-            gone = run.landed.agg(F.count("*").alias("landed")).crossJoin(s.evaluated.agg(F.count("*").alias("survived")))
-            one = one.crossJoin(gone).withColumn("deduped", F.col("landed") - F.col("survived"))
+            one = one.crossJoin(run.landed.agg(F.count("*").alias("landed")))
+            one = one.withColumn("survived", F.col("n")) if run.whole else one.crossJoin(s.evaluated.agg(F.count("*").alias("survived")))
+            one = one.withColumn("deduped", F.col("landed") - F.col("survived"))
         else:
             one = one.withColumn("deduped", zero)
         rows = [row("(entity)", "(none)", F.col("n"), zero, F.col("diverted"), F.col("deduped"))]

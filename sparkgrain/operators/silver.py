@@ -126,10 +126,19 @@ def dedupe_order(entity: EntitySpec) -> list[str]:
     return list(dict.fromkeys([*([d["field"], *d.get("tie_break", ())] if d else []), "_source_row_id"]))
 
 
+def firsts(rows: DataFrame, key: tuple[str, ...] | list[str], order: list[Column]) -> DataFrame:
+    """The row of each key that comes first in the order.
+
+    Told by its having none before it, not by its number: Spark sorts rows for a number before they are shuffled, too,
+    which hardly drops any where a key's rows are few or far apart.
+    """
+    w = Window.partitionBy(*key).orderBy(*order)
+    return rows.withColumn("_before", F.lag(F.lit(True)).over(w)).where(F.col("_before").isNull()).drop("_before")
+
+
 def deduplicate(rows: DataFrame, entity: EntitySpec) -> DataFrame:
     """The row of each key that comes first in descending order, nulls last."""
-    w = Window.partitionBy(*entity.key).orderBy(*[F.col(c).desc_nulls_last() for c in dedupe_order(entity)])
-    return rows.withColumn("_place", F.row_number().over(w)).where(F.col("_place") == 1).drop("_place")
+    return firsts(rows, entity.key, [F.col(c).desc_nulls_last() for c in dedupe_order(entity)])
 
 
 def evaluate(project: Project, registry: Registry, name: str, bronze: dict[str, DataFrame], parents: dict[str, DataFrame] | None = None) -> Silver:
@@ -166,4 +175,4 @@ def evaluate(project: Project, registry: Registry, name: str, bronze: dict[str,
     return Silver(entity, rules, types, rows, kept, diverted, surviving)
 
 
-__all__ = ["Silver", "branch", "deduplicate", "dedupe_order", "evaluate", "extraction", "STRING"]
+__all__ = ["Silver", "branch", "deduplicate", "dedupe_order", "evaluate", "extraction", "firsts", "STRING"]
