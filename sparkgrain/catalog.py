@@ -15,9 +15,7 @@ from sparkgrain.operators import marts as M
 from sparkgrain.operators import rejects as J
 from sparkgrain.operators.quality_mart import Counted, quality_mart
 from sparkgrain.plans import retail
-from sparkgrain.plans.guard import check
 from sparkgrain.plans.request import AnyOf, MetricRequest, OrderSpec, Predicate, RowPolicy, parse_filter_json
-from sparkgrain.plans.spec import parse_texts
 from sparkgrain.sources.store import scd2
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -303,16 +301,9 @@ def quality_mart_counts(fr):
 @query("SELECT event_id, kind, value FROM e_flags WHERE NOT coalesce(value < 0.50 OR value > 250.00, false)")
 def replay_merge(fr):
     """The event table after the in_set rule was relaxed to a flag and its rejects were replayed."""
-    relaxed = dict(retail.TEXTS)
-    relaxed["map_events"] = relaxed["map_events"].replace("signup], on_fail: quarantine", "signup], on_fail: flag")
-    p = check(parse_texts(relaxed), retail.STEPS)
-    from sparkgrain.operators.silver import evaluate
-
-    rejects = J.reject_rows(fr.pipeline("event"), "events")
-    cols = ["event_id", "user_id", "event_type", "value", "props", "ts"]
-    s = evaluate(p, fr.registry, "event", {"events": J.payload_rows(rejects, cols)}, {"supplier": fr.silver("supplier")})
-    after, _ = J.replay(s, fr.silver("event"), rejects, datetime(2024, 2, 1))
-    return after.select("event_id", "kind", "value")
+    from sparkgrain.catalog_more import relaxed
+
+    return relaxed(fr)[0].select("event_id", "kind", "value")
 
 
 @query("SELECT r_id AS reject_id, CASE WHEN late THEN 'load-2' ELSE 'load-1' END AS load_id, ts AS first_seen FROM (SELECT sha256('S6:events' || 'S' || length(CAST(event_id AS VARCHAR)) || ':' || CAST(event_id AS VARCHAR)) AS r_id, seen_at AS ts, event_id % 3 = 0 AS late FROM e_flags WHERE diverted)")

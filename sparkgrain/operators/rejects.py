@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrain.operators.silver import Silver, dedupe_order
+from sparkgrain.operators.silver import Silver, dedupe_order, deduplicate, firsts
 
 COLUMNS = ("reject_id", "source_relation", "mapping", "mapping_version", "failed_rules", "key_values", "raw", "_load_id", "_ingested_at", "_source_row_id", "first_seen", "last_seen", "resolved_at", "last_evaluated_at")
 #: Says of a row that breaks no rule any more that another row holds its key.
@@ -72,14 +72,12 @@ def replay(s: Silver, target: DataFrame, rejects: DataFrame, at: datetime) -> tu
     entity are resolved; the rest have their failures restated, with SUPERSEDED where none diverts them any more.
     """
     e = s.entity
-    w = Window.partitionBy(*e.key).orderBy(*[F.col(c).desc_nulls_last() for c in dedupe_order(e)])
-    winners = s.kept.withColumn("_p", F.row_number().over(w)).where("_p = 1").drop("_p")
+    winners = deduplicate(s.kept, e)
     keys = winners.select(*[F.col(k).alias(f"_k_{k}") for k in e.key])
     met = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in e.key]
     rivals = target.join(keys, met, "left_semi")
     both = winners.withColumn("_new", F.lit(True)).unionByName(rivals.withColumn("_new", F.lit(False)), allowMissingColumns=True).withColumn("_rank", _rank(e))
-    pick = Window.partitionBy(*e.key).orderBy(F.col("_rank").desc(), F.col("_new"))
-    placed = both.withColumn("_p", F.row_number().over(pick)).where("_p = 1").select(*target.columns)
+    placed = firsts(both, e.key, [F.col("_rank").desc(), F.col("_new")]).select(*target.columns)
     after = target.join(keys, met, "left_anti").unionByName(placed)
     asked = rejects.where("resolved_at is null").select(F.col("_source_row_id").alias("_in"))
     inside = after.join(asked, F.col("_source_row_id") == F.col("_in"), "left_semi").select(F.col("_source_row_id").alias("_in")).distinct()

@@ -41,6 +41,17 @@ def materialization(spec: EntitySpec | MartSpec) -> str:
     return spec.materialization or ("incremental_by_partition" if spec.partition_by else "full")
 
 
+def stored(store: Store, name: str, s: Silver) -> Silver:
+    """A pipeline whose evaluated rows are written once and read for all that follows, without what only the rules read
+    and with the payloads of diverted rows alone."""
+    rows = s.evaluated.drop(*[c for c in s.evaluated.columns if c.startswith(("_src_", "_verdict_", "_repaired_"))])
+    if "_raw" in rows.columns:
+        rows = rows.withColumn("_raw", F.when(F.col("_diverted"), F.col("_raw")))
+    held = store.full("silver", name, rows)
+    kept = held.where("not _diverted").select(*s.kept.columns)
+    return Silver(s.entity, s.rules, s.types, held, kept, held.where("_diverted") if s.diverted is not None else None, held)
+
+
 @dataclass
 class Frames:
     """A project over landed tables as lazy frames: nothing is written, and only what is asked for is planned."""
@@ -124,12 +135,9 @@ class Engine:
         frames = Frames(p, bronze, self.registry)
         for name in build_order(p):
             e = p.entities[name]
-            s = frames.pipeline(name)
-            held = self.store.full("silver", f"{name}__run", s.evaluated)
-            kept = held.where("not _diverted").select(*s.kept.columns)
-            s = frames._pipelines[name] = Silver(e, s.rules, s.types, held, kept, held.where("_diverted") if s.diverted is not None else None, held)
+            s = frames._pipelines[name] = stored(self.store, f"{name}__run", frames.pipeline(name))
             found += A.enforce(self._audits(s, bronze))
-            table = self._write("silver", e, kept, at)
+            table = self._write("silver", e, s.kept, at)
             frames._given[name] = table.where("valid_to is null") if e.scd == "type2" else table
             source = p.mappings_of(name)[0].source
             if s.diverted is not None:
@@ -183,7 +191,7 @@ class Engine:
         rejects, m = self.store.read("silver", f"{entity}__reject"), p.mappings_of(entity)[0]
         columns = sorted({x[2:].split(".")[0] for f in m.all for x in R.sources_of(m, f)} | {x[2:].split(".")[0] for x in m.unmapped})
         parents = {r.params["relationship"].dst: self.store.read("silver", r.params["relationship"].dst) for r in R.rules_of(p, e) if r.kind == "referential"}
-        s = evaluate(p, self.registry, entity, {m.source: J.payload_rows(rejects, columns)}, parents)
+        s = stored(self.store, f"{entity}__again", evaluate(p, self.registry, entity, {m.source: J.payload_rows(rejects, columns)}, parents))
         after, settled = J.replay(s, self.store.read("silver", entity), rejects, at)
         # both results read both tables: the second is written to its side before the first is replaced
         held = self.store.full("silver", f"{entity}__reject_next", settled)

@@ -35,3 +35,26 @@ def test_two_aggregates_are_reconciled(spark):
     assert text(sums) == {"x": ("3", "2.5", True), None: ("5", "5.51", False), "left": ("1", None, False), "right": (None, "7", False), "none": (None, None, True)}
     assert text(counts) == {"x": ("2", "1", False), None: ("2", "1", False), "left": ("1", None, False), "right": (None, "1", False), "none": ("0", "0", True)}
     assert sums.count() == counts.count() == 5 and "Join" not in optimized(sums)
+
+
+def test_a_replay_evaluates_events_and_payloads_once(spark):
+    """What follows from the two pipelines reads their stored rows, neither the landed table nor the payloads."""
+    for name in ("quality_mart_after_replay", "replay_rejects", "replay_merge"):
+        df = catalog.QUERIES[name](spark, SF)
+        assert not [f for f in df.inputFiles() if "/events.parquet" in f]
+        assert "get_json_object" not in optimized(df) and "WindowGroupLimit" not in optimized(df)
+
+
+def test_stored_rows_keep_what_rejects_need(spark, folder):
+    """Payloads of diverted rows alone are written; rejects and kept rows are those of the lazy pipeline."""
+    from sparkgrain.operators import rejects as J
+    from sparkgrain.plans import retail
+    from sparkgrain.plans.engine import stored
+    from sparkgrain.sources.store import Store
+
+    lazy = retail.frames(spark, SF).pipeline("event")
+    held = stored(Store(spark, folder), "event__run", lazy)
+    assert held.evaluated.where("_raw is not null and not _diverted").isEmpty() and held.diverted.where("_raw is null").isEmpty()
+    for a, b in ((lazy.kept, held.kept), (J.reject_rows(lazy, "events"), J.reject_rows(held, "events"))):
+        assert a.columns == b.columns and a.count() == b.count() > 0
+        assert a.exceptAll(b).isEmpty()
